@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import media, mixing, order_minhash
+from pulsegrid.llm import media, mixing, order_minhash, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,23 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", F.size("carved").alias("n_carved"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(quality.fold_of() != 0)
+    model = quality.fit(docs, labels)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (quality.fold_of() == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = order_minhash.with_next(docs, order_minhash.fingerprints, ["text", "signature"])
@@ -41,5 +54,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op7_mix_sources, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op2_media_columns, op3_simhash, op9_quality, op7_mix_sources, op10_order_minhash)}
 SQL = {"op7_mix_sources": mixing.SQL}
