@@ -88,11 +88,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     sized = stored(sizes(docs), "mix-sizes")
     per = stored(targets(sized, weights, share, most, block).coalesce(1), "mix-sources")
     key = F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b"))
-    placed = sized.withColumn("skey", key).withColumn("bucket", bucket_of(F.col("doc_id"), cut_points(sized, "doc_id", 4096)))
+    cuts = cut_points(sized, "doc_id", 512)
+    placed = sized.withColumn("skey", key).withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
     placed = placed.join(small(per, 10_000), "skey")
     order = Window.partitionBy("src", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size")
     placed = placed.withColumns({"row": F.row_number().over(order), "upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    sums = sized.withColumn("skey", key).withColumn("bucket", bucket_of(F.col("doc_id"), cut_points(sized, "doc_id", 4096)))
+    sums = sized.withColumn("skey", key).withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
     sums = sums.join(small(per.select("skey", "src"), 10_000), "skey").groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
     sums = sums.select("src", "bucket", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     placed = placed.join(sums, ["src", "bucket"])
@@ -104,7 +105,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     words = F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     pieces = pieces.select(*own, "block", words.alias("words"))
     times = draw(per, seed).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces.join(times, ["src", "block"], "left")
+    # Spark estimates the slots from the few rows they are made of; without the hint it would broadcast them all
+    taken = pieces.join(times.hint("merge"), ["src", "block"], "left")
     return (
         taken.groupBy(*own)
         .agg(F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).cast("long").alias("taken"))

@@ -29,27 +29,30 @@ _MASK = (1 << POS) - 1
 def signature(text: Column, k: int = K, buckets: int = BUCKETS, length: int = LENGTH) -> Column:
     """array<bigint>: a tuple hash per bucket, null where the bucket is empty. ``buckets``: a power of two."""
     bits = buckets.bit_length() - 1
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
 
     def kmers(hashes: Column) -> Column:
-        whole = F.when(F.size(hashes) > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
+        whole = F.array(F.xxhash64(hashes))
         each = F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)]))
         return F.when(F.size(hashes) < k, whole).otherwise(each)
 
     def numbered(mers: Column) -> Column:
         """Packed (hash of k-mer and occurrence, position), sorted."""
-        by_mer = F.sort_array(F.transform(mers, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, POS), POS).bitwiseOR(i.cast("long"))))
+        by_mer = F.sort_array(F.transform(mers, lambda h, i: h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(i)))
+
+        mixed = lambda x, nth: F.xxhash64(F.shiftrightunsigned(x, POS), nth).bitwiseAND(F.lit(~_MASK)).bitwiseOR(x.bitwiseAND(F.lit(_MASK)))
 
         def runs(s: Column) -> Column:
-            same = lambda i: F.shiftrightunsigned(F.get(s, i), POS)
-            starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (same(i) != same(i - 1)))
+            """Equal k-mers stand together; a run's nth is occurrence n. Most runs are of one."""
+            new = lambda x, i: (i == 0) | (F.shiftrightunsigned(x.bitwiseXOR(F.get(s, i - 1)), POS) != 0)
+            starts = F.array_compact(F.transform(s, lambda x, i: F.when(new(x, i), i)))
 
             def spread(b: Column) -> Column:
-                def run(at: Column, j: Column) -> Column:
-                    end = F.coalesce(F.get(b, j + 1), F.size(s))
-                    return F.transform(F.sequence(at, end - 1), lambda x: F.shiftleft(F.shiftrightunsigned(F.xxhash64(same(x), x - at), POS), POS).bitwiseOR(F.get(s, x).bitwiseAND(F.lit(_MASK))))
-
-                return F.flatten(F.transform(b, run))
+                first = F.transform(b, lambda at: mixed(F.get(s, at), F.lit(0)))
+                upto = lambda j: F.coalesce(F.get(b, j + 1), F.size(s))
+                longer = F.filter(F.transform(b, lambda at, j: F.struct(at.alias("at"), upto(j).alias("end"))), lambda r: r["end"] - r["at"] > 1)
+                later = F.flatten(F.transform(longer, lambda r: F.transform(F.sequence(r["at"] + 1, r["end"] - 1), lambda x: mixed(F.get(s, x), x - r["at"]))))
+                return F.when(F.size(b) == F.size(s), first).otherwise(F.concat(first, later))
 
             return let(starts, spread)
 
@@ -57,24 +60,34 @@ def signature(text: Column, k: int = K, buckets: int = BUCKETS, length: int = LE
 
     def least(mers: Column) -> Column:
         """The ``length`` smallest of each bucket; the bucket is the packed long's top bits."""
-        top = lambda x: F.shiftrightunsigned(x, 64 - bits)
-        return let(numbered(mers), lambda s: F.filter(s, lambda x, i: (i < length) | (top(x) != top(F.get(s, i - length)))))
+        return let(numbered(mers), lambda s: F.filter(s, lambda x, i: (i < length) | (F.shiftrightunsigned(x.bitwiseXOR(F.get(s, i - length)), 64 - bits) != 0)))
 
     def tuples(mers: Column) -> Column:
         def per_bucket(chosen: Column) -> Column:
-            top = lambda x: F.shiftrightunsigned(x, 64 - bits).cast("int")
+            tops = F.transform(chosen, lambda x: F.shiftrightunsigned(x, 64 - bits).cast("int"))
+
+            def placed(t: Column) -> Column:
+                def element(b: Column) -> Column:
+                    def among(first: Column) -> Column:
+                        near = F.filter(F.slice(chosen, first, F.lit(length)), lambda x: F.shiftrightunsigned(x, 64 - bits).cast("int") == b)
+                        at = F.sort_array(F.transform(near, lambda x: x.bitwiseAND(F.lit(_MASK))))
+                        return F.when(first > 0, F.xxhash64(F.transform(at, lambda i: F.get(mers, i.cast("int")))))
 
-            def element(b: Column) -> Column:
-                at = F.sort_array(F.transform(F.filter(chosen, lambda x: top(x) == b), lambda x: x.bitwiseAND(F.lit(_MASK))))
-                return let(at, lambda p: F.when(F.size(p) > 0, F.xxhash64(F.transform(p, lambda i: F.get(mers, i.cast("int"))))))
+                    return let(F.array_position(t, b).cast("int"), among)
 
-            return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), element)
+                return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), element)
+
+            return let(tops, placed)
 
         return let(least(mers), per_bucket)
 
     nothing = F.array_repeat(F.lit(None).cast("bigint"), buckets)
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashed, lambda h: F.when(F.size(h) == 0, nothing).otherwise(let(kmers(h), tuples)))
+
+    def of(t: Column) -> Column:
+        hashed = F.transform(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
+        return F.when(t == "", nothing).otherwise(let(hashed, lambda h: let(kmers(h), tuples)))
+
+    return let(trimmed, of)
 
 
 def likeness(a: Column, b: Column) -> Column:
