@@ -26,68 +26,56 @@ POS = 26
 _MASK = (1 << POS) - 1
 
 
-def signature(text: Column, k: int = K, buckets: int = BUCKETS, length: int = LENGTH) -> Column:
-    """array<bigint>: a tuple hash per bucket, null where the bucket is empty. ``buckets``: a power of two."""
-    bits = buckets.bit_length() - 1
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-
-    def kmers(hashes: Column) -> Column:
-        whole = F.array(F.xxhash64(hashes))
-        each = F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)]))
-        return F.when(F.size(hashes) < k, whole).otherwise(each)
-
-    def numbered(mers: Column) -> Column:
-        """Packed (hash of k-mer and occurrence, position), sorted."""
-        by_mer = F.sort_array(F.transform(mers, lambda h, i: h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(i)))
-
-        mixed = lambda x, nth: F.xxhash64(F.shiftrightunsigned(x, POS), nth).bitwiseAND(F.lit(~_MASK)).bitwiseOR(x.bitwiseAND(F.lit(_MASK)))
-
-        def runs(s: Column) -> Column:
-            """Equal k-mers stand together; a run's nth is occurrence n. Most runs are of one."""
-            new = lambda x, i: (i == 0) | (F.shiftrightunsigned(x.bitwiseXOR(F.get(s, i - 1)), POS) != 0)
-            starts = F.array_compact(F.transform(s, lambda x, i: F.when(new(x, i), i)))
-
-            def spread(b: Column) -> Column:
-                first = F.transform(b, lambda at: mixed(F.get(s, at), F.lit(0)))
-                upto = lambda j: F.coalesce(F.get(b, j + 1), F.size(s))
-                longer = F.filter(F.transform(b, lambda at, j: F.struct(at.alias("at"), upto(j).alias("end"))), lambda r: r["end"] - r["at"] > 1)
-                later = F.flatten(F.transform(longer, lambda r: F.transform(F.sequence(r["at"] + 1, r["end"] - 1), lambda x: mixed(F.get(s, x), x - r["at"]))))
-                return F.when(F.size(b) == F.size(s), first).otherwise(F.concat(first, later))
-
-            return let(starts, spread)
-
-        return F.sort_array(let(by_mer, runs))
-
-    def least(mers: Column) -> Column:
-        """The ``length`` smallest of each bucket; the bucket is the packed long's top bits."""
-        return let(numbered(mers), lambda s: F.filter(s, lambda x, i: (i < length) | (F.shiftrightunsigned(x.bitwiseXOR(F.get(s, i - length)), 64 - bits) != 0)))
+def _top(x: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(x, 64 - bits).cast("int")
 
-    def tuples(mers: Column) -> Column:
-        def per_bucket(chosen: Column) -> Column:
-            tops = F.transform(chosen, lambda x: F.shiftrightunsigned(x, 64 - bits).cast("int"))
 
-            def placed(t: Column) -> Column:
-                def element(b: Column) -> Column:
-                    def among(first: Column) -> Column:
-                        near = F.filter(F.slice(chosen, first, F.lit(length)), lambda x: F.shiftrightunsigned(x, 64 - bits).cast("int") == b)
-                        at = F.sort_array(F.transform(near, lambda x: x.bitwiseAND(F.lit(_MASK))))
-                        return F.when(first > 0, F.xxhash64(F.transform(at, lambda i: F.get(mers, i.cast("int")))))
+def _mixed(x: Column, nth: Column) -> Column:
+    """A packed long whose hash part takes in the occurrence number."""
+    return F.xxhash64(F.shiftrightunsigned(x, POS), nth).bitwiseAND(F.lit(~_MASK)).bitwiseOR(x.bitwiseAND(F.lit(_MASK)))
 
-                    return let(F.array_position(t, b).cast("int"), among)
 
-                return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), element)
-
-            return let(tops, placed)
-
-        return let(least(mers), per_bucket)
+def fingerprints(df: DataFrame, text_col: str = "text", out: str = "signature", k: int = K, buckets: int = BUCKETS, length: int = LENGTH) -> DataFrame:
+    """Adds ``out``, array<bigint>: a tuple hash per bucket, null where the bucket is empty. ``buckets``: a power of two.
 
+    Each step is a projection of its own: sorting an array of longs is a primitive sort only at the top of an expression.
+    """
+    bits = buckets.bit_length() - 1
+    keep = [c for c in df.columns if c != out]
+
+    def step(frame: DataFrame, *more: str, **new: Column) -> DataFrame:
+        return frame.select(*keep, *more, *[c.alias(f"_{n}") for n, c in new.items()])
+
+    at = lambda a, i: F.get(F.col(a), i)
+    df = step(df, trimmed=F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\x0c\r")))
+    df = step(df, none=F.col("_trimmed") == "", words=F.transform(F.split("_trimmed", r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))
+    each = F.transform(F.sequence(F.lit(1), F.size("_words") - (k - 1)), lambda i: F.xxhash64(*[at("_words", i + (j - 1)) for j in range(k)]))
+    df = step(df, "_none", mers=F.when(F.size("_words") < k, F.array(F.xxhash64("_words"))).otherwise(each))
+    # equal k-mers side by side; a run's nth is occurrence n, and most runs are of one
+    df = step(df, "_none", "_mers", sorted=F.sort_array(F.transform("_mers", lambda h, i: h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(i))))
+    new = lambda x, i: (i == 0) | (F.shiftrightunsigned(x.bitwiseXOR(at("_sorted", i - 1)), POS) != 0)
+    df = step(df, "_none", "_mers", "_sorted", starts=F.array_compact(F.transform("_sorted", lambda x, i: F.when(new(x, i), i))))
+    first = F.transform("_starts", lambda i: _mixed(at("_sorted", i), F.lit(0)))
+    ends = F.transform("_starts", lambda i, j: F.struct(i.alias("at"), F.coalesce(at("_starts", j + 1), F.size("_sorted")).alias("end")))
+    longer = F.filter(ends, lambda r: r["end"] - r["at"] > 1)
+    later = F.flatten(F.transform(longer, lambda r: F.transform(F.sequence(r["at"] + 1, r["end"] - 1), lambda x: _mixed(at("_sorted", x), x - r["at"]))))
+    numbered = F.when(F.size("_starts") == F.size("_sorted"), first).otherwise(F.concat(first, later))
+    df = step(df, "_none", "_mers", numbered=F.sort_array(numbered))
+    near = lambda x, i: F.shiftrightunsigned(x.bitwiseXOR(at("_numbered", i - length)), 64 - bits)
+    df = step(df, "_none", "_mers", chosen=F.filter("_numbered", lambda x, i: (i < length) | (near(x, i) != 0)))
+    tops = F.transform("_chosen", lambda x: _top(x, bits))
+
+    def element(b: Column, known: Column) -> Column:
+        def among(first: Column) -> Column:
+            own = F.filter(F.slice("_chosen", first, F.lit(length)), lambda x: _top(x, bits) == b)
+            places = F.array_sort(F.transform(own, lambda x: x.bitwiseAND(F.lit(_MASK))))
+            return F.when(first > 0, F.xxhash64(F.transform(places, lambda i: at("_mers", i.cast("int")))))
+
+        return let(F.array_position(known, b).cast("int"), among)
+
+    filled = let(tops, lambda known: F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: element(b, known)))
     nothing = F.array_repeat(F.lit(None).cast("bigint"), buckets)
-
-    def of(t: Column) -> Column:
-        hashed = F.transform(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
-        return F.when(t == "", nothing).otherwise(let(hashed, lambda h: let(kmers(h), tuples)))
-
-    return let(trimmed, of)
+    return df.select(*keep, F.when(F.col("_none"), nothing).otherwise(filled).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -106,10 +94,6 @@ def written(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.coalesce(F.lower(F.hex(x)), F.lit(""))), ".")
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", out: str = "signature", **how) -> DataFrame:
-    return df.withColumn(out, signature(F.col(text_col), **how))
-
-
 def with_next(docs: DataFrame, make, cols: list[str], rows_per_bucket: int = 1024) -> DataFrame:
     """``make(docs)`` and next_<col>: the row that follows in (doc_id, text) order, nulls first; after the last row the first.
 

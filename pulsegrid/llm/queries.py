@@ -42,7 +42,8 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", "signature", "next_signature", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "signature", "next_signature", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), order_minhash.signature(F.col("edited")).alias("edited_signature"))
+    rows = rows.select("*", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"))
+    rows = order_minhash.fingerprints(rows, "edited", "edited_signature").drop("edited")
     return rows.select(
         "doc_id",
         "n_chars",
