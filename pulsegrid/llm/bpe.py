@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 # Unicode's White_Space, which the pre-tokenizer's \s stands for.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SIZE, MEMO = 65536, 200_000
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -288,9 +289,9 @@ class Encoder:
 
 def _runs(batch, at: int, most: int = 4_000_000):
     """Slices of a batch of about ``most`` bytes of text."""
-    sizes = np.asarray(batch.column(at).cast(pa.large_string()).fill_null("").buffers()[1] and [len(x.as_py() or "") for x in batch.column(at)])
+    sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
     lo, total = 0, 0
-    for i, n in enumerate(sizes.tolist() if len(sizes) else []):
+    for i, n in enumerate(sizes.tolist()):
         total += n
         if total >= most:
             yield batch.slice(lo, i + 1 - lo)

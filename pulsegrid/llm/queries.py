@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import media, mixing, order_minhash, quality, simhash
+from pulsegrid.llm import bpe, media, mixing, order_minhash, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digests(docs, vocab, bpe.train_lexicon(docs, vocab))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,5 +62,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_simhash, op9_quality, op7_mix_sources, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op2_media_columns, op3_simhash, op4_bpe, op9_quality, op7_mix_sources, op10_order_minhash)}
 SQL = {"op7_mix_sources": mixing.SQL}
