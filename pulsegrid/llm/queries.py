@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, media, mixing, order_minhash, quality, simhash
+from pulsegrid.llm import bpe, media, mixing, order_minhash, quality, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").filter(quality.fold_of() != 0)
@@ -62,5 +66,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_simhash, op4_bpe, op9_quality, op7_mix_sources, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op2_media_columns, op3_simhash, op4_bpe, op8_suffix_dedup, op9_quality, op7_mix_sources, op10_order_minhash)}
 SQL = {"op7_mix_sources": mixing.SQL}
