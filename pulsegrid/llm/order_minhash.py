@@ -104,13 +104,14 @@ def with_next(docs: DataFrame, make, cols: list[str], rows_per_bucket: int = 102
     bucket = bucket_of(F.col("doc_id"), cuts)
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = make(docs).withColumn("bucket", bucket)
-    rows = rows.withColumn("following", F.lead(F.struct(*cols)).over(order))
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in cols} | {"more": F.lead(F.lit(True)).over(order)})
     ids = docs.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id"))
     among = Window.orderBy("bucket")
     before = F.coalesce(F.lag("bucket").over(among), F.max("bucket").over(Window.partitionBy(F.lit(0))))
     ids = F.broadcast(ids.select(F.col("doc_id").alias("first_id"), "bucket", before.alias("before")))
     firsts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]))
     firsts = firsts.withColumn("place", F.row_number().over(order)).filter("place = 1")
-    heads = make(firsts).select(F.col("before").alias("bucket"), F.struct(*cols).alias("head"))
-    out = rows.join(heads, "bucket", "left").withColumn("following", F.coalesce("following", "head"))
-    return out.select(*[c for c in rows.columns if c not in ("bucket", "following")], *[F.col("following")[c].alias(f"next_{c}") for c in cols])
+    heads = make(firsts).select(F.col("before").alias("bucket"), *[F.col(c).alias(f"head_{c}") for c in cols])
+    out = rows.join(heads, "bucket", "left")
+    following = [F.when(F.col("more"), F.col(f"next_{c}")).otherwise(F.col(f"head_{c}")).alias(f"next_{c}") for c in cols]
+    return out.select(*[c for c in rows.columns if c not in ("bucket", "more", *[f"next_{x}" for x in cols])], *following)
