@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -35,6 +36,12 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs whose results are stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint if ``df`` is counted to have at most ``max_rows`` rows; else ``df`` as it is."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, media, mixing, order_minhash, quality, simhash, suffix
+from pulsegrid.llm import bpe, katz, media, mixing, order_minhash, quality, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.fold_of(folds=7) == 2
+    scored = katz.score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.encode_wav(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = media.sniff(stored)
@@ -66,5 +73,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_simhash, op4_bpe, op8_suffix_dedup, op9_quality, op7_mix_sources, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_katz_score, op2_media_columns, op3_simhash, op4_bpe, op8_suffix_dedup, op9_quality, op7_mix_sources, op10_order_minhash)}
 SQL = {"op7_mix_sources": mixing.SQL}
