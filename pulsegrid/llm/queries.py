@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, katz, media, mixing, order_minhash, quality, simhash, suffix
+from pulsegrid.llm import bpe, katz, media, mixing, order_minhash, quality, rangecoder, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, vocab, bpe.train_lexicon(docs, vocab))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rangecoder.read_tokens(rangecoder.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -73,5 +78,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_score, op2_media_columns, op3_simhash, op4_bpe, op8_suffix_dedup, op9_quality, op7_mix_sources, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_katz_score, op2_media_columns, op3_simhash, op4_bpe, op5_token_files, op8_suffix_dedup, op9_quality, op7_mix_sources, op10_order_minhash)}
 SQL = {"op7_mix_sources": mixing.SQL}
