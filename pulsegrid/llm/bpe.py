@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+from pulsegrid.llm.common import stored
+
 # Unicode's White_Space, which the pre-tokenizer's \s stands for.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SIZE, MEMO = 65536, 200_000
+SIZE, MEMO = 65536, 400_000
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -66,29 +68,75 @@ class Vocabulary:
         self.pattern = regex.compile(PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Lowest rank first, leftmost among equals."""
-        if (whole := self.ids.get(piece)) is not None and len(piece) == 1:
-            return [whole]
-        ids, ranks = [self.single[b] for b in piece], self.ranks
-        while len(ids) > 1:
-            found = [ranks.get(p) for p in zip(ids, ids[1:])]
-            best = min((x for x in found if x), default=None)
-            if best is None:
-                break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and found[i] is not None and found[i][0] == best[0]:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def word(self, chunk: str) -> list[int]:
-        return [i for piece in self.pattern.findall(chunk) for i in self.merge(piece.encode())]
+        self.slots = _table_of(self.ranks)
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Pairs of lowest rank first, leftmost among equals; all pieces advance together, a rank a round.
+
+        A pair that arises from a merge always ranks after it, so a piece's pairs of its lowest rank can be merged in one round.
+        """
+        out: list[list[int]] = [[]] * len(pieces)
+        keys, ranks, made = self.slots
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        piece = np.repeat(np.arange(len(pieces)), size)
+        ids = np.array(self.single, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+        none = np.iinfo(np.int32).max
+        mask = len(keys) - 1
+        while len(ids):
+            key = ids[:-1] << 17 | ids[1:]
+            at = (key * 0x9E3779B1 >> 13) & mask
+            for _ in range(_PROBES):
+                miss = (keys[at] != key) & (keys[at] >= 0)
+                if not miss.any():
+                    break
+                at = np.where(miss, (at + 1) & mask, at)
+            same = (piece[:-1] == piece[1:]) & (keys[at] == key)
+            rank = np.append(np.where(same, ranks[at], none), none)
+            starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+            count = np.diff(np.r_[starts, len(ids)])
+            least = np.minimum.reduceat(rank, starts)
+            done = least == none
+            if done.any():
+                for p, a, n in zip(piece[starts[done]].tolist(), starts[done].tolist(), count[done].tolist(), strict=True):
+                    out[p] = ids[a : a + n].tolist()
+            live = np.repeat(~done, count)
+            mark = live & (rank == np.repeat(least, count))
+            first = np.flatnonzero(mark & ~np.r_[False, mark[:-1]])  # of pairs that overlap in a run, every second
+            if len(first):
+                run = np.cumsum(mark & ~np.r_[False, mark[:-1]]) - 1
+                offset = np.arange(len(ids)) - first[np.maximum(run, 0)]
+                mark &= offset % 2 == 0
+            hit = np.flatnonzero(mark)
+            ids[hit] = made[at[hit]]
+            keep = live
+            keep[hit + 1] = False
+            ids, piece = ids[keep], piece[keep]
+        return out
+
+    def words(self, chunks: list[str]) -> list[list[int]]:
+        split = [[p.encode() for p in self.pattern.findall(c)] for c in chunks]
+        unique = list(dict.fromkeys(p for s in split for p in s))
+        ids = dict(zip(unique, self.merge(unique), strict=True))
+        return [[i for p in s for i in ids[p]] for s in split]
+
+
+_PROBES = 64
+
+
+def _table_of(ranks: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An open-addressing table of pairs: key (-1: free), rank, merged id."""
+    size = 1 << max(4, (8 * len(ranks)).bit_length())
+    keys, rank, made = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int64)
+    for (a, b), (r, m) in ranks.items():
+        key = a << 17 | b
+        at = ((key * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF) >> 13) & (size - 1)
+        steps = 0
+        while keys[at] >= 0:
+            at, steps = (at + 1) & (size - 1), steps + 1
+            if steps >= _PROBES:
+                raise ValueError("a pair is too far from its place")
+        keys[at], rank[at], made[at] = key, r, m
+    return keys, rank, made
 
 
 @functools.lru_cache(2)
@@ -248,10 +296,20 @@ def word_counts(docs: DataFrame, vocab_path: str) -> DataFrame:
 
 
 def train_lexicon(docs: DataFrame, vocab_path: str, size: int = SIZE) -> str:
-    """Counts words, compiles the ``size`` most frequent (ties by bytes) and hands the file to every executor; returns its name."""
+    """Counts words, compiles the most frequent, ``size`` at most, and hands the file to every executor; returns its name."""
     vocab = vocabulary(vocab_path)
-    top = word_counts(docs, vocab_path).orderBy(F.desc("n"), "word").limit(size).collect()  # bounded by size
-    entries = {bytes(r["word"]): vocab.word(bytes(r["word"]).decode()) for r in top if bytes(r["word"]).decode() not in vocab.special}
+    counts = stored(word_counts(docs, vocab_path), "bpe-words")
+    level = F.floor(F.log2("n") * 16).cast("int")
+    steps = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect()  # 16 per doubling of n
+    total, cut = 0, None
+    for r in steps:
+        total += r["words"]
+        if total > size:
+            break
+        cut = r["level"]
+    top = counts.filter(level >= cut).select("word").collect() if cut is not None else []  # at most size words
+    found = sorted(w for r in top if (w := bytes(r["word"]).decode()) not in vocab.special)
+    entries = dict(zip((w.encode() for w in found), vocab.words(found), strict=True))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
     with open(path, "wb") as f:
@@ -267,23 +325,24 @@ class Encoder:
         self.vocab, self.lex, self.memo = vocab, lex, {}
 
     def learn(self, fresh: list[str]) -> None:
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
         keys = [w.encode() for w in fresh]
         numbers = self.lex.numbers(keys).tolist() if self.lex else [-1] * len(keys)
+        unseen = [w for w, n in zip(fresh, numbers, strict=True) if n < 0 and w not in self.vocab.special]
+        merged = dict(zip(unseen, self.vocab.words(unseen), strict=True))
         for w, n in zip(fresh, numbers, strict=True):
             special = self.vocab.special.get(w)
-            ids = [special] if special is not None else self.lex.ids_of(n) if n >= 0 else self.vocab.word(w)
+            ids = [special] if special is not None else self.lex.ids_of(n) if n >= 0 else merged[w]
             self.memo[w] = (ids, ",".join(map(str, ids)), b"".join([self.vocab.table[i] for i in ids]))
 
     def batch(self, texts: list[str]) -> list[list[tuple]]:
         split = [words(t, self.vocab.cut) for t in texts]
         seen = set().union(*split) if split else set()
-        if fresh := [w for w in seen if w not in self.memo]:
-            before = len(self.memo)
-            self.learn(sorted(fresh))
-            if len(self.memo) < before + len(fresh):  # it was cleared
-                self.learn([w for w in seen if w not in self.memo])
+        fresh = [w for w in seen if w not in self.memo]
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
+            fresh = list(seen)
+        if fresh:
+            self.learn(fresh)
         return [list(map(self.memo.__getitem__, s)) for s in split]
 
 
