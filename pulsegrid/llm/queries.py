@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, katz, media, mixing, order_minhash, quality, rangecoder, simhash, suffix
+from pulsegrid.llm import bpe, katz, media, mixing, order_minhash, quality, rangecoder, simhash, suffix, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangecoder.read_tokens(rangecoder.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.passage_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -79,5 +83,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_katz_score, op2_media_columns, op3_simhash, op4_bpe, op5_token_files, op8_suffix_dedup, op9_quality, op7_mix_sources, op10_order_minhash)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_katz_score, op2_media_columns, op3_simhash, op4_bpe, op5_token_files, op6_passages, op8_suffix_dedup, op9_quality, op7_mix_sources, op10_order_minhash)}
 SQL = {"op7_mix_sources": mixing.SQL}
