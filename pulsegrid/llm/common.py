@@ -7,7 +7,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,5 +83,8 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
 
 
-def row_order(bucket: str, *cols: str):
-    return Window.partitionBy(bucket).orderBy(*[F.col(c).asc_nulls_first() for c in cols])
+def block_count(df: DataFrame, block_bytes: int) -> int:
+    """Blocks of about ``block_bytes`` of text; on little text as many as there are shuffle partitions, if they get 512 KB each."""
+    size = text_bytes(df)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(size / block_bytes), min(partitions, math.ceil(size / (1 << 19))))

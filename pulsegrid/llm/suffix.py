@@ -21,7 +21,6 @@ null doc_ids are ordinary rows. In ``deduped`` a character that a cut splits is
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from pulsegrid.llm.common import text_bytes
+from pulsegrid.llm.common import block_count
 
 LENGTH, GRAM, BLOCK_BYTES = 200, 64, 4_000_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd constants of the mixing function
@@ -279,10 +278,9 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _run(docs: DataFrame, length: int, finish, schema: StructType) -> DataFrame:
     """``finish(table, block, spans)`` gives the rows of a block."""
-    spark = docs.sparkSession
     if not 2 * GRAM <= length <= 4 * GRAM:
         raise ValueError(f"length must be within {2 * GRAM} and {4 * GRAM}")
-    n = max(math.ceil(text_bytes(docs) / BLOCK_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = block_count(docs, BLOCK_BYTES)
     blocked = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     by_block = lambda df: df.groupBy("__block" if "__block" in df.columns else "block")
     empty = _parts([])
