@@ -24,8 +24,6 @@ probability is that of an unknown word, 1; repeated rows are rows of their own.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pulsegrid.llm.common import release, stored, text_bytes
+from pulsegrid.llm.common import block_count, release, stored
 
 K, BLOCK_BYTES = 5, 12_000_000
 END, BOS, UNKNOWN, FIRST = b"\n", 2, 0, 3
@@ -336,7 +334,7 @@ def _total(df: DataFrame, kind: int) -> np.ndarray:
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score; learns from the rows where ``train`` holds."""
     spark = docs.sparkSession
-    n = max(math.ceil(text_bytes(docs) / BLOCK_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = block_count(docs, BLOCK_BYTES)
     src = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("__train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
     id_type = docs.schema["doc_id"].dataType
     wide = StructType.fromDDL(PART + f", doc_id array<{id_type.simpleString()}>, sizes array<int>, train array<boolean>")

@@ -18,15 +18,13 @@ document; null doc_ids keep their rows, without class or links.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import release, stored, text_bytes
+from pulsegrid.llm.common import block_count, release, stored
 from pulsegrid.llm.components import components
 from pulsegrid.llm.suffix import PART, _by_block, _deal, _mix, _parts, _read
 
@@ -224,7 +222,7 @@ def _link(table: pa.Table, bucket: int) -> pa.Table:
 
 def links(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(a, b): documents that share a near-duplicate passage; enough links to span each class."""
-    n = max(math.ceil(text_bytes(docs) / BLOCK_BYTES), 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = block_count(docs, BLOCK_BYTES)
     blocked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
 
     def ask(t: pa.Table) -> pa.Table:
