@@ -72,10 +72,13 @@ def bucket_of(value: Column, cuts: list[int]) -> Column:
         return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0))
     points = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
     n, lo = len(cuts), F.lit(0)
+
+    def halved(lo: Column, s: int) -> Column:
+        return let(lo, lambda x: F.when((x + s <= n) & (F.get(points, F.least(x + s, F.lit(n)) - 1) <= value), x + s).otherwise(x))
+
     step = 1 << (n.bit_length() - 1)
     while step:
-        lo = let(lo, lambda x, s=step: F.when((x + s <= n) & (F.get(points, F.least(x + s, F.lit(n)) - 1) <= value), x + s).otherwise(x))
-        step >>= 1
+        lo, step = halved(lo, step), step >> 1
     return F.when(value.isNull(), F.lit(-1)).otherwise(lo)
 
 
