@@ -36,7 +36,7 @@ def _mixed(x: Column, nth: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", out: str = "signature", k: int = K, buckets: int = BUCKETS, length: int = LENGTH) -> DataFrame:
-    """Adds ``out``, array<bigint>: a tuple hash per bucket, null where the bucket is empty. ``buckets``: a power of two.
+    """Adds ``out``, array<int>: a tuple hash per bucket, null where the bucket is empty. ``buckets``: a power of two.
 
     Each step is a projection of its own: sorting an array of longs is a primitive sort only at the top of an expression.
     """
@@ -69,12 +69,12 @@ def fingerprints(df: DataFrame, text_col: str = "text", out: str = "signature",
         def among(first: Column) -> Column:
             own = F.filter(F.slice("_chosen", first, F.lit(length)), lambda x: _top(x, bits) == b)
             places = F.array_sort(F.transform(own, lambda x: x.bitwiseAND(F.lit(_MASK))))
-            return F.when(first > 0, F.xxhash64(F.transform(places, lambda i: at("_mers", i.cast("int")))))
+            return F.when(first > 0, F.hash(F.transform(places, lambda i: at("_mers", i.cast("int")))))
 
         return let(F.array_position(known, b).cast("int"), among)
 
     filled = let(tops, lambda known: F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: element(b, known)))
-    nothing = F.array_repeat(F.lit(None).cast("bigint"), buckets)
+    nothing = F.array_repeat(F.lit(None).cast("int"), buckets)
     return df.select(*keep, F.when(F.col("_none"), nothing).otherwise(filled).alias(out))
 
 
@@ -90,8 +90,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def written(sig: Column) -> Column:
-    """A signature as text: hexadecimal elements joined by dots, empty where the bucket is."""
-    return F.array_join(F.transform(sig, lambda x: F.coalesce(F.lower(F.hex(x)), F.lit(""))), ".")
+    """A signature as text: eight hexadecimal digits per bucket, dashes where it is empty."""
+    digits = lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return F.array_join(F.transform(sig, lambda x: F.coalesce(digits(x), F.lit("-" * 8))), "")
 
 
 def with_next(docs: DataFrame, make, cols: list[str], rows_per_bucket: int = 1024) -> DataFrame:
