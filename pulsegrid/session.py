@@ -44,7 +44,7 @@ def create_session(app: str = "pulsegrid", master: str | None = None, hive: bool
 
 
 def config_summary(spark: SparkSession) -> dict[str, str]:
-    return {k: spark.conf.get(k, "not set") for k in SUMMARY}
+    return {k: spark.conf.get(k, None) or "not set" for k in SUMMARY}
 
 
 def optimal_partitions(spark: SparkSession, data_size_gb: float = 1.0, partition_size_mb: int = 128, per_core: int = 2) -> int:
