@@ -138,7 +138,7 @@ def _encode(table: pa.Table, replies: pa.Table, block: int, buckets: int, schema
     known = known[np.argsort(ids[known])]
     n = len(w.tokens)
     data = pack(ids[w.tokens]) + pack(ids[known]) + pack(counts[known])
-    doc_id = pa.chunked_array([pa.array([table.column("doc_id").to_pylist()[i] for i in w.order], table.column("doc_id").type)]).combine_chunks()
+    doc_id = table.column("doc_id").combine_chunks().take(pa.array(w.order, pa.int64()))
     one = lambda x, t: pa.array([x], t)
     return pa.table(
         [one(ENCODED, pa.int32()), one(-1, pa.int32()), one(block, pa.int32()), one(n, pa.int32()), one(data, pa.binary()), pa.ListArray.from_arrays([0, len(doc_id)], doc_id), one(w.sizes, pa.list_(pa.int32())), one(w.train, pa.list_(pa.bool_()))],
