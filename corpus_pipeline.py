@@ -25,8 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the least doc_id. Shingles of five words."""
-    return simhash.one_of_each(docs, 5)
+    """One document of each group of near copies stays, that with the least doc_id. Shingles of five words, six fingerprints."""
+    return simhash.one_of_each(docs, 5, 6)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
