@@ -85,12 +85,13 @@ class Vocabulary:
         while len(ids):
             key = ids[:-1] << 17 | ids[1:]
             at = (key * 0x9E3779B1 >> 13) & mask
-            for _ in range(_PROBES):
-                miss = (keys[at] != key) & (keys[at] >= 0)
-                if not miss.any():
-                    break
-                at = np.where(miss, (at + 1) & mask, at)
-            same = (piece[:-1] == piece[1:]) & (keys[at] == key)
+            found = keys[at]
+            miss = np.flatnonzero((found != key) & (found >= 0))
+            while len(miss):
+                at[miss] = (at[miss] + 1) & mask
+                found[miss] = here = keys[at[miss]]
+                miss = miss[(here != key[miss]) & (here >= 0)]
+            same = (piece[:-1] == piece[1:]) & (found == key)
             rank = np.append(np.where(same, ranks[at], none), none)
             starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
             count = np.diff(np.r_[starts, len(ids)])
