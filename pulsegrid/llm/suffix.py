@@ -128,11 +128,13 @@ def _parts(rows: list[tuple[int, int, int, int, bytes]]) -> pa.Table:
 
 def _deal(kind: int, block: int, buckets: int, key: np.ndarray, *more: np.ndarray) -> list[tuple]:
     """A row for each bucket that gets keys, with the arrays one after the other."""
+    if not len(key):
+        return []
     to = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     to = to[order]
     cols = [x[order] for x in (key, *more)]
-    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, int)
+    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
     return [(kind, int(to[i]), block, int(j - i), b"".join(c[i:j].tobytes() for c in cols)) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=True)]
 
 
@@ -208,9 +210,11 @@ def _answer(table: pa.Table, bucket: int) -> pa.Table:
 
 
 def _by_block(kind: int, bucket: int, block: np.ndarray, *cols: np.ndarray) -> list[tuple]:
+    if not len(block):
+        return []
     order = np.argsort(block, kind="stable")
     who = block[order]
-    cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, int)
+    cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
     return [(kind, bucket, int(who[i]), int(j - i), b"".join(c[order[i:j]].tobytes() for c in cols)) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(who)], strict=True)]
 
 
