@@ -35,6 +35,9 @@ MAGIC, VERSION, IDS, FILE_BYTES, MEMO = b"PGTK", 1, 2048, 6_000_000, 500_000
 SLOTS, NONE = 2048, 65535  # entries of a context table; no id
 FLAG, HIGH = 12, 11  # bits of the decision's and of the high byte's total
 _U = np.uint64
+_RIGHT, _WRONG = np.int32(3968), np.int32(128)
+#: confidence after (confidence, right?), in the place where entries keep it
+_NEXT = np.array([0, 1, 0, 2, 1, 3, 2, 3], np.uint32) << np.uint32(16)
 START2, START1 = np.array([500, 1800, 2800, 3500]), np.array([300, 1000, 1800, 2600])
 
 
@@ -67,23 +70,21 @@ class _Model:
         p1, p2 = self.p1[:n], self.p2[:n]
         self.i1 = row * SLOTS + (p1 * np.uint32(40503) >> np.uint32(5) & np.uint32(SLOTS - 1))
         self.i2 = row * SLOTS + ((p1 * np.uint32(2654435761) + p2 * np.uint32(40503)) >> np.uint32(17) & np.uint32(SLOTS - 1))
-        e1, e2 = self.t1[self.i1], self.t2[self.i2]
+        e1, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.g1, self.g2 = e1 & np.uint32(0xFFFF), e2 & np.uint32(0xFFFF)
         self.k1, self.k2 = e1 >> np.uint32(16), e2 >> np.uint32(16)
         self.j1, self.j2 = row * 4 + self.k1, row * 4 + self.k2
-        w2 = self.a2[self.j2]
-        w1 = (4096 - w2) * self.a1[self.j1] >> 12
-        self.x2, self.x1 = w2, w1  # of 4096; what is left is at least 1
+        self.x2, self.own1 = self.a2.take(self.j2), self.a1.take(self.j1)
+        self.x1 = (4096 - self.x2) * self.own1 >> 12  # of 4096; what is left is at least 1
 
     def learn(self, n: int, s: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, high: np.ndarray) -> None:
         """hit1: the order-1 guess is right, whichever guess was coded."""
-        a2, a1 = self.x2, self.a1[self.j1]
-        self.a2[self.j2] = a2 + ((hit2 * 3840 + 128 - a2) >> 4)
-        self.a1[self.j1] = a1 + ((hit1 * 3840 + 128 - a1) >> 4)
+        self.a2[self.j2] = self.x2 + (np.where(hit2, _RIGHT, _WRONG) - self.x2 >> 4)
+        self.a1[self.j1] = self.own1 + (np.where(hit1, _RIGHT, _WRONG) - self.own1 >> 4)
         for t, i, k, g, hit in ((self.t1, self.i1, self.k1, self.g1, hit1), (self.t2, self.i2, self.k2, self.g2, hit2)):
-            up = np.minimum(k + hit, 3).astype(np.uint32)
-            weak = ~hit & (k > 0)  # a guess that was right before gets another chance
-            t[i] = np.where(hit, g | up << np.uint32(16), np.where(weak, g | (k - weak) << np.uint32(16), s))
+            q = k << np.uint32(1) | hit
+            # a guess that was right before gets another chance
+            t[i] = np.where(q & np.uint32(6), g, s) | _NEXT.take(q)
         self.seen[self.row[:n] * 256 + high] += 32
         self.p2, self.p1 = self.p1[:n], s
 
@@ -130,8 +131,8 @@ def encode_blocks(ids: np.ndarray, size: int = IDS) -> list[tuple[int, np.ndarra
         carry = new < low
         span = r * width1.astype(_U)
         at = m.row[:n] * 256 + high
-        f = m.f[at]
-        start = np.where(neither, (m.c[at] << 8) + (s & np.uint32(255)).astype(np.int32) * f, 0)
+        f = m.f.take(at)
+        start = np.where(neither, (m.c.take(at) << 8) + (s & np.uint32(255)).astype(np.int32) * f, 0)
         width1 = np.where(neither, f, 1 << (HIGH + 8))
         r = span >> _U(HIGH + 8)
         low = new + r * start.astype(_U)
@@ -197,16 +198,16 @@ def decode_blocks(lengths: np.ndarray, words: list[np.ndarray], size: int = IDS)
         span = r * width1.astype(_U)
         r = span >> _U(HIGH + 8)
         v = np.minimum(code // r, _U((1 << (HIGH + 8)) - 1)).astype(np.int32)
-        high = m.find[(m.row[:n] << HIGH) + (v >> 8)].astype(np.int64)
+        high = m.find.take((m.row[:n] << HIGH) + (v >> 8)).astype(np.int64)
         at = m.row[:n] * 256 + high
-        f, c = m.f[at], m.c[at] << 8
+        f, c = m.f.take(at), m.c.take(at) << 8
         below = (v - c) // f
         s = np.where(two, m.g2, np.where(take1, m.g1, (high << 8) + below)).astype(np.uint32)
         code = code - r * np.where(neither, c + below * f, 0).astype(_U)
         span = r * np.where(neither, f, 1 << (HIGH + 8)).astype(_U)
         emit = span < one
         shift = emit.astype(_U) << _U(5)
-        code = np.where(emit, code << _U(32) | src[k], code)
+        code = np.where(emit, code << _U(32) | src.take(k), code)
         span = span << shift
         k = k + emit
         high = (s >> np.uint32(8)).astype(np.int64)
