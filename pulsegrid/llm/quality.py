@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", width: int =
             zy += z.T @ np.asarray(batch.column(1))
         yield pa.RecordBatch.from_arrays([pa.array([zz.tobytes()], pa.binary()), pa.array([zy.tobytes()], pa.binary())], names=["zz", "zy"])
 
-    learn = rows.filter("fold < 3").repartition(PARTS, "doc_id").select("stats", "y")
+    learn = rows.filter("fold < 3").coalesce(PARTS).select("stats", "y")
     zz, zy = np.zeros((d, d)), np.zeros(d)
     for r in learn.mapInArrow(sums, "zz binary, zy binary").collect():  # PARTS rows
         zz += np.frombuffer(r["zz"]).reshape(d, d)
