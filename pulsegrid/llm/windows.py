@@ -125,7 +125,7 @@ def _answer(table: pa.Table, bucket: int) -> pa.Table:
 def _edges(block: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
     keep = a != b
     pair = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]), axis=1)
-    return [(EDGE, -1, block, pair.shape[1], pair[0].astype("<i8").tobytes() + pair[1].astype("<i8").tobytes())] if pair.shape[1] else []
+    return [(EDGE, block, block, pair.shape[1], pair[0].astype("<i8").tobytes() + pair[1].astype("<i8").tobytes())] if pair.shape[1] else []
 
 
 def _first_of_runs(order: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -196,7 +196,9 @@ def _passages(table: pa.Table, answers: pa.Table, block: int, buckets: int, leng
 
 
 def _link(table: pa.Table, bucket: int) -> pa.Table:
-    rows: list[tuple] = []
+    # what a block linked by itself passes through, so that blocks are worked on once
+    known = zip(*[table.column(c).to_pylist() for c in ("kind", "block", "n", "data")], strict=True)
+    rows: list[tuple] = [(EDGE, bucket, block, n, data) for kind, block, n, data in known if kind == EDGE]
     name, doc, _ = _read(table, EXACT, "<u8", "<i8")
     if len(name):
         order = np.lexsort((doc, name))
@@ -244,8 +246,7 @@ def links(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     answers = blocked.groupBy("block").applyInArrow(ask, PART).groupBy("bucket").applyInArrow(answer, PART)
     found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(passages, PART)
-    across = found.filter(F.col("kind") != EDGE).groupBy("bucket").applyInArrow(link, PART)
-    edges = found.filter(F.col("kind") == EDGE).unionByName(across)
+    edges = found.groupBy("bucket").applyInArrow(link, PART)
     return edges.select("n", "data").mapInArrow(unpack, "a long, b long").distinct()
 
 
