@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bpe, mixing, quality, simhash, suffix
+from pulsegrid.llm import bpe, mixing, quality, shingles, suffix
 from pulsegrid.llm.common import stored
 
 #: Cut at which a document is rejected.
@@ -25,8 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the least doc_id. Shingles of five words, six fingerprints."""
-    return simhash.one_of_each(docs, 5, 6)
+    """One document of each group of near copies stays, that with the least doc_id: texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return shingles.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("SimHash near-dedup", near_dedup),
+    ("shingle near-dedup", near_dedup),
     ("suffix-array dedup", substring_dedup),
     ("mixing sources", mix_sources),
     ("BPE encoding", tokenize),
