@@ -48,16 +48,15 @@ def statistics(text: str | None) -> list[float]:
     sp, nl, high, sym = int(h[32]), int(h[10]), int(h[128:].sum()), int(h[_SYM].sum())
     bang, stop = int(h[33] + h[63]), int(h[46] + h[44])
     other = n - (up + lo + dig + sp + nl + high + sym + bang + stop)
-    distinct = len(set(words))
-    probe = words if k <= 4096 else words[:: k // 4096]  # an even sample over the whole text for shares of words
-    marked = sum(1 for w in probe if w[-1] in SYMBOLS or w[-1] == 33)
-    shouted = sum(1 for w in probe if len(w) > 1 and w.isupper())
-    long = sum(1 for w in probe if len(w) > 14)
-    top = max(Counter(probe).values()) / len(probe)
+    count = Counter(words)
+    distinct, top = len(count), max(count.values())
+    marked = sum(c for w, c in count.items() if w[-1] in SYMBOLS or w[-1] == 33)
+    shouted = sum(c for w, c in count.items() if len(w) > 1 and w.isupper())
+    long = sum(c for w, c in count.items() if len(w) > 14)
     return [
         math.log1p(n), up / n, lo / n, dig / n, sp / n, nl / n, high / n, sym / n, bang / n, stop / n, other / n,
         math.log1p(k), math.log1p(sum(map(len, words)) / k), distinct / k, len(set(lines)) / max(1, len(lines)), math.log1p(n / max(1, len(lines))),
-        marked / len(probe), shouted / len(probe), top, long / len(probe),
+        marked / k, shouted / k, top / k, long / k,
     ]
 
 
