@@ -3,14 +3,14 @@
 A text's tokens are its five-word shingles. Under each of ``FUNCTIONS`` hashes, the Cartesian tree of the
 shingles' hashes has a node for every shingle that is the least of some passage of ``length`` shingles or more; the
 node's span, its compact window, holds all passages that share that minimum. Windows with the same minimum in
-several documents are candidates. Around each candidate's minimum, passages of 40 shingles at a few offsets
-within its window are joined on their contents; the offsets are so close that any verbatim passage of over 50 words
-that contains the minimum contains one of them whole. Passages that differ in places meet in bands of their 16
-min-hashes, and are linked where at least 13 agree (similarity 0.8).
+several documents are candidates. Each candidate travels with its context, the 90 shingles on either side of the minimum: a longer
+passage has a half of 46 shingles or more that is as similar, with minima of its own. Two candidates are linked
+where a pair of passages of the same extents around the shared minimum, of 46 to 181 shingles, has a similarity of 0.8 or more; shared
+shingles are counted by place, each once, and the best extents are found exactly. Candidates of
+one minimum are searched breadth-first; the prefix filter on rare shingles loses no pair, and no link hides another. A verbatim passage of over
+50 words shares its minimum under every function, wherever that lies; one of similarity 0.8 shares one of four with probability 0.998.
 
-A group never yields all its pairs: verbatim passages are linked to the group's least document, the others to leaders, each
-member to the first that it is similar to. Links that a leader hides are found from other bands, hashes and places; verbatim ones are
-never lost. Blocks and buckets exchange distinct keys, at most one per key and block.
+A group never yields all its pairs, only links that span it. Blocks and buckets exchange distinct keys; equal contexts of a block travel once.
 
 Defined results: null texts count as empty; texts of fewer than ``length`` shingles have no links; rows that repeat a doc_id are one
 document; null doc_ids keep their rows, without class or links.
@@ -28,8 +28,9 @@ from pulsegrid.llm.common import block_count, release, stored
 from pulsegrid.llm.components import components
 from pulsegrid.llm.suffix import PART, _by_block, _deal, _mix, _parts, _read
 
-SHINGLE, LENGTH, PASSAGE, STEP, FUNCTIONS, HASHES, BAND, AGREE, BLOCK_BYTES = 5, 46, 40, 6, 2, 16, 5, 13, 6_000_000
-KEY, EXACT, NEAR, EDGE = 1, 2, 3, 4
+SHINGLE, LENGTH, FUNCTIONS, AROUND, BLOCK_BYTES = 5, 46, 4, 90, 6_000_000
+WIDE, CONTEXT = 2 * AROUND + 1, f"({2 * AROUND + 1},)<u4"
+KEY, NEAR, EDGE = 1, 2, 3
 
 
 def _seed(i: int) -> np.ndarray:
@@ -98,19 +99,15 @@ def compact_windows(h: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     return c, np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _candidates(s: Shingles, length: int) -> tuple[np.ndarray, ...]:
-    """(key, c, l, r) of the windows of all functions."""
-    found = []
-    for f in range(FUNCTIONS):
-        h = _mix(s.x, _seed(f))
-        c, l, r = compact_windows(h, s.ends, length)
-        found.append((_mix(s.x[c], _seed(100 + f)), c, l, r))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+def _candidates(s: Shingles, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, c) of the minima of the windows of all functions."""
+    c = np.unique(np.concatenate([compact_windows(_mix(s.x, _seed(f)), s.ends, length)[0] for f in range(FUNCTIONS)]))
+    return _mix(s.x[c], _seed(100)), c
 
 
 def _ask(table: pa.Table, block: int, buckets: int, length: int) -> pa.Table:
     s = Shingles(table)
-    key, *_ = _candidates(s, length)
+    key, _ = _candidates(s, length)
     return _parts(_deal(KEY, block, buckets, np.unique(key)))
 
 
@@ -134,91 +131,139 @@ def _first_of_runs(order: np.ndarray, run: np.ndarray) -> np.ndarray:
     return first[run] if len(order) else order
 
 
+def _contexts(s: Shingles, c: np.ndarray) -> np.ndarray:
+    """The shingles around each place within its document, in 32 bits; 0 beyond the document."""
+    doc = s.doc[c]
+    at = c[:, None] + np.arange(-AROUND, AROUND + 1)
+    inside = (at >= np.r_[0, s.ends][doc][:, None]) & (at < s.ends[doc][:, None])
+    x = np.maximum(s.x >> np.uint64(32), np.uint64(1)).astype("<u4")
+    return np.where(inside, x[np.clip(at, 0, len(x) - 1)], np.uint32(0))
+
+
 def _passages(table: pa.Table, answers: pa.Table, block: int, buckets: int, length: int) -> pa.Table:
-    """Passages around the minima that several documents share."""
+    """Contexts of the minima that several documents share."""
     rows: list[tuple] = []
     known, _ = _read(answers, KEY, "<u8")
     s = Shingles(table)
     if not len(s.x):
         return _parts(rows)
-    key, c, l, r = _candidates(s, length)
+    key, c = _candidates(s, length)
+    if not len(c):
+        return _parts(rows)
     order = np.lexsort((s.doc[c], key))
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     run = np.cumsum(new) - 1
     several = np.bincount(run, np.r_[0, (~new[1:]) & (s.doc[c][order][1:] != s.doc[c][order][:-1])]) > 0
     shared = np.isin(key, known)
     shared[order[several[run]]] = True
-    c, l, r = c[shared], l[shared], r[shared]
-    start = np.concatenate([c - off for off in range(0, PASSAGE, STEP)])
-    lo, hi = (np.tile(x, -(-PASSAGE // STEP)) for x in (l, r))
-    start = np.unique(start[(start >= lo) & (start + PASSAGE - 1 <= hi)])
-    if not len(start):
-        return _parts(rows)
-    g = s.x
-    size = 1
-    while size * 2 <= PASSAGE:  # contents by doubling
-        g = _mix(g[: len(g) - size], g[size:])
-        size *= 2
-    name = _mix(g[start], g[start + PASSAGE - size])
-    doc = s.doc[start]
-    order = np.lexsort((doc, name))
-    run = np.cumsum(np.r_[False, name[order][1:] != name[order][:-1]])
+    key, c = key[shared], c[shared]
+    context = _contexts(s, c)
+    whole = key.copy()
+    for j in range(WIDE):
+        whole = _mix(whole, context[:, j].astype(np.uint64))
+    # the same context within the block is one entry
+    order = np.lexsort((s.doc[c], whole))
+    run = np.cumsum(np.r_[False, whole[order][1:] != whole[order][:-1]]) if len(order) else order
     rep = _first_of_runs(order, run)
-    rows += _edges(block, s.ids[doc[order]], s.ids[doc[rep]])
+    rows += _edges(block, s.ids[s.doc[c[order]]], s.ids[s.doc[c[rep]]])
     first = np.unique(rep)
-    rows += _deal(EXACT, block, buckets, name[first], s.ids[doc[first]].astype("<i8"))
-    # one passage for each minimum, with its min-hashes
-    mid = np.clip(c - PASSAGE // 2, l, np.maximum(l, r - PASSAGE + 1))
-    mid = np.unique(mid[mid + PASSAGE - 1 <= np.minimum(s.ends[s.doc[mid]] - 1, len(s.x) - 1)])
-    sig = np.zeros((len(mid), HASHES), np.uint16)
-    for i in range(HASHES):
-        least, size = _mix(s.x, _seed(1000 + i)), 1
-        while size * 2 <= PASSAGE:
-            least = np.minimum(least[: len(least) - size], least[size:])
-            size *= 2
-        sig[:, i] = _mix(np.minimum(least[mid], least[mid + PASSAGE - size]), _seed(7)) >> np.uint64(48)
-    for b in range(HASHES // BAND):
-        band = np.ascontiguousarray(np.c_[sig[:, b * BAND : (b + 1) * BAND].astype(np.uint64)])
-        k = np.full(len(mid), b, np.uint64)
-        for j in range(BAND):
-            k = _mix(k, band[:, j])
-        # the same signature within the block is one entry
-        whole = k.copy()
-        for j in range(HASHES):
-            whole = _mix(whole, sig[:, j].astype(np.uint64))
-        order = np.lexsort((s.doc[mid], whole))
-        run = np.cumsum(np.r_[False, whole[order][1:] != whole[order][:-1]])
-        rep = _first_of_runs(order, run)
-        rows += _edges(block, s.ids[s.doc[mid[order]]], s.ids[s.doc[mid[rep]]])
-        first = np.unique(rep)
-        rows += _deal(NEAR, block, buckets, k[first], s.ids[s.doc[mid[first]]].astype("<i8"), *[sig[first, j].astype("<u2") for j in range(HASHES)])
+    rows += _deal(NEAR, block, buckets, key[first], s.ids[s.doc[c[first]]].astype("<i8"), np.ascontiguousarray(context[first]))
     return _parts(rows)
 
 
-def _link(table: pa.Table, bucket: int) -> pa.Table:
+def _alike(x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    """Which contexts ``y`` have a passage around the middle that is similar to the one of ``x`` of the same extents."""
+    m, place = len(y), np.arange(-AROUND, AROUND + 1)
+    order = np.argsort(x, kind="stable")
+    at = np.minimum(np.searchsorted(x[order], y), WIDE - 1)
+    other = order[at]
+    same = (y == x) & (y > 0)
+    moved = (x[other] == y) & (y > 0) & ~same
+    if moved.any():  # a shingle that moved counts once, and not where its place in x has a partner
+        row, col = np.nonzero(moved)
+        to = other[row, col]
+        _, once = np.unique(row * WIDE + to, return_index=True)
+        once = once[~same[row[once], to[once]]]
+        moved[:] = False
+        moved[row[once], col[once]] = True
+    o = np.where(same, place, place[other])
+    left, right = np.maximum(-place, -o), np.maximum(place, o)
+    hit = same | moved
+    row = np.broadcast_to(np.arange(m)[:, None] * (AROUND + 1), y.shape)
+    before, after = hit & (place < 0) & (o < 0), hit & (place > 0) & (o > 0)
+    gain = [np.cumsum(np.bincount((row + e)[h], minlength=m * (AROUND + 1)).reshape(m, -1), axis=1) for e, h in ((left, before), (right, after))]
+    # similarity 0.8 of n shingles each: 9 x shared >= 8 x n; extents stay within both documents
+    step = np.arange(AROUND + 1)
+    both = (y > 0) & (x > 0)
+    a = np.where(both[:, AROUND::-1], 9 * gain[0] - 8 * step, -10_000)
+    b = np.where(both[:, AROUND:], 9 * gain[1] - 8 * step, -10_000)
+    b = np.maximum.accumulate(b[:, ::-1], axis=1)[:, ::-1]  # the best of this extent or more
+    return (a + b[:, np.maximum(length - 1 - step, 0)] + 1 >= 0).any(axis=1)  # the shared minimum itself: 9 - 8
+
+
+def _search(context: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """Links that span the groups of alike contexts."""
+    m = len(context)
+    if m == 2:
+        return ([0], [1]) if _alike(context[0], context[1:], length)[0] else ([], [])
+    value, token, count = np.unique(context, return_inverse=True, return_counts=True)
+    token = token.reshape(context.shape)
+    rare = np.where(value == 0, m * WIDE + 1, count)
+    need = -(-8 * length // 9)  # shared shingles at the least
+    # contexts that share ``need`` shingles share one of those left when the need - 1 most frequent are set aside
+    rank = np.empty(len(value), np.int64)
+    rank[np.argsort(rare, kind="stable")] = np.arange(len(value))
+    prefix, where = [], {}
+    for i in range(m):
+        t = np.unique(rank[token[i][context[i] > 0]])
+        prefix.append(t[: max(0, len(t) - need + 1)].tolist())
+        for k in prefix[-1]:
+            where.setdefault(k, []).append(i)
+    reached, a, b = [False] * m, [], []
+    for start in range(m):
+        if reached[start]:
+            continue
+        reached[start], todo = True, [start]
+        while todo:
+            x = todo.pop()
+            near = set()
+            for k in prefix[x]:
+                where[k] = [y for y in where[k] if not reached[y]]
+                near.update(where[k])
+            if near:
+                ys = np.array(sorted(near))
+                for y in ys[_alike(context[x], context[ys], length)].tolist():
+                    reached[y] = True
+                    a.append(x)
+                    b.append(y)
+                    todo.append(y)
+    return a, b
+
+
+def _link(table: pa.Table, bucket: int, length: int) -> pa.Table:
     # what a block linked by itself passes through, so that blocks are worked on once
     known = zip(*[table.column(c).to_pylist() for c in ("kind", "block", "n", "data")], strict=True)
     rows: list[tuple] = [(EDGE, bucket, block, n, data) for kind, block, n, data in known if kind == EDGE]
-    name, doc, _ = _read(table, EXACT, "<u8", "<i8")
-    if len(name):
-        order = np.lexsort((doc, name))
-        run = np.cumsum(np.r_[False, name[order][1:] != name[order][:-1]])
-        rows += _edges(bucket, doc[order], doc[_first_of_runs(order, run)])
-    name, doc, *sig, _ = _read(table, NEAR, "<u8", "<i8", *["<u2"] * HASHES)
+    name, doc, context, _ = _read(table, NEAR, "<u8", "<i8", CONTEXT)
     if len(name):
-        sig = np.stack(sig, axis=1)
-        order = np.lexsort((doc, name))
+        whole = name.copy()
+        for j in range(WIDE):
+            whole = _mix(whole, context[:, j].astype(np.uint64))
+        # equal contexts are one entry
+        order = np.lexsort((doc, whole))
+        run = np.cumsum(np.r_[False, whole[order][1:] != whole[order][:-1]])
+        rep = _first_of_runs(order, run)
+        a, b = [doc[order]], [doc[rep]]
+        kept = np.unique(rep)
+        order = kept[np.lexsort((doc[kept], name[kept]))]
         cut = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
-        a, b = [], []
         for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
-            left = order[i:j]
-            while len(left) > 1:
-                alike = (sig[left] == sig[left[0]]).sum(1) >= AGREE
-                a.append(doc[left[alike]])
-                b.append(np.full(int(alike.sum()), doc[left[0]]))
-                left = left[~alike]
-        if a:
-            rows += _edges(bucket, np.concatenate(a), np.concatenate(b))
+            if j - i > 1:
+                at = order[i:j]
+                x, y = _search(context[at], length)
+                a.append(doc[at[x]] if x else doc[:0])
+                b.append(doc[at[y]] if y else doc[:0])
+        rows += _edges(bucket, np.concatenate(a), np.concatenate(b))
     return _parts(rows)
 
 
@@ -237,7 +282,7 @@ def links(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return _passages(left, right, left.column("block")[0].as_py(), n, length) if left.num_rows else _parts([])
 
     def link(t: pa.Table) -> pa.Table:
-        return _link(t, t.column("bucket")[0].as_py())
+        return _link(t, t.column("bucket")[0].as_py(), length)
 
     def unpack(batches):
         for batch in batches:
