@@ -221,11 +221,11 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "null_report": (lambda t: checks.detect_nulls(t.table("documents").select("doc_id", "lang").join(t.table("labels"), "doc_id", "left"), ["lang", "quality", "toxic"]).withColumn("null_columns", F.array_join("null_columns", ",")), "SELECT doc_id, lang, quality, toxic, concat_ws(',', CASE WHEN lang IS NULL THEN 'lang' END, CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END) AS null_columns FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IS NULL OR quality IS NULL OR toxic IS NULL"),
     "outliers_iqr": (lambda t: checks.detect_outliers(t.events.select("event_id", "value"), "value"), "SELECT event_id, value, CASE WHEN value < q1 - 1.5 * (q3 - q1) THEN 'iqr_outlier_below' ELSE 'iqr_outlier_above' END AS outlier_reason, value AS outlier_value FROM events, (SELECT quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM events) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)"),
     "outliers_threshold": (lambda t: checks.detect_outliers(t.i.select("user_id", "duration_ms"), "duration_ms", "threshold", min_value=100, max_value=150_000), sql("SELECT user_id, duration_ms, CASE WHEN duration_ms < 100 THEN 'below_min' ELSE 'above_max' END AS outlier_reason, CAST(duration_ms AS DOUBLE) AS outlier_value FROM i WHERE duration_ms < 100 OR duration_ms > 150000", "i")),
-    "churn_features": (lambda t: _rounded(ml.churn_features(t.s, t.u), avg_session_ms=4, bounce_share=6), sql("SELECT user_id, device_type, country, subscription_type, n AS total_sessions, round(d, 4) AS avg_session_ms, a AS total_actions, round(b, 6) AS bounce_share, days AS active_days, date_diff('day', registration_date, last_seen) AS tenure_days, (date_diff('day', last_seen, (SELECT max(CAST(session_start_time AS DATE)) FROM s)) > 10)::INT AS churned FROM (SELECT user_id, count(*) AS n, avg(session_duration_ms) AS d, sum(action_count)::BIGINT AS a, avg(is_bounce::INT) AS b, count(DISTINCT CAST(session_start_time AS DATE)) AS days, max(CAST(session_start_time AS DATE)) AS last_seen FROM s GROUP BY 1) x JOIN u USING (user_id)", "s", "u")),
+    "churn_features": (lambda t: _rounded(ml.churn_features(t.s, t.u, away_days=10), avg_session_ms=4, bounce_share=6), sql("SELECT user_id, device_type, country, subscription_type, n AS total_sessions, round(d, 4) AS avg_session_ms, a AS total_actions, round(b, 6) AS bounce_share, days AS active_days, date_diff('day', registration_date, last_seen) AS tenure_days, (date_diff('day', last_seen, (SELECT max(CAST(session_start_time AS DATE)) FROM s)) > 10)::INT AS churned FROM (SELECT user_id, count(*) AS n, avg(session_duration_ms) AS d, sum(action_count)::BIGINT AS a, avg(is_bounce::INT) AS b, count(DISTINCT CAST(session_start_time AS DATE)) AS days, max(CAST(session_start_time AS DATE)) AS last_seen FROM s GROUP BY 1) x JOIN u USING (user_id)", "s", "u")),
     "segment_features": (lambda t: _rounded(ml.segment_features(t.freq, t.power, t.u), avg_sessions_per_day=6, hours_spent=9), sql("SELECT f.user_id, f.total_sessions, f.active_days, round(f.avg_sessions_per_day, 6) AS avg_sessions_per_day, round(coalesce(p.hours_spent, 0), 9) AS hours_spent, coalesce(p.total_interactions, 0) AS total_interactions, u.subscription_type FROM freq f JOIN u ON f.user_id = u.user_id LEFT JOIN power p ON p.user_id = f.user_id", "freq", "power")),
     "anomaly_overlap": (lambda t: ml.overlap(t.anom.select("event_type").distinct(), performance.anomalies(t.events.select("event_type", "value"), "value").select("event_type").distinct()), sql("SELECT count(*) FILTER (a AND b) AS both_methods, count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (NOT a AND b) AS only_second FROM (SELECT event_type, bool_or(k = 1) AS a, bool_or(k = 2) AS b FROM (SELECT DISTINCT event_type, 1 AS k FROM anom UNION ALL SELECT DISTINCT event_type, 2 FROM events, (SELECT avg(value) AS m2, stddev_samp(value) AS s2 FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events) WHERE abs((value - m) / s) <= 3) WHERE abs((value - m2) / s2) > 3) GROUP BY 1)", "anom")),
     "lift_ntile": (lambda t: ml.lift(t.u.join(engagement.user_totals(t.i), "user_id"), "total_interactions", F.col("days_active") > 10), sql("SELECT bucket::INT AS bucket, n AS users, round(r, 6) AS rate, round(r / (sum(n * r) OVER () / sum(n) OVER ()), 4) AS lift FROM (SELECT bucket, count(*) AS n, avg((days_active > 10)::INT) AS r FROM (SELECT *, ntile(5) OVER (ORDER BY total_interactions DESC, user_id) AS bucket FROM totals) GROUP BY 1)", "totals")),
-    "kmeans_segments": (lambda t: ml.segments(ml.segment_features(t.freq, t.power, t.u), ks=(3, 4)), None),
+    "kmeans_segments": (lambda t: ml.segments(ml.segment_features(t.freq, t.power, t.u)), None),
     "churn_scores": (lambda t: ml.churn(ml.churn_features(t.s, t.u)).scores, None),
     "kmeans_anomalies": (lambda t: ml.kmeans_anomalies(t.i.withColumn("metric_date", F.to_date("timestamp"))), None),
     "retention_forecast": (lambda t: ml.forecast(ml.retention_pivot(retention.cohort_retention(t.oi, adapters.order_users(t.spark, t.sf_dir)))), None),

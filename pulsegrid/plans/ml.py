@@ -20,7 +20,7 @@ CATEGORIES = ("device_type", "country", "subscription_type")
 SEGMENT_NUMBERS = ("total_sessions", "active_days", "avg_sessions_per_day", "hours_spent", "total_interactions")
 
 
-def churn_features(sessions: DataFrame, users: DataFrame, away_days: int = 10) -> DataFrame:
+def churn_features(sessions: DataFrame, users: DataFrame, away_days: int = 30) -> DataFrame:
     """Per user: session counts and shares, tenure, and whether the last session is over ``away_days`` before the last of all."""
     day = F.to_date("session_start_time")
     per = sessions.groupBy("user_id").agg(
@@ -42,7 +42,7 @@ class Churn:
     confusion: DataFrame
 
 
-def churn(features: DataFrame, trees: int = 10, depth: int = 4, evaluate: bool = False, min_auc: float = 0.7) -> Churn:
+def churn(features: DataFrame, trees: int = 50, depth: int = 5, evaluate: bool = False, min_auc: float = 0.7) -> Churn:
     """Gradient-boosted trees on four numbers and three categories; scores for all users, measured on a fifth held out.
 
     A user is held out by the hash of its id, so a rerun splits alike.
@@ -132,7 +132,7 @@ def forecast(pivot: DataFrame, target: str = "week_12", features: tuple[str, ...
     rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.withColumn("cohort_size", F.col("cohort_size").cast("double")))
     train, test = rows.filter("_at < 0.8"), rows.filter("_at >= 0.8")
     rmse = RegressionEvaluator(labelCol=target, metricName="rmse")
-    models = [LinearRegression(labelCol=target).fit(train), GBTRegressor(labelCol=target, maxIter=10, maxDepth=4, seed=SEED).fit(train)]
+    models = [LinearRegression(labelCol=target).fit(train), GBTRegressor(labelCol=target, maxIter=50, maxDepth=4, seed=SEED).fit(train)]
     mean = train.agg(F.avg(target).alias("mean"))
     best = min(models, key=lambda m: rmse.evaluate(m.transform(test)))
     out = best.transform(rows).crossJoin(F.broadcast(mean))
