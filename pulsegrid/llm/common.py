@@ -82,6 +82,19 @@ def bucket_of(value: Column, cuts: list[int]) -> Column:
     return F.when(value.isNull(), F.lit(-1)).otherwise(lo)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def dealt(n: int) -> Column:
+    """A block number below ``n`` by a row's place in its input, so that repeated rows spread out too."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
 

@@ -28,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from pulsegrid.llm.common import block_count
+from pulsegrid.llm.common import block_count, dealt, fresh
 
 LENGTH, GRAM, BLOCK_BYTES = 200, 64, 4_000_000
+#: Windows that are worked on together; a place within a piece has 20 bits.
+PIECE, _LOW = 1 << 19, np.uint64((1 << 20) - 1)
+_SEED = np.full(1, 0x5851F42D4C957F2D, np.uint64)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd constants of the mixing function
 PART = "kind int, bucket int, block int, n int, data binary"
 #: kinds of rows that travel: what a block asks of a bucket, what a bucket answers, and spans a block knows for itself
@@ -46,23 +49,31 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return r
 
 
-def _ahead(x: np.ndarray, n: int) -> np.ndarray:
-    """x[i + n], zero beyond the end."""
-    out = np.zeros_like(x)
-    if n < len(x):
-        out[: len(x) - n] = x[n:]
-    return out
+def _words(t: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes at every position."""
+    return np.ndarray((max(0, len(t) - 7),), "<u8", t, strides=(1,))
 
 
-def _buckets(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the 64-byte and 128-byte grams at every position."""
-    g = t.astype(np.uint64)
-    for n in (1, 2, 4):  # eight bytes exactly
-        g |= _ahead(g, n) << np.uint64(8 * n)
-    g = _mix(g, np.full(1, 0x5851F42D4C957F2D, np.uint64))
-    for n in (8, 16, 32):
-        g = _mix(g, _ahead(g, n))
-    return g, _mix(g, _ahead(g, GRAM))
+def _level(g: np.ndarray, size: int) -> np.ndarray:
+    """Identifiers of strings of twice ``size`` bytes from those of ``size`` at an offset and ``size`` further on."""
+    return _mix(g[:-size], g[size:])
+
+
+def _grams(t: np.ndarray) -> np.ndarray:
+    """The identifiers of the 64-byte strings at every position, refined from those of 8, 16 and 32 bytes."""
+    g = _mix(np.array(_words(t)), _SEED)
+    for size in (8, 16, 32):
+        g = _level(g, size)
+    return g
+
+
+def _grams_at(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same identifiers at the places ``at`` only."""
+    w = _words(t)
+    g = [_mix(w[at + 8 * k], _SEED) for k in range(GRAM // 8)]
+    while len(g) > 1:
+        g = [_mix(x, y) for x, y in zip(g[::2], g[1::2], strict=True)]
+    return g[0]
 
 
 class Block:
@@ -78,46 +89,70 @@ class Block:
         self.length = length
 
     def anchors(self) -> None:
-        """a, b: first and last window of each anchor; gram: the anchor's identifier; context: its context's."""
-        t = np.frombuffer(b"".join(self.raw), np.uint8)
+        """a, b: first and last window of each anchor; gram: the anchor's identifier; context: its context's.
+
+        Works on pieces of ``PIECE`` bytes, so that what it holds beside the text follows the number of anchors.
+        """
+        self.t = t = np.frombuffer(b"".join(self.raw), np.uint8)
         n, w = len(t), self.length - GRAM + 1
-        empty = np.zeros(0, np.int64)
-        self.a = self.b = empty
-        self.gram = self.context = empty.astype(np.uint64)
-        if n < self.length:
+        none = np.zeros(0, np.int64)
+        self.a = self.b = none
+        self.gram = self.context = none.astype(np.uint64)
+        last = n - self.length + 1  # windows start before
+        if last < 1:
             return
-        g64, self.g128 = _buckets(t)
-        bits = np.uint64(max(20, int(n).bit_length()))
-        low = (np.uint64(1) << bits) - np.uint64(1)
-        least = (g64 & ~low) | np.arange(n, dtype=np.uint64)
-        size = 1
-        while size * 2 <= w:
-            least = np.minimum(least[: len(least) - size], least[size:])
-            size *= 2
-        if size < w:
-            least = np.minimum(least[: len(least) - (w - size)], least[w - size :])
-        least = least[: n - self.length + 1]
-        s = np.arange(len(least))
-        doc = np.searchsorted(self.ends, s, side="right")
-        fits = s + self.length <= self.ends[doc]
-        s, at = s[fits], (least[fits] & low).astype(np.int64)
-        if not len(s):
+        long = self.ends - self.starts >= self.length
+        step = np.zeros(n + 1, np.int8)  # +1 where a document's windows begin, -1 where they end
+        step[self.starts[long]] = 1
+        step[self.ends[long] - self.length + 1] = -1
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        inside = 0
+        for lo in range(0, last, PIECE):
+            hi = min(lo + PIECE, last)
+            g = _grams(t[lo : hi + self.length - 1])
+            least = (g & ~_LOW) | np.arange(len(g), dtype=np.uint64)
+            size = 1
+            while size * 2 <= w:
+                least = np.minimum(least[:-size], least[size:])
+                size *= 2
+            if size < w:
+                least = np.minimum(least[: len(least) - (w - size)], least[w - size :])
+            at = (least & _LOW).astype(np.int32)
+            fits = np.cumsum(step[lo:hi], dtype=np.int8)
+            fits += np.int8(inside)
+            inside = int(fits[-1])
+            new = np.r_[True, (at[1:] != at[:-1]) | (fits[1:] != fits[:-1])]
+            first = np.flatnonzero(new)
+            end = np.r_[first[1:], hi - lo] - 1
+            keep = fits[first] > 0
+            first, end = first[keep], end[keep]
+            found.append((first + lo, end + lo, at[first].astype(np.int64) + lo))
+        a, b, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(a):
             return
-        cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)])
-        self.a, self.b = s[cut], s[np.r_[cut[1:] - 1, len(s) - 1]]
-        at = at[cut]
-        self.gram = g64[at]
+        joins = np.r_[False, (at[1:] == at[:-1]) & (a[1:] == b[:-1] + 1)]  # a piece's border cuts no context
+        self.a, at = a[~joins], at[~joins]
+        self.b = b[np.r_[~joins[1:], True]]
+        self.gram = _grams_at(t, at)
         end = self.b + self.length
         mid = self.a + (end - self.a - 2 * GRAM) // 2
         shape = ((end - self.a) << 16 | (at - self.a)).astype(np.uint64)
-        self.context = _mix(_mix(self.g128[self.a], self.g128[end - 2 * GRAM]), _mix(self.g128[mid], shape))
+        self.context = _mix(_mix(self._long(self.a), self._long(end - 2 * GRAM)), _mix(self._long(mid), shape))
+
+    def _long(self, at: np.ndarray) -> np.ndarray:
+        """Identifiers of 128 bytes."""
+        return _mix(_grams_at(self.t, at), _grams_at(self.t, at + GRAM))
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(identifier, anchor's identifier, start) of each window of the anchors ``which``."""
         size = self.b[which] - self.a[which] + 1
         s = np.repeat(self.a[which] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
         later = self.length - 2 * GRAM
-        return _mix(self.g128[s], self.g128[s + later]), np.repeat(self.gram[which], size), s
+        name = np.zeros(len(s), np.uint64)
+        for lo in range(0, len(s), PIECE):
+            at = s[lo : lo + PIECE]
+            name[lo : lo + PIECE] = _mix(self._long(at), self._long(at + later))
+        return name, np.repeat(self.gram[which], size), s
 
 
 def _parts(rows: list[tuple[int, int, int, int, bytes]]) -> pa.Table:
@@ -285,18 +320,19 @@ def _run(docs: DataFrame, length: int, finish, schema: StructType) -> DataFrame:
     if not 2 * GRAM <= length <= 4 * GRAM:
         raise ValueError(f"length must be within {2 * GRAM} and {4 * GRAM}")
     n = block_count(docs, BLOCK_BYTES)
-    blocked = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    by_block = lambda df: df.groupBy("__block" if "__block" in df.columns else "block")
+    key = fresh(docs, "block")
+    blocked = docs.withColumn(key, dealt(n))
+    by_block = lambda df: df.groupBy(key if key in df.columns else "block")
     empty = _parts([])
 
     def ask(table: pa.Table) -> pa.Table:
-        return _ask(table, table.column("__block")[0].as_py(), n, length)
+        return _ask(table, table.column(key)[0].as_py(), n, length)
 
     def answer(table: pa.Table) -> pa.Table:
         return _answer(table, table.column("bucket")[0].as_py())
 
     def refine(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _refine(left, right, left.column("__block")[0].as_py(), n, length) if left.num_rows else empty
+        return _refine(left, right, left.column(key)[0].as_py(), n, length) if left.num_rows else empty
 
     def settle(table: pa.Table) -> pa.Table:
         return _settle(table, table.column("bucket")[0].as_py())
