@@ -7,6 +7,9 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,22 @@ def bucket_of(value: Column, cuts: list[int]) -> Column:
     return F.when(value.isNull(), F.lit(-1)).otherwise(lo)
 
 
+def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of all texts as numbers, end to end, how many each text has, and the distinct words by number.
+
+    A-Z is lower-cased; words are runs without ASCII white space; null texts are empty.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes, found = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+    empty = np.flatnonzero(pc.binary_length(found).to_numpy(zero_copy_only=False) == 0)  # beside white space at either end
+    if len(empty):
+        sizes -= np.bincount(np.searchsorted(np.cumsum(sizes), empty, side="right"), minlength=len(sizes))
+        found = found.filter(pc.greater(pc.binary_length(found), 0))
+    coded = found.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes, coded.dictionary.cast(pa.binary()).to_pylist()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -2,18 +2,23 @@
 
 A text's tokens are its five-word shingles. Under each of ``FUNCTIONS`` hashes, the Cartesian tree of the
 shingles' hashes has a node for every shingle that is the least of some passage of ``length`` shingles or more; the
-node's span, its compact window, holds all passages that share that minimum. Windows with the same minimum in
-several documents are candidates. Each candidate travels with its context, the 90 shingles on either side of the minimum: a longer
-passage has a half of 46 shingles or more that is as similar, with minima of its own. Two candidates are linked
-where a pair of passages of the same extents around the shared minimum, of 46 to 181 shingles, has a similarity of 0.8 or more; shared
+node's span, its compact window, holds all passages that share that minimum. Windows that have their minimum in common
+are joined as intervals: laid over each other at the minimum, what both cover holds every pair of passages that this hash can
+witness. One hash of the four is enough to make a candidate, so that a pair of similarity 0.8 becomes one with probability 0.998; a
+verbatim passage of over 50 words shares its minimum under every hash, wherever that lies.
+
+A minimum whose 47 shingles around it are the same wherever it occurs needs no more: its documents share a
+verbatim passage. For the others the shingles of their windows travel (at most 90 on either side: a longer passage has a half of 46
+shingles or more that is as similar, with minima of its own), and candidates are verified: two are linked
+where passages of the same extents around the minimum, of 46 to 181 shingles, have a similarity of 0.8 or more; shared
 shingles are counted by place, each once, and the best extents are found exactly. Candidates of
-one minimum are searched breadth-first; the prefix filter on rare shingles loses no pair, and no link hides another. A verbatim passage of over
-50 words shares its minimum under every function, wherever that lies; one of similarity 0.8 shares one of four with probability 0.998.
+one minimum are searched breadth-first; the prefix filter on rare shingles loses no pair, and no link hides another.
 
-A group never yields all its pairs, only links that span it. Blocks and buckets exchange distinct keys; equal contexts of a block travel once.
+A group never yields all its pairs, only a star of its least document for each linked set. Blocks and buckets exchange distinct keys, at
+most two entries per key and block; equal windows of a block travel once; links are made distinct in packed form.
 
 Defined results: null texts count as empty; texts of fewer than ``length`` shingles have no links; rows that repeat a doc_id are one
-document; null doc_ids keep their rows, without class or links.
+document; null doc_ids keep their rows, without class or links. ``n_links`` is the number of other documents in the class.
 """
 
 from __future__ import annotations
@@ -24,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import block_count, release, stored
+from pulsegrid.llm.common import block_count, dealt, release, split_words, stored
 from pulsegrid.llm.components import components
 from pulsegrid.llm.suffix import PART, _by_block, _deal, _mix, _parts, _read
 
 SHINGLE, LENGTH, FUNCTIONS, AROUND, BLOCK_BYTES = 5, 46, 4, 90, 6_000_000
-WIDE, CONTEXT = 2 * AROUND + 1, f"({2 * AROUND + 1},)<u4"
-KEY, NEAR, EDGE = 1, 2, 3
+#: shingles on either side of a minimum that make a verbatim passage; shingles by which a window is widened, for inserted words
+MIDDLE, SLACK = 23, 6
+WIDE = 2 * AROUND + 1
+KEY, SAME, NEAR, EDGE = 1, 2, 3, 4
 
 
 def _seed(i: int) -> np.ndarray:
@@ -41,88 +48,167 @@ class Shingles:
     """The shingles of a block's documents end to end; ``doc``: the document of each, ``ends``: where each document's end."""
 
     def __init__(self, table: pa.Table):
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        use = sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: (ids[i], texts[i] or ""))
-        number: dict[bytes, int] = {}
-        words = []
-        for i in use:
-            w = (texts[i] or "").encode().lower().split()
-            words.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int64, len(w)))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-        sizes = [max(0, len(w) - SHINGLE + 1) for w in words]
-        self.ids = np.array([ids[i] for i in use], np.int64)
-        out = []
-        for w, n in zip(words, sizes, strict=True):
-            if n:
-                h = hashes[w]
-                x = h[:n]
-                for k in range(1, SHINGLE):
-                    x = _mix(x, h[k : k + n])
-                out.append(x)
-        self.x = np.concatenate(out) if out else np.zeros(0, np.uint64)
-        self.ends = np.cumsum(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64)
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
-
-
-def compact_windows(h: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c, l, r) of the Cartesian trees' nodes whose span within a document has ``length`` positions or more; leftmost among equals is the least."""
+        table = table.select(["doc_id", "text"]).combine_chunks()
+        ids = table.column("doc_id").to_numpy()
+        table = table.filter(table.column("doc_id").is_valid()) if table.column("doc_id").null_count else table
+        ids = table.column("doc_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order].astype(np.int64)
+        words, sizes, distinct = split_words(table.column("text").take(pa.array(order)))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+        w = hashes[words]
+        x = w
+        for k in range(1, SHINGLE):
+            x = _mix(x[: max(0, len(w) - k)], w[k:])
+        own = np.maximum(sizes - SHINGLE + 1, 0)  # the last words of a text start none
+        left = np.ones(len(w), bool)
+        stop = np.cumsum(sizes)
+        for k in range(1, SHINGLE):
+            left[(stop - k)[sizes >= k]] = False
+        self.x = x[left[: len(x)]]
+        self.ends = np.cumsum(own, dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(own)), own)
+
+
+def _nodes(h: np.ndarray, ends: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (with their packed hashes) that are the least of some passage of ``length`` within a document; leftmost among equals."""
     n = len(h)
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return none, none, none
-    bits = np.uint64(max(20, n.bit_length()))
+    bits = np.uint64(max(24, n.bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     packed = (h & ~low) | np.arange(n, dtype=np.uint64)
     least, size = packed, 1
     while size * 2 <= length:
-        least = np.minimum(least[: len(least) - size], least[size:])
+        least = np.minimum(least[:-size], least[size:])
         size *= 2
     if size < length:
         least = np.minimum(least[: len(least) - (length - size)], least[length - size :])
-    s = np.arange(len(least))
-    doc = np.searchsorted(ends, s, side="right")
-    c = np.unique((least[s + length <= ends[doc]] & low).astype(np.int64))
-    # spans: the nearest smaller nodes are ancestors in the tree, so they are among c themselves
-    doc = np.searchsorted(ends, c, side="right")
-    first = np.r_[0, ends][doc]
-    l, r = first.copy(), ends[doc] - 1
-    value, place, of = packed[c].tolist(), c.tolist(), doc.tolist()
-    left, right, stack = l.tolist(), r.tolist(), []
-    for i, v in enumerate(value):
-        while stack and (of[stack[-1]] != of[i] or value[stack[-1]] > v):
+    at = (least & low).astype(np.int64)[np.arange(len(least)) + length <= ends[doc[: len(least)]]]
+    c = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at  # the least moves to the right only
+    return c, packed[c]
+
+
+def _spans(c: np.ndarray, value: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each node's span: the nearest smaller nodes are ancestors in the tree, so they are among ``c`` themselves."""
+    l, r = np.r_[0, ends][of].tolist(), (ends[of] - 1).tolist()
+    v, place, doc, stack = value.tolist(), c.tolist(), of.tolist(), []
+    for i, x in enumerate(v):
+        while stack and (doc[stack[-1]] != doc[i] or v[stack[-1]] > x):
             j = stack.pop()
-            if of[j] == of[i]:
-                right[j] = place[i] - 1
+            if doc[j] == doc[i]:
+                r[j] = place[i] - 1
         if stack:
-            left[i] = place[stack[-1]] + 1
+            l[i] = place[stack[-1]] + 1
         stack.append(i)
-    return c, np.array(left, np.int64), np.array(right, np.int64)
+    return np.array(l, np.int64), np.array(r, np.int64)
 
 
-def _candidates(s: Shingles, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, c) of the minima of the windows of all functions."""
-    c = np.unique(np.concatenate([compact_windows(_mix(s.x, _seed(f)), s.ends, length)[0] for f in range(FUNCTIONS)]))
-    return _mix(s.x[c], _seed(100)), c
+def compact_windows(h: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, l, r) of the Cartesian trees' nodes whose span within a document has ``length`` positions or more."""
+    if len(h) < length:
+        return (np.zeros(0, np.int64),) * 3
+    doc = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+    c, value = _nodes(h, ends, doc, length)
+    return c, *_spans(c, value, ends, doc[c])
+
+
+def _minima(s: Shingles, length: int, spans: bool) -> tuple[np.ndarray, ...]:
+    """key, c, and with ``spans`` the first and last place of the window, of the minima under all functions; a minimum of several has its widest window."""
+    none = np.zeros(0, np.int64)
+    if len(s.x) < length:
+        return none.astype(np.uint64), none, none, none
+    cs, ls, rs = [], [], []
+    for f in range(FUNCTIONS):
+        c, value = _nodes(_mix(s.x, _seed(f)), s.ends, s.doc, length)
+        cs.append(c)
+        if spans:
+            l, r = _spans(c, value, s.ends, s.doc[c])
+            ls.append(l)
+            rs.append(r)
+    c, back = np.unique(np.concatenate(cs), return_inverse=True)
+    key = _mix(s.x[c], _seed(100))
+    if not spans:
+        return key, c, none, none
+    first, last = c.copy(), c.copy()
+    np.minimum.at(first, back, np.concatenate(ls))
+    np.maximum.at(last, back, np.concatenate(rs))
+    doc = s.doc[c]
+    first = np.maximum(np.maximum(first - SLACK, c - AROUND), np.r_[0, s.ends][doc])
+    last = np.minimum(np.minimum(last + SLACK, c + AROUND), s.ends[doc] - 1)
+    return key, c, first, last
+
+
+def _middles(s: Shingles, c: np.ndarray, length: int) -> np.ndarray:
+    """An identifier of the shingles around each place, 0 where they do not lie within its document or would be too few."""
+    doc = s.doc[c]
+    fits = (c - MIDDLE >= np.r_[0, s.ends][doc]) & (c + MIDDLE < s.ends[doc]) & (2 * MIDDLE + 1 >= length)
+    out = np.zeros(len(c), np.uint64)
+    at = c[fits] - MIDDLE
+    if not len(at):
+        return out
+    x, size, left, part = s.x, 1, 2 * MIDDLE + 1, None
+    while left:  # the bits of 47, each by strings of that length
+        if left & 1:
+            part = x[at] if part is None else _mix(part, x[at])
+            at = at + size
+        left >>= 1
+        if left:
+            x, size = _mix(x[:-size], x[size:]), 2 * size
+    out[fits] = np.maximum(part, np.uint64(1))
+    return out
 
 
 def _ask(table: pa.Table, block: int, buckets: int, length: int) -> pa.Table:
     s = Shingles(table)
-    key, _ = _candidates(s, length)
-    return _parts(_deal(KEY, block, buckets, np.unique(key)))
+    key, c, _, _ = _minima(s, length, False)
+    middle = _middles(s, c, length)
+    order = np.lexsort((middle, key))
+    key, middle = key[order], middle[order]
+    if len(key):
+        new = np.r_[True, (key[1:] != key[:-1]) | (middle[1:] != middle[:-1])]
+        key, middle = key[new], middle[new]
+        third = np.r_[False, False, key[2:] == key[:-2]][: len(key)]  # two show that they differ
+        key, middle = key[~third], middle[~third]
+    return _parts(_deal(KEY, block, buckets, key, middle))
 
 
 def _answer(table: pa.Table, bucket: int) -> pa.Table:
-    key, block = _read(table, KEY, "<u8")
+    """To each block: its keys that other blocks have too, and whether all have the same middle."""
+    key, middle, block = _read(table, KEY, "<u8", "<u8")
+    if not len(key):
+        return _parts([])
     order = np.lexsort((block, key))
-    run = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]]) if len(key) else order
-    at = order[np.bincount(run)[run] > 1] if len(key) else order
-    return _parts(_by_block(KEY, bucket, block[at], key[at]))
+    k, m, b = key[order], middle[order], block[order]
+    new = np.r_[True, k[1:] != k[:-1]]
+    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    several = np.bincount(run, np.r_[False, ~new[1:] & (b[1:] != b[:-1])]) > 0
+    same = np.minimum.reduceat(m, first) == np.maximum.reduceat(m, first)
+    same &= m[first] > 0
+    at = several[run] & np.r_[True, new[1:] | (b[1:] != b[:-1])]
+    return _parts(_by_block(KEY, bucket, b[at], k[at], same[run][at].astype(np.uint8)))
+
+
+def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the same sets: each document and the least that it is connected with."""
+    pair = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+    root: dict[int, int] = {}
 
+    def top(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = root[x]
+        return x
 
-def _edges(block: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
-    keep = a != b
-    pair = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]), axis=1)
-    return [(EDGE, block, block, pair.shape[1], pair[0].astype("<i8").tobytes() + pair[1].astype("<i8").tobytes())] if pair.shape[1] else []
+    for x, y in zip(*pair.tolist(), strict=True):
+        x, y = top(x), top(y)
+        root[max(x, y)] = min(x, y)
+    found = [(top(x), x) for x in root if top(x) != x]
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def _edges(buckets: int, block: int, a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple]:
+    x, y = _star(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    key = _mix(x.astype(np.uint64), y.astype(np.uint64))
+    return [(EDGE, u, block, n, data) for _, u, _, n, data in _deal(EDGE, block, buckets, key, x.astype("<i8"), y.astype("<i8"))]
 
 
 def _first_of_runs(order: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -131,44 +217,85 @@ def _first_of_runs(order: np.ndarray, run: np.ndarray) -> np.ndarray:
     return first[run] if len(order) else order
 
 
-def _contexts(s: Shingles, c: np.ndarray) -> np.ndarray:
-    """The shingles around each place within its document, in 32 bits; 0 beyond the document."""
-    doc = s.doc[c]
-    at = c[:, None] + np.arange(-AROUND, AROUND + 1)
-    inside = (at >= np.r_[0, s.ends][doc][:, None]) & (at < s.ends[doc][:, None])
-    x = np.maximum(s.x >> np.uint64(32), np.uint64(1)).astype("<u4")
-    return np.where(inside, x[np.clip(at, 0, len(x) - 1)], np.uint32(0))
+def _contexts(s: Shingles, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each window in 32 bits (0 stands for none) one after the other, and an identifier of each."""
+    size = last - first + 1
+    starts = np.cumsum(size) - size
+    at = np.repeat(first - starts, size) + np.arange(int(size.sum()))
+    x = np.maximum(s.x >> np.uint64(32), np.uint64(1)).astype("<u4")[at]
+    if not len(c):
+        return x, np.zeros(0, np.uint64)
+    place = np.arange(len(x)) - np.repeat(starts, size)
+    mixed = _mix(x.astype(np.uint64), place.astype(np.uint64))
+    return x, _mix(np.add.reduceat(mixed, starts), (size << 16 | (c - first)).astype(np.uint64))
 
 
 def _passages(table: pa.Table, answers: pa.Table, block: int, buckets: int, length: int) -> pa.Table:
-    """Contexts of the minima that several documents share."""
-    rows: list[tuple] = []
-    known, _ = _read(answers, KEY, "<u8")
+    """Of the minima that several documents share: one entry where the middles agree, else each different window once."""
+    known, same, _ = _read(answers, KEY, "<u8", "u1")
     s = Shingles(table)
-    if not len(s.x):
-        return _parts(rows)
-    key, c = _candidates(s, length)
+    key, c, first, last = _minima(s, length, True)
     if not len(c):
-        return _parts(rows)
-    order = np.lexsort((s.doc[c], key))
+        return _parts([])
+    doc, middle = s.doc[c], _middles(s, c, length)
+    order = np.lexsort((doc, key))
     new = np.r_[True, key[order][1:] != key[order][:-1]]
-    run = np.cumsum(new) - 1
-    several = np.bincount(run, np.r_[0, (~new[1:]) & (s.doc[c][order][1:] != s.doc[c][order][:-1])]) > 0
-    shared = np.isin(key, known)
-    shared[order[several[run]]] = True
-    key, c = key[shared], c[shared]
-    context = _contexts(s, c)
-    whole = key.copy()
-    for j in range(WIDE):
-        whole = _mix(whole, context[:, j].astype(np.uint64))
-    # the same context within the block is one entry
-    order = np.lexsort((s.doc[c], whole))
-    run = np.cumsum(np.r_[False, whole[order][1:] != whole[order][:-1]]) if len(order) else order
-    rep = _first_of_runs(order, run)
-    rows += _edges(block, s.ids[s.doc[c[order]]], s.ids[s.doc[c[rep]]])
-    first = np.unique(rep)
-    rows += _deal(NEAR, block, buckets, key[first], s.ids[s.doc[c[first]]].astype("<i8"), np.ascontiguousarray(context[first]))
-    return _parts(rows)
+    run, lead = np.cumsum(new) - 1, np.flatnonzero(new)
+    several = np.bincount(run, np.r_[0, (~new[1:]) & (doc[order][1:] != doc[order][:-1])]) > 0
+    k, m = key[order][lead], middle[order]
+    at = np.argsort(known)
+    known, same = known[at], same[at]
+    at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
+    wide = known[at] == k if len(known) else np.zeros(len(k), bool)
+    alike = (np.minimum.reduceat(m, lead) == np.maximum.reduceat(m, lead)) & (m[lead] > 0)
+    alike = np.where(wide, same[at] > 0, alike) if len(known) else alike
+    a, b, rows = [], [], []
+    # verbatim: the block links its own, other blocks hear of the least
+    mine = order[(alike & (wide | several))[run]]
+    rep = order[lead][run][(alike & (wide | several))[run]]
+    a.append(s.ids[doc[mine]])
+    b.append(s.ids[doc[rep]])
+    send = order[lead][alike & wide]
+    rows += _deal(SAME, block, buckets, key[send], s.ids[doc[send]].astype("<i8"))
+    mine = order[(~alike & (wide | several))[run]]
+    x, whole = _contexts(s, c[mine], first[mine], last[mine])
+    whole = _mix(whole, key[mine])
+    by = np.lexsort((doc[mine], whole))
+    run = np.cumsum(np.r_[False, whole[by][1:] != whole[by][:-1]]) if len(by) else by
+    rep = _first_of_runs(by, run)
+    a.append(s.ids[doc[mine[by]]])
+    b.append(s.ids[doc[mine[rep]]])
+    once = np.unique(rep)
+    size = (last - first + 1)[mine]
+    starts = np.cumsum(size) - size
+    to = (key[mine[once]] % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    cut = np.flatnonzero(np.r_[True, to[by][1:] != to[by][:-1]]) if len(by) else by
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=True) if len(by) else ():
+        e = once[by[i:j]]
+        own = np.concatenate([x[p : p + n] for p, n in zip(starts[e].tolist(), size[e].tolist(), strict=True)])
+        g = mine[e]
+        data = key[g].tobytes() + s.ids[doc[g]].astype("<i8").tobytes() + (c - first)[g].astype("u1").tobytes() + (last - c)[g].astype("u1").tobytes() + own.tobytes()
+        rows.append((NEAR, int(to[by[i]]), block, int(j - i), data))
+    return _parts(rows + _edges(buckets, block, a, b))
+
+
+def _windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, document and the shingles around the minimum, 0 outside the window."""
+    keys, docs, contexts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, WIDE), np.uint32)]
+    for kind, n, data in zip(*[table.column(c).to_pylist() for c in ("kind", "n", "data")], strict=True):
+        if kind != NEAR:
+            continue
+        keys.append(np.frombuffer(data, "<u8", n))
+        docs.append(np.frombuffer(data, "<i8", n, 8 * n))
+        left, right = (np.frombuffer(data, "u1", n, 16 * n + k * n).astype(np.int64) for k in (0, 1))
+        size = left + right + 1
+        row = np.repeat(np.arange(n), size)
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size + left - AROUND, size)
+        out = np.zeros((n, WIDE), np.uint32)
+        out[row, place] = np.frombuffer(data, "<u4", len(row), 18 * n)
+        contexts.append(out)
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(contexts)
 
 
 def _alike(x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
@@ -240,20 +367,28 @@ def _search(context: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _link(table: pa.Table, bucket: int, length: int) -> pa.Table:
+def _link(table: pa.Table, bucket: int, buckets: int, length: int) -> pa.Table:
     # what a block linked by itself passes through, so that blocks are worked on once
-    known = zip(*[table.column(c).to_pylist() for c in ("kind", "block", "n", "data")], strict=True)
-    rows: list[tuple] = [(EDGE, bucket, block, n, data) for kind, block, n, data in known if kind == EDGE]
-    name, doc, context, _ = _read(table, NEAR, "<u8", "<i8", CONTEXT)
+    parts = zip(*[table.column(c).to_pylist() for c in ("kind", "bucket", "block", "n", "data")], strict=True)
+    rows: list[tuple] = [r for r in parts if r[0] == EDGE]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    key, doc, _ = _read(table, SAME, "<u8", "<i8")
+    if len(key):
+        order = np.lexsort((doc, key))
+        run = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
+        a.append(doc[order])
+        b.append(doc[_first_of_runs(order, run)])
+    name, doc, context = _windows(table)
     if len(name):
         whole = name.copy()
         for j in range(WIDE):
             whole = _mix(whole, context[:, j].astype(np.uint64))
-        # equal contexts are one entry
+        # equal windows are one entry
         order = np.lexsort((doc, whole))
         run = np.cumsum(np.r_[False, whole[order][1:] != whole[order][:-1]])
         rep = _first_of_runs(order, run)
-        a, b = [doc[order]], [doc[rep]]
+        a.append(doc[order])
+        b.append(doc[rep])
         kept = np.unique(rep)
         order = kept[np.lexsort((doc[kept], name[kept]))]
         cut = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
@@ -263,14 +398,13 @@ def _link(table: pa.Table, bucket: int, length: int) -> pa.Table:
                 x, y = _search(context[at], length)
                 a.append(doc[at[x]] if x else doc[:0])
                 b.append(doc[at[y]] if y else doc[:0])
-        rows += _edges(bucket, np.concatenate(a), np.concatenate(b))
-    return _parts(rows)
+    return _parts(rows + _edges(buckets, -1, a, b))
 
 
 def links(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(a, b): documents that share a near-duplicate passage; enough links to span each class."""
+    """(a, b): documents that share a near-duplicate passage, the lesser first; enough links to span each class."""
     n = block_count(docs, BLOCK_BYTES)
-    blocked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
+    blocked = docs.select("doc_id", "text", dealt(n).alias("block"))
 
     def ask(t: pa.Table) -> pa.Table:
         return _ask(t, t.column("block")[0].as_py(), n, length)
@@ -282,24 +416,24 @@ def links(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return _passages(left, right, left.column("block")[0].as_py(), n, length) if left.num_rows else _parts([])
 
     def link(t: pa.Table) -> pa.Table:
-        return _link(t, t.column("bucket")[0].as_py(), length)
+        return _link(t, t.column("bucket")[0].as_py(), n, length)
 
-    def unpack(batches):
-        for batch in batches:
-            for count, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, "<i8", count)), pa.array(np.frombuffer(data, "<i8", count, 8 * count))], names=["a", "b"])
+    def distinct(t: pa.Table) -> pa.Table:
+        _, a, b, _ = _read(t, EDGE, "<u8", "<i8", "<i8")
+        pair = np.unique(np.stack([a, b]), axis=1)
+        return pa.table([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     answers = blocked.groupBy("block").applyInArrow(ask, PART).groupBy("bucket").applyInArrow(answer, PART)
     found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(passages, PART)
-    edges = found.groupBy("bucket").applyInArrow(link, PART)
-    return edges.select("n", "data").mapInArrow(unpack, "a long, b long").distinct()
+    return found.groupBy("bucket").applyInArrow(link, PART).groupBy("bucket").applyInArrow(distinct, "a long, b long")
 
 
 def passage_classes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, class_id (the least doc_id that links reach, itself included) and n_links."""
+    """doc_id, class_id (the least doc_id that links reach, itself included) and n_links (the other documents of the class)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     edges = stored(links(src, length), "passage-links")
     release(docs.sparkSession)
-    both = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = components(edges).join(both, "node").withColumnRenamed("node", "doc_id")
+    comp = stored(components(edges), "passage-classes")
+    sizes = comp.groupBy("component").agg((F.count(F.lit(1)) - 1).alias("n_links"))
+    named = comp.join(sizes, "component").withColumnRenamed("node", "doc_id")
     return src.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
