@@ -26,7 +26,7 @@ def test_planted_passages_of_similarity_08_are_found(spark, size, edits):
         around = lambda: [word() for _ in range(rng.randint(0, 40))]
         rows += [(2 * i, " ".join(around() + passage + around())), (2 * i + 1, " ".join(around() + other + around()))]
     got = {r.doc_id: (r.class_id, r.n_links) for r in windows.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(alike) >= 20
+    assert len(alike) >= 10
     found = sum(got[2 * i] == got[2 * i + 1] == (2 * i, 1) for i in alike)
     assert found >= 0.9 * len(alike)
     assert all(d // 2 == c // 2 for d, (c, _) in got.items())  # nothing links different pairs
