@@ -29,7 +29,7 @@ def test_buckets_keep_order(spark):
 
 def test_mix_equals_sql_and_keeps_limits(spark, tmp_path):
     df = spark.createDataFrame(DOCS, SCHEMA)
-    got = mixing.mix(df).select("doc_id", "size", "source_size", "target", "taken")
+    got = mixing.mix(df).select("doc_id", "size", "source_size", "target", "taken", "shards")
     con = duckdb.connect()
     df.coalesce(1).write.parquet(str(tmp_path / "d"))
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
@@ -37,23 +37,70 @@ def test_mix_equals_sql_and_keeps_limits(spark, tmp_path):
     key = lambda r: (r[0] is None, r[0] or 0, *map(float, r[1:]))
     assert sorted(map(key, map(tuple, got.collect()))) == sorted(map(key, want))
     assert all(r.taken <= 2 * r.size for r in got.collect())
-    assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.copies(df.limit(0)).count() == 0
 
 
-def test_mix_targets_and_shards(spark):
-    rows = [(i, "w " * 300, "en", f"s{i % 3}" if i % 3 else "s0", 600) for i in range(300)]
-    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+def _mixed(n=300):
+    return [(i, f"w{i} x\n" * 150, "en", f"s{i % 3}" if i % 3 else "s0", 600) for i in range(n)] + [(n, "tiny source", "en", "t", 11), (n + 1, " ", "en", "t", 1)]
+
+
+def test_mix_meets_targets_of_small_sources_too(spark):
     taken, target = {}, {}
-    for r in out:
+    for r in mixing.mix(spark.createDataFrame(_mixed(), SCHEMA), shard_slots=100).collect():
         taken[r.source] = taken.get(r.source, 0) + r.taken
         target[r.source] = r.target
-    assert all(abs(taken[s] - target[s]) <= 64 for s in taken)
-    per = mixing.targets(mixing.sizes(spark.createDataFrame(rows, SCHEMA)))
-    drawn = mixing.draw(per, shard_slots=100)
-    assert drawn.groupBy("src", "turn", "block").count().filter("count > 1").count() == 0
-    assert mixing.shard_counts(drawn).count() > 3
-    many = mixing.copies(spark.createDataFrame(rows, SCHEMA))
-    assert many.columns == [f.split()[0] for f in SCHEMA.split(", ")] and 350 <= many.count() <= 550
+    assert all(abs(taken[s] - target[s]) <= 64 for s in taken) and abs(taken["t"] - target["t"]) <= 1
+
+
+def test_shards_are_multinomial_and_make_the_mix(spark):
+    per = mixing.targets(mixing.sizes(spark.createDataFrame(_mixed(), SCHEMA))).cache()
+    slots = {r.src: r.slots for r in per.collect()}
+    total = sum(slots.values())
+    counts = mixing.shard_counts(per, shard_slots=100).collect()
+    size = {}
+    for r in counts:
+        size[r.shard] = size.get(r.shard, 0) + r.slots
+    shards = -(-total // 100)
+    assert sorted(size) == list(range(shards)) and all(n == min(100, total - 100 * j) for j, n in size.items())
+    for src, n in slots.items():  # variance of a binomial draw, not that of a plan
+        got, p = [r.slots for r in counts if r.src == src and r.shard < shards - 1], n / total
+        assert abs(sum(got) / len(got) - 100 * p) < 4 * (100 * p * (1 - p) / len(got)) ** 0.5 + 0.01
+        if p > 0.05:
+            spread = sum((x - 100 * p) ** 2 for x in got) / len(got)
+            assert 0.4 < spread / (100 * p * (1 - p)) < 1.8
+    drawn = mixing.draw(per, shard_slots=100).collect()
+    assert len({(r.src, r.slot) for r in drawn}) == len(drawn) and {s: sum(r.src == s for r in drawn) for s in slots} == slots
+    assert len({(r.src, r.turn, r.block) for r in drawn}) == len(drawn)
+    dealt = {}
+    for r in drawn:
+        dealt[r.shard, r.src] = dealt.get((r.shard, r.src), 0) + 1
+    assert sum(dealt.get((r.shard, r.src), 0) == r.slots for r in counts) > 0.8 * len(counts)
+
+
+def test_permutations_of_any_size(spark):
+    ns = [1, 2, 7, 1000, 2**31 - 1, 2**31 + 9, 6_000_000_011, mixing.PRIMES[1], mixing.PRIMES[2] * 3, 4 * 10**11]
+    rows = [(n, slot, src) for n in ns for slot in {0, n - 1, n // 2, n, 2 * n - 1} for src in (0, 3)]
+    df = spark.createDataFrame(rows, "n long, slot long, src long")
+    turn, at = mixing.permuted(F.col("slot"), F.col("n"), F.col("src"), 1)
+    for r in df.select("*", turn.alias("turn"), at.alias("at")).collect():
+        primes = [mixing.PRIMES[(r.src + r.slot // r.n + 1 + k) % 4] for k in (0, 1)]
+        a = primes[0] if r.n % primes[0] else primes[1]
+        assert r.turn == r.slot // r.n and r.at == (a % r.n * (r.slot % r.n) + (r.src * 7919 + r.turn * 104729 + 15485863) % r.n) % r.n
+
+
+def test_copies_are_the_blocks_that_the_mix_takes(spark):
+    df = spark.createDataFrame([(*r, "c", 1) for r in _mixed(120)] + [(None, None, None, None, None, "n", 2)], SCHEMA + ", target string, row int")
+    out = mixing.copies(df, shard_slots=50)
+    assert out.columns == df.columns
+    want = {r.doc_id: r.taken for r in mixing.mix(df, shard_slots=50).collect()}
+    texts, got = {r.doc_id: r.text or "" for r in df.collect()}, {}
+    for r in out.collect():
+        words = (r.text or "").split()
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(words)
+        assert r.target in "cn" and (r.text is None or len(r.text) == r.n_chars or r.text == texts[r.doc_id])
+        left = iter(texts[r.doc_id].split())
+        assert all(w in left for w in words)  # in order
+    assert got == {d: n for d, n in want.items() if n or not texts[d].strip()}
 
 
 def omh(text, k=order_minhash.K, buckets=order_minhash.BUCKETS, length=order_minhash.LENGTH):
