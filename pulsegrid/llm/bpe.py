@@ -25,14 +25,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from pulsegrid.llm.common import stored
+from pulsegrid.llm.common import runs, stored
 
 # Unicode's White_Space, which the pre-tokenizer's \s stands for.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,51 +67,13 @@ class Vocabulary:
         self.pattern = regex.compile(PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-        self.slots = _table_of(self.ranks)
+        self.slots, self.first = table_of(self.ranks), np.array(self.single, np.int64)
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Pairs of lowest rank first, leftmost among equals; all pieces advance together, a rank a round.
-
-        A pair that arises from a merge always ranks after it, so a piece's pairs of its lowest rank can be merged in one round.
-        """
-        out: list[list[int]] = [[]] * len(pieces)
-        keys, ranks, made = self.slots
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        piece = np.repeat(np.arange(len(pieces)), size)
-        ids = np.array(self.single, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
-        none = np.iinfo(np.int32).max
-        mask = len(keys) - 1
-        while len(ids):
-            key = ids[:-1] << 17 | ids[1:]
-            at = (key * 0x9E3779B1 >> 13) & mask
-            found = keys[at]
-            miss = np.flatnonzero((found != key) & (found >= 0))
-            while len(miss):
-                at[miss] = (at[miss] + 1) & mask
-                found[miss] = here = keys[at[miss]]
-                miss = miss[(here != key[miss]) & (here >= 0)]
-            same = (piece[:-1] == piece[1:]) & (found == key)
-            rank = np.append(np.where(same, ranks[at], none), none)
-            starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-            count = np.diff(np.r_[starts, len(ids)])
-            least = np.minimum.reduceat(rank, starts)
-            done = least == none
-            if done.any():
-                for p, a, n in zip(piece[starts[done]].tolist(), starts[done].tolist(), count[done].tolist(), strict=True):
-                    out[p] = ids[a : a + n].tolist()
-            live = np.repeat(~done, count)
-            mark = live & (rank == np.repeat(least, count))
-            first = np.flatnonzero(mark & ~np.r_[False, mark[:-1]])  # of pairs that overlap in a run, every second
-            if len(first):
-                run = np.cumsum(mark & ~np.r_[False, mark[:-1]]) - 1
-                offset = np.arange(len(ids)) - first[np.maximum(run, 0)]
-                mark &= offset % 2 == 0
-            hit = np.flatnonzero(mark)
-            ids[hit] = made[at[hit]]
-            keep = live
-            keep[hit + 1] = False
-            ids, piece = ids[keep], piece[keep]
-        return out
+        ids, count = merge_pairs(self.slots, self.first[np.frombuffer(b"".join(pieces), np.uint8)], size)
+        flat, ends = ids.tolist(), np.cumsum(count).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
     def words(self, chunks: list[str]) -> list[list[int]]:
         split = [[p.encode() for p in self.pattern.findall(c)] for c in chunks]
@@ -124,7 +85,47 @@ class Vocabulary:
 _PROBES = 64
 
 
-def _table_of(ranks: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_pairs(slots: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The merged ids of pieces that begin as ``size`` ids each, end to end, and how many each has.
+
+    Pairs of lowest rank first, leftmost among equals; all pieces advance together, a rank a round. A pair that arises
+    from a merge always ranks after it, so a piece's pairs of its lowest rank can be merged in one round.
+    """
+    keys, ranks, made = slots
+    piece = np.repeat(np.arange(len(size)), size)
+    none, mask = np.iinfo(np.int32).max, len(keys) - 1
+    pieces, found_ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(ids):
+        key = ids[:-1] << 17 | ids[1:]
+        at = (key * 0x9E3779B1 >> 13) & mask
+        found = keys[at]
+        miss = np.flatnonzero((found != key) & (found >= 0))
+        while len(miss):
+            at[miss] = (at[miss] + 1) & mask
+            found[miss] = here = keys[at[miss]]
+            miss = miss[(here != key[miss]) & (here >= 0)]
+        new = np.r_[True, piece[1:] != piece[:-1]]
+        rank = np.append(np.where(~new[1:] & (found == key), ranks[at], none), none)
+        starts = np.flatnonzero(new)
+        count = np.diff(np.r_[starts, len(ids)])
+        least = np.minimum.reduceat(rank, starts)
+        live = np.repeat(least < none, count)
+        pieces.append(piece[~live])
+        found_ids.append(ids[~live])
+        mark = live & (rank == np.repeat(least, count))
+        if (mark[1:] & mark[:-1]).any():  # of pairs that overlap in a run, every second
+            first = mark & ~np.r_[False, mark[:-1]]
+            run = np.flatnonzero(first)[np.maximum(np.cumsum(first) - 1, 0)]
+            mark &= (np.arange(len(ids)) - run) % 2 == 0
+        hit = np.flatnonzero(mark)
+        ids[hit] = made[at[hit]]
+        live[hit + 1] = False
+        ids, piece = ids[live], piece[live]
+    piece = np.concatenate(pieces)
+    return np.concatenate(found_ids)[np.argsort(piece, kind="stable")], np.bincount(piece, minlength=len(size))
+
+
+def table_of(ranks: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An open-addressing table of pairs: key (-1: free), rank, merged id."""
     size = 1 << max(4, (8 * len(ranks)).bit_length())
     keys, rank, made = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int64)
@@ -347,19 +348,6 @@ class Encoder:
         return [list(map(self.memo.__getitem__, s)) for s in split]
 
 
-def _runs(batch, at: int, most: int = 4_000_000):
-    """Slices of a batch of about ``most`` bytes of text."""
-    sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
-    lo, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        total += n
-        if total >= most:
-            yield batch.slice(lo, i + 1 - lo)
-            lo, total = i + 1, 0
-    if lo < batch.num_rows:
-        yield batch.slice(lo)
-
-
 def encode(docs: DataFrame, vocab_path: str, lexicon_file: str | None = None) -> DataFrame:
     """Replaces ``text`` by ``ids``; other columns pass through."""
     keep = [c for c in docs.columns if c not in ("text", "ids")]
@@ -369,7 +357,7 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_file: str | None = None) ->
     def run(batches):
         enc = Encoder(vocabulary(vocab_path), lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None)
         for batch in batches:
-            for part in _runs(batch, len(keep)):
+            for part in runs(batch, len(keep)):
                 rows = [[i for w in doc for i in w[0]] for doc in enc.batch([t or "" for t in part.column(len(keep)).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.list_(pa.int64()))], names=schema.names)
 
@@ -407,7 +395,7 @@ def digests(docs: DataFrame, vocab_path: str, lexicon_file: str) -> DataFrame:
         vocab = vocabulary(vocab_path)
         enc = Encoder(vocab, lexicon(SparkFiles.get(lexicon_file)))
         for batch in batches:
-            for part in _runs(batch, len(keep)):
+            for part in runs(batch, len(keep)):
                 n, a, b = [], [], []
                 for doc in enc.batch([t or "" for t in part.column(len(keep)).to_pylist()]):
                     ids = [i for w in doc for i in w[0]]

@@ -85,12 +85,13 @@ def bucket_of(value: Column, cuts: list[int]) -> Column:
     return F.when(value.isNull(), F.lit(-1)).otherwise(lo)
 
 
-def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The words of all texts as numbers, end to end, how many each text has, and the distinct words by number.
 
-    A-Z is lower-cased; words are runs without ASCII white space; null texts are empty.
+    A-Z is lower-cased (if ``lower``); words are runs without ASCII white space; null texts are empty.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     sizes, found = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
     empty = np.flatnonzero(pc.binary_length(found).to_numpy(zero_copy_only=False) == 0)  # beside white space at either end
@@ -98,7 +99,7 @@ def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
         sizes -= np.bincount(np.searchsorted(np.cumsum(sizes), empty, side="right"), minlength=len(sizes))
         found = found.filter(pc.greater(pc.binary_length(found), 0))
     coded = found.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes, coded.dictionary.cast(pa.binary()).to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes, coded.dictionary
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -123,3 +124,16 @@ def block_count(df: DataFrame, block_bytes: int) -> int:
     size = text_bytes(df)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, math.ceil(size / block_bytes), min(partitions, math.ceil(size / (1 << 19))))
+
+
+def runs(batch, at: int, most: int = 4_000_000):
+    """Slices of a batch of about ``most`` bytes of text."""
+    sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+    lo, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        total += n
+        if total >= most:
+            yield batch.slice(lo, i + 1 - lo)
+            lo, total = i + 1, 0
+    if lo < batch.num_rows:
+        yield batch.slice(lo)

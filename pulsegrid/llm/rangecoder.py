@@ -1,229 +1,246 @@
 """Token-id files by an adaptive context-mixing range coder.
 
-Ids are cut into blocks that are coded independently, each from a fresh model and with checksums. Three predictions drive the
-coder: order 2 and order 1 each name the id that followed their context last, with a confidence; adaptive
-probabilities by confidence mix the two with order 0, adaptive counts of ids' high bytes. An id costs one
-decision among (order-2 guess, order-1 guess, neither) and, for neither, an order-0 symbol.
+Ids are cut into blocks that are coded independently, each from a fresh model and with checksums. Three predictions are
+mixed for every id: order 2 and order 1 each expect the id that followed their context last in the block; order 0 is a distribution over
+the file's ids, whose frequencies stand in the file's header, to a quarter of a power of two. The weights of orders 2 and 1 are
+learned in the block, for each number of times that the expectation has held. The probability of an id is the weighted sum of all
+three,
 
-All blocks of a file advance together, one id a step, in numpy; encoder and decoder run the same model.
+    P(s) = x2 [s = g2] + x1 [s = g1] + x0 P0(s),
 
-File format, little-endian: magic ``PGTK``, version, ids per block, documents, blocks; doc_id (int64) and a null flag (uint8) and length
-(int64) per document; for each block its number of ids, of 32-bit words, the CRC-32 of its ids as uint32 and of its words; then
-the words. Ids are below 65,535.
+and ids are coded by their interval in the cumulative sum, in the order of ids.
+
+All blocks of a file advance together, one id a step, in numpy; encoder and decoder run the same model, in whole numbers.
+
+File format, little-endian: magic ``PGTK``, version, ids per block, documents, blocks, distinct ids; doc_id (int64) and a null flag (uint8) and length
+(int64) per document; the distinct ids (uint16), most frequent first, and a frequency level (uint8) of each; for each block its number of
+ids, of 32-bit words, the CRC-32 of its ids as uint32 and of its words; then the words. Ids are below 65,535.
 
 Defined results: null texts count as empty and have the end id alone; documents stand in ascending doc_id order, nulls
-first, repeated ones in the order of their texts; an empty table gives no file.
+first, repeated ones in the order of a hash of their texts; an empty table gives no file.
 """
 
 from __future__ import annotations
 
 import functools
-import math
+import json
 import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.common import bucket_of, cut_points, stored, text_bytes
+from pulsegrid.llm.bpe import byte_letters, merge_pairs, table_of
+from pulsegrid.llm.common import runs, small, split_words, stored, text_bytes
 
-MAGIC, VERSION, IDS, FILE_BYTES, MEMO = b"PGTK", 1, 2048, 6_000_000, 500_000
-SLOTS, NONE = 2048, 65535  # entries of a context table; no id
-FLAG, HIGH = 12, 11  # bits of the decision's and of the high byte's total
+MAGIC, VERSION, IDS, FILE_BYTES, MEMO_BYTES = b"PGTK", 2, 4096, 12_000_000, 64_000_000
+SLOTS1, SLOTS2, NONE = 2048, 4096, 65535  # entries of the context tables of a block; ids are below NONE
+MIX, ZERO, RATE = 12, 16, 5  # bits of the weights and of order 0's distribution; how slowly weights are learned
 _U = np.uint64
-_RIGHT, _WRONG = np.int32(3968), np.int32(128)
-#: confidence after (confidence, right?), in the place where entries keep it
-_NEXT = np.array([0, 1, 0, 2, 1, 3, 2, 3], np.uint32) << np.uint32(16)
-START2, START1 = np.array([500, 1800, 2800, 3500]), np.array([300, 1000, 1800, 2600])
+#: what an entry keeps above its id: how often the expectation held, after (times, held again?), at most three
+_NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int64) << 16
+#: weights of 4096 at the start of a block; an empty entry has none
+START2, START1, _HELD = (0, 1100, 2200, 3000), (0, 600, 1200, 1800), 4064
 
 
-class _Model:
-    """The state of all blocks of a file, a column per block."""
-
-    def __init__(self, n: int):
-        self.row = np.arange(n, dtype=np.int64)
-        self.t1 = np.full(n * SLOTS, NONE, np.uint32)  # id, and confidence above bit 16
-        self.t2 = np.full(n * SLOTS, NONE, np.uint32)
-        self.a1, self.a2 = np.tile(START1, n).astype(np.int32), np.tile(START2, n).astype(np.int32)
-        self.seen = np.zeros(n * 256, np.int32)
-        self.p1 = self.p2 = np.zeros(n, np.uint32)
-        self.rebuild(n)
-
-    def rebuild(self, n: int, lookup: bool = False) -> None:
-        seen = self.seen[: n * 256].reshape(n, 256)
-        free = (1 << HIGH) - 256
-        f = 1 + seen * free // np.maximum(1, seen.sum(1, keepdims=True))
-        f[:, 255] += (1 << HIGH) - f.sum(1)
-        if not seen.any():
-            f[:] = (1 << HIGH) // 256
-        self.f = f.astype(np.int32).ravel()
-        self.c = (np.cumsum(f, axis=1) - f).astype(np.int32).ravel()
-        if lookup:
-            self.find = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), self.f)
-
-    def guess(self, n: int) -> None:
-        row = self.row[:n]
-        p1, p2 = self.p1[:n], self.p2[:n]
-        self.i1 = row * SLOTS + (p1 * np.uint32(40503) >> np.uint32(5) & np.uint32(SLOTS - 1))
-        self.i2 = row * SLOTS + ((p1 * np.uint32(2654435761) + p2 * np.uint32(40503)) >> np.uint32(17) & np.uint32(SLOTS - 1))
-        e1, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.g1, self.g2 = e1 & np.uint32(0xFFFF), e2 & np.uint32(0xFFFF)
-        self.k1, self.k2 = e1 >> np.uint32(16), e2 >> np.uint32(16)
-        self.j1, self.j2 = row * 4 + self.k1, row * 4 + self.k2
-        self.x2, self.own1 = self.a2.take(self.j2), self.a1.take(self.j1)
-        self.x1 = (4096 - self.x2) * self.own1 >> 12  # of 4096; what is left is at least 1
+class _Zero:
+    """Order 0: cumulative frequencies of dense codes out of 2**16; the code one past the last stands for no id and has none."""
 
-    def learn(self, n: int, s: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, high: np.ndarray) -> None:
-        """hit1: the order-1 guess is right, whichever guess was coded."""
-        self.a2[self.j2] = self.x2 + (np.where(hit2, _RIGHT, _WRONG) - self.x2 >> 4)
-        self.a1[self.j1] = self.own1 + (np.where(hit1, _RIGHT, _WRONG) - self.own1 >> 4)
-        for t, i, k, g, hit in ((self.t1, self.i1, self.k1, self.g1, hit1), (self.t2, self.i2, self.k2, self.g2, hit2)):
-            q = k << np.uint32(1) | hit
-            # a guess that was right before gets another chance
-            t[i] = np.where(q & np.uint32(6), g, s) | _NEXT.take(q)
-        self.seen[self.row[:n] * 256 + high] += 32
-        self.p2, self.p1 = self.p1[:n], s
+    def __init__(self, levels: np.ndarray):
+        n = len(levels)
+        if n > 1 << ZERO:
+            raise ValueError("too many distinct ids")
+        level = levels.astype(np.int64)
+        rough = np.array([16, 19, 23, 27])[level & 3] << (level >> 2)  # 16 x 2 ** (level / 4)
+        f = 1 + rough * ((1 << ZERO) - n) // max(1, int(rough.sum()))
+        if n:
+            f[0] += (1 << ZERO) - int(f.sum())
+        self.none = n
+        self.f = np.r_[f, 0].astype(np.int64)
+        self.c = np.cumsum(self.f) - self.f
+        self.find = np.repeat(np.arange(n), f)
 
 
-def _schedule(t: int) -> bool:
-    return t >= 16 and t & (t - 1) == 0
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Four levels for each doubling; the largest counts of a file fit a byte as long as they are below 2**40."""
+    return np.round(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-def encode_blocks(ids: np.ndarray, size: int = IDS) -> list[tuple[int, np.ndarray]]:
-    """(number of ids, words) of each block."""
-    blocks = -(-len(ids) // size)
+class _Model:
+    """The state of all blocks of a file, a stretch of each array per block."""
+
+    def __init__(self, n: int, zero: _Zero):
+        self.zero, row = zero, np.arange(n, dtype=np.int64)
+        self.row1, self.row2, self.row4 = row * SLOTS1, row * SLOTS2, row * 4
+        self.t1 = np.full(n * SLOTS1, zero.none, np.int32)
+        self.t2 = np.full(n * SLOTS2, zero.none, np.int32)
+        self.a1, self.a2 = np.tile(np.array(START1, np.int64), n), np.tile(np.array(START2, np.int64), n)
+        self.p1 = self.p2 = np.zeros(n, np.int64)
+
+    def shrink(self, n: int) -> None:
+        self.row1, self.row2, self.row4, self.p1, self.p2 = (x[:n] for x in (self.row1, self.row2, self.row4, self.p1, self.p2))
+
+    def guess(self) -> None:
+        p1 = self.p1
+        self.i1 = self.row1 + (p1 & (SLOTS1 - 1))
+        self.i2 = self.row2 + ((p1 * 40503 + self.p2 * 10368889 >> 7) & (SLOTS2 - 1))
+        e1, e2 = self.t1.take(self.i1).astype(np.int64), self.t2.take(self.i2).astype(np.int64)
+        self.g1, self.g2, self.k1, self.k2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
+        self.j1, self.j2 = self.row4 + self.k1, self.row4 + self.k2
+        self.x2, self.own1 = self.a2.take(self.j2), self.a1.take(self.j1)
+        left = (1 << MIX) - self.x2
+        self.x1 = left * self.own1 >> MIX
+        self.x0 = left - self.x1  # 1 at least, as no weight reaches all
+
+    def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the ids' intervals out of 2**28."""
+        x0, x1, x2, g1, g2 = self.x0, self.x1, self.x2, self.g1, self.g2
+        self.hit1, self.hit2 = g1 == s, g2 == s
+        start = x0 * self.zero.c.take(s) + (x2 * (g2 < s) + x1 * (g1 < s) << ZERO)
+        return start.astype(_U), (x0 * self.zero.f.take(s) + (x2 * self.hit2 + x1 * self.hit1 << ZERO)).astype(_U)
+
+    def at(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold ``v``: between the two expected ids only order 0 counts."""
+        x0, zero = self.x0, self.zero
+        first = self.g1 < self.g2
+        lo, hi = np.minimum(self.g1, self.g2), np.maximum(self.g1, self.g2)
+        w, w2 = np.where(first, self.x1, self.x2), np.where(first, self.x2, self.x1)
+        same = lo == hi
+        if same.any():
+            w, w2, hi = w + w2 * same, w2 * ~same, np.where(same, zero.none, hi)
+        w, w2 = w << ZERO, w2 << ZERO
+        a = x0 * zero.c.take(lo)
+        b = a + x0 * zero.f.take(lo) + w
+        past = v >= b
+        is_lo = (v >= a) & ~past
+        v = v - w * past
+        a = x0 * zero.c.take(hi)
+        b = a + x0 * zero.f.take(hi) + w2
+        past2 = past & (v >= b)
+        is_hi = past & (v >= a) & ~past2
+        v = v - w2 * past2
+        q = np.minimum((v / x0).astype(np.int64), (1 << ZERO) - 1)  # exact: both are below 2**28
+        return np.where(is_lo, lo, np.where(is_hi, hi, zero.find.take(q)))
+
+    def learn(self, s: np.ndarray) -> None:
+        self.a2[self.j2] = self.x2 + (self.hit2 * _HELD - self.x2 >> RATE)
+        self.a1[self.j1] = self.own1 + (self.hit1 * _HELD - self.own1 >> RATE)
+        self.t1[self.i1] = s | _NEXT.take(self.k1 * 2 + self.hit1)
+        self.t2[self.i2] = s | _NEXT.take(self.k2 * 2 + self.hit2)
+        self.p2, self.p1 = self.p1, s
+
+
+def encode_blocks(codes: np.ndarray, levels: np.ndarray, size: int = IDS) -> list[tuple[int, np.ndarray]]:
+    """(number of ids, words) of each block of dense codes."""
+    blocks = -(-len(codes) // size)
     if not blocks:
         return []
     lengths = np.full(blocks, size)
-    lengths[-1] = len(ids) - size * (blocks - 1)
-    grid = np.zeros(blocks * size, np.uint32)
-    grid[: len(ids)] = ids
+    lengths[-1] = last = len(codes) - size * (blocks - 1)
+    grid = np.zeros(blocks * size, np.uint16)
+    grid[: len(codes)] = codes
     grid = np.ascontiguousarray(grid.reshape(blocks, size).T)
-    m = _Model(blocks)
+    m = _Model(blocks, _Zero(levels))
     width = size + 8
-    out, k = np.zeros(blocks * width, np.uint32), np.zeros(blocks, np.int64)
+    out, k = np.zeros(blocks * width, np.uint32), np.arange(blocks) * width
     low, span = np.zeros(blocks, _U), np.full(blocks, 2**64 - 1, _U)
-    last, one = int(lengths[-1]), _U(1 << 32)
+    n, one, bits, done = blocks, _U(1 << 32), _U(MIX + ZERO), None
     for t in range(size):
-        n = blocks if t < last else blocks - 1
-        if not n:
-            break
-        if n < len(low):
-            done_low, low, span = low[-1], low[:n], span[:n]
-            m.rebuild(n) if _schedule(t) else None
-            m.f, m.c = m.f[: n * 256], m.c[: n * 256]
-        elif _schedule(t):
-            m.rebuild(n)
-        s = grid[t, :n]
-        m.guess(n)
-        hit2, hit1 = m.g2 == s, m.g1 == s
-        take1 = hit1 & ~hit2
-        neither = ~(hit1 | hit2)
-        high = (s >> np.uint32(8)).astype(np.int64)
-        start = np.where(hit2, 0, np.where(take1, m.x2, m.x2 + m.x1))
-        width1 = np.where(hit2, m.x2, np.where(take1, m.x1, 4096 - m.x2 - m.x1))
-        r = span >> _U(FLAG)
-        new = low + r * start.astype(_U)
+        if t == last:
+            n = blocks - 1
+            if not n:
+                break
+            done, low, span = low[-1:], low[:n], span[:n]
+            m.shrink(n)
+        s = grid[t, :n].astype(np.int64)
+        m.guess()
+        start, wide = m.interval(s)
+        r = span >> bits
+        new = low + r * start
         carry = new < low
-        span = r * width1.astype(_U)
-        at = m.row[:n] * 256 + high
-        f = m.f.take(at)
-        start = np.where(neither, (m.c.take(at) << 8) + (s & np.uint32(255)).astype(np.int32) * f, 0)
-        width1 = np.where(neither, f, 1 << (HIGH + 8))
-        r = span >> _U(HIGH + 8)
-        low = new + r * start.astype(_U)
-        carry |= low < new
-        span = r * width1.astype(_U)
+        low, span = new, r * wide
         if carry.any():
-            rows = np.flatnonzero(carry)
-            back = rows * width + k[rows] - 1
+            back = k[:n][carry] - 1
             while len(back):
                 out[back] += np.uint32(1)
                 back = back[out[back] == 0] - 1
         emit = span < one
-        out[m.row[:n] * width + k[:n]] = low >> _U(32)
+        out[k[:n]] = low >> _U(32)  # stays only where k moves on
         k[:n] += emit
         shift = emit.astype(_U) << _U(5)
         low, span = low << shift, span << shift
-        m.learn(n, s, hit2, hit1, high)
-    if len(low) < blocks:
-        low = np.r_[low, done_low] if blocks > 1 else np.array([done_low])
-    row = np.arange(blocks) * width + k
-    out[row], out[row + 1] = low >> _U(32), low & _U(0xFFFFFFFF)
+        m.learn(s)
+    if done is not None:
+        low = np.r_[low, done]
+    elif not n:
+        low = low[:blocks]
+    out[k], out[k + 1] = low >> _U(32), low & _U(0xFFFFFFFF)
+    used = k - np.arange(blocks) * width + 2
     out = out.reshape(blocks, width)
-    return [(int(a), out[i, : b + 2]) for i, (a, b) in enumerate(zip(lengths.tolist(), k.tolist(), strict=True))]
+    return [(int(a), out[i, :b]) for i, (a, b) in enumerate(zip(lengths.tolist(), used.tolist(), strict=True))]
 
 
-def decode_blocks(lengths: np.ndarray, words: list[np.ndarray], size: int = IDS) -> np.ndarray:
-    """The ids of blocks that all but the last have ``size`` ids."""
+def decode_blocks(lengths: np.ndarray, words: list[np.ndarray], levels: np.ndarray, size: int = IDS) -> np.ndarray:
+    """The dense codes of blocks that all but the last have ``size`` ids."""
     blocks = len(lengths)
     if not blocks:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.int64)
     width = max(map(len, words)) + 2
     src = np.zeros((blocks, width), np.uint32)
     for i, w in enumerate(words):
         src[i, : len(w)] = w
     src = src.ravel()
-    m = _Model(blocks)
-    m.rebuild(blocks, True)
+    m = _Model(blocks, _Zero(levels))
     k = np.arange(blocks) * width
     code = src[k].astype(_U) << _U(32) | src[k + 1]
     k += 2
-    span, one = np.full(blocks, 2**64 - 1, _U), _U(1 << 32)
-    out = np.zeros((size, blocks), np.uint32)
-    last = int(lengths[-1])
+    span, one, bits, most = np.full(blocks, 2**64 - 1, _U), _U(1 << 32), _U(MIX + ZERO), (1 << MIX + ZERO) - 1
+    out = np.zeros((size, blocks), np.uint16)
+    n, last = blocks, int(lengths[-1])
     for t in range(size):
-        n = blocks if t < last else blocks - 1
-        if not n:
-            break
-        if n < len(code):
+        if t == last:
+            n = blocks - 1
+            if not n:
+                break
             code, span, k = code[:n], span[:n], k[:n]
-            m.rebuild(n, True) if _schedule(t) else None
-            m.f, m.c, m.find = m.f[: n * 256], m.c[: n * 256], m.find[: n << HIGH]
-        elif _schedule(t):
-            m.rebuild(n, True)
-        m.guess(n)
-        r = span >> _U(FLAG)
-        v = np.minimum(code // r, _U(4095)).astype(np.int32)
-        two = v < m.x2
-        neither = v >= m.x2 + m.x1
-        take1 = ~(two | neither)
-        start = np.where(two, 0, np.where(take1, m.x2, m.x2 + m.x1))
-        width1 = np.where(two, m.x2, np.where(take1, m.x1, 4096 - m.x2 - m.x1))
-        code = code - r * start.astype(_U)
-        span = r * width1.astype(_U)
-        r = span >> _U(HIGH + 8)
-        v = np.minimum(code // r, _U((1 << (HIGH + 8)) - 1)).astype(np.int32)
-        high = m.find.take((m.row[:n] << HIGH) + (v >> 8)).astype(np.int64)
-        at = m.row[:n] * 256 + high
-        f, c = m.f.take(at), m.c.take(at) << 8
-        below = (v - c) // f
-        s = np.where(two, m.g2, np.where(take1, m.g1, (high << 8) + below)).astype(np.uint32)
-        code = code - r * np.where(neither, c + below * f, 0).astype(_U)
-        span = r * np.where(neither, f, 1 << (HIGH + 8)).astype(_U)
+            m.shrink(n)
+        m.guess()
+        r = span >> bits
+        s = m.at(np.minimum((code // r).astype(np.int64), most))
+        start, wide = m.interval(s)
+        code, span = code - r * start, r * wide
         emit = span < one
         shift = emit.astype(_U) << _U(5)
         code = np.where(emit, code << _U(32) | src.take(k), code)
         span = span << shift
         k = k + emit
-        high = (s >> np.uint32(8)).astype(np.int64)
-        m.learn(n, s, m.g2 == s, m.g1 == s, high)
+        m.learn(s)
         out[t, :n] = s
-    flat = out.T.reshape(-1)
-    return flat[: size * (blocks - 1) + last]
+    return out.T.reshape(-1)[: size * (blocks - 1) + last].astype(np.int64)
 
 
-def write_file(doc_ids: list[int | None], docs: list[np.ndarray], size: int = IDS) -> bytes:
-    ids = np.concatenate(docs).astype("<u4") if docs else np.zeros(0, "<u4")
-    if len(ids) and ids.max() >= NONE:
+def write_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, size: int = IDS) -> bytes:
+    """The file of documents of so many ids each, end to end in ``ids``."""
+    ids = ids.astype("<u4")
+    counts = np.bincount(ids, minlength=1)
+    if len(counts) > NONE:
         raise ValueError(f"ids must be below {NONE}")
-    blocks = encode_blocks(ids, size)
-    head = [MAGIC, struct.pack("<IIII", VERSION, size, len(docs), len(blocks))]
-    head += [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), np.array([len(d) for d in docs], "<i8").tobytes()]
+    alphabet = np.flatnonzero(counts)
+    alphabet = alphabet[np.argsort(-counts[alphabet], kind="stable")]
+    levels = _levels(counts[alphabet])
+    dense = np.zeros(len(counts), np.int64)
+    dense[alphabet] = np.arange(len(alphabet))
+    blocks = encode_blocks(dense[ids], levels, size)
+    head = [MAGIC, struct.pack("<IIIII", VERSION, size, len(doc_ids), len(blocks), len(alphabet))]
+    head += [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), np.array(lengths, "<i8").tobytes()]
+    head += [alphabet.astype("<u2").tobytes(), levels.tobytes()]
     table, body, at = [], [], 0
     for n, words in blocks:
         raw = words.astype("<u4").tobytes()
@@ -233,16 +250,18 @@ def write_file(doc_ids: list[int | None], docs: list[np.ndarray], size: int = ID
     return b"".join([*head, np.array(table, "<u4").tobytes(), *body])
 
 
-def read_file(b: bytes) -> tuple[list[int | None], list[np.ndarray]]:
-    """(doc_ids, ids of each document); ValueError if a checksum fails."""
-    version, size, docs, blocks = struct.unpack_from("<IIII", b, 4)
+def read_file(b: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(doc_ids, number of ids of each document, the ids end to end); ValueError if a checksum fails."""
+    version, size, docs, blocks, distinct = struct.unpack_from("<IIIII", b, 4)
     if b[:4] != MAGIC or version != VERSION:
         raise ValueError("not a token file")
-    at = 20
+    at = 24
     names = np.frombuffer(b, "<i8", docs, at).tolist()
     null = np.frombuffer(b, "u1", docs, at + 8 * docs).tolist()
     lengths = np.frombuffer(b, "<i8", docs, at + 9 * docs)
     at += 17 * docs
+    alphabet, levels = np.frombuffer(b, "<u2", distinct, at).astype("<u4"), np.frombuffer(b, "u1", distinct, at + 2 * distinct)
+    at += 3 * distinct
     table = np.frombuffer(b, "<u4", 4 * blocks, at).reshape(blocks, 4)
     at += 16 * blocks
     words = []
@@ -251,13 +270,18 @@ def read_file(b: bytes) -> tuple[list[int | None], list[np.ndarray]]:
             raise ValueError("a block's words fail their checksum")
         words.append(np.frombuffer(b, "<u4", n, at))
         at += 4 * n
-    ids = decode_blocks(table[:, 0].astype(np.int64), words, size).astype("<u4")
+    ids = alphabet[decode_blocks(table[:, 0].astype(np.int64), words, levels, size)] if blocks else np.zeros(0, "<u4")
     at = 0
     for n, _, crc, _ in table.tolist():
         if zlib.crc32(ids[at : at + n].tobytes()) != crc:
             raise ValueError("a block's ids fail their checksum")
         at += n
-    return [None if z else d for d, z in zip(names, null, strict=True)], np.split(ids, np.cumsum(lengths)[:-1]) if docs else []
+    return [None if z else d for d, z in zip(names, null, strict=True)], lengths, ids
+
+
+# The pattern of the vocabulary's pre-tokenizer, for lower-case ASCII without white space.
+_PIECES = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+WORD_END = "</w>"
 
 
 @functools.lru_cache(2)
@@ -269,45 +293,121 @@ def _tokenizer(path: str) -> Tokenizer:
     return found
 
 
+def _laid(start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the stretches ``which`` one after the other."""
+    n = size[which]
+    return np.repeat(start[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 class WordEncoder:
-    """The library's ids word by word: this vocabulary's rules never look across ASCII white space. Words met are kept, up to ``MEMO``."""
+    """The library's ids word by word: this vocabulary's rules never look across ASCII white space.
 
-    def __init__(self, path: str):
-        self.tokenizer, self.memo = _tokenizer(path), {}
+    Pieces of ASCII words are merged in arrays; other words, and those that might hold a special token, go to the library.
+    What was met is kept, in ``MEMO_BYTES`` at most.
+    """
 
-    def __call__(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        split = [(t or "").encode().split() for t in texts]
-        seen = set().union(*split) if split else set()
-        fresh = [w for w in seen if w not in self.memo]
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = list(seen)
-        for w, e in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, "<u2").tobytes() if not e.ids or max(e.ids) < NONE else None
-        tail = struct.pack("<H", end)
-        return [np.frombuffer(b"".join([*map(self.memo.__getitem__, w), tail]), "<u2").astype("<u4") for w in split]
+    def __init__(self, path: str):
+        self.tokenizer, self.memo, self.used = _tokenizer(path), {b"\n": b""}, 0
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model.get("end_of_word_suffix") != WORD_END:
+            raise ValueError("a vocabulary with word ends is asked for")
+        ids, letter = model["vocab"], byte_letters()
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.slots = table_of({(ids[a], ids[b]): (r, ids[a + b]) for r, (a, b) in enumerate(pairs)})
+        self.inner = np.array([ids[letter[b]] for b in range(256)], np.int64)
+        self.last = np.array([ids[letter[b] + WORD_END] for b in range(256)], np.int64)
+
+    def _keep(self, keys: list[bytes] | list[str], values: list[bytes]) -> None:
+        self.memo.update(zip(keys, values, strict=True))
+        self.used += sum(map(len, keys)) + sum(map(len, values)) + 150 * len(keys)  # 150: of the dictionary and both objects
+
+    def _merged(self, pieces: list[bytes]) -> None:
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ids, ends = self.inner[raw], np.cumsum(size) - 1
+        ids[ends] = self.last[raw[ends]]
+        ids, count = merge_pairs(self.slots, ids, size)
+        flat, ends = ids.astype("<u2").tobytes(), (2 * np.cumsum(count)).tolist()
+        self._keep(pieces, [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)])
+
+    def __call__(self, texts: pa.Array | pa.ChunkedArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each with ``end`` after it, and how many each text has."""
+        codes, sizes, words = split_words(texts, lower=False)
+        if self.used > MEMO_BYTES:
+            self.memo, self.used = {b"\n": b""}, 0
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        simple, other = pc.ascii_lower(words.filter(plain)).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
+        pieces = _PIECES.findall("\n".join(simple).encode())
+        distinct, memo = list(dict.fromkeys(pieces)), self.memo
+        self._merged([p for p in distinct if p not in memo])
+        fresh = [w for w in other if w not in memo]  # str, so that none is taken for a piece
+        found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
+        self._keep(fresh, [np.array(e.ids, "<u2").tobytes() for e in found])
+        values = [*map(memo.__getitem__, distinct), *map(memo.__getitem__, other), struct.pack("<H", end)]
+        flat = np.frombuffer(b"".join(values), "<u2")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        start = np.cumsum(size) - size
+        # a word is a run of pieces, or one entry of the library's, or the end
+        number = {p: i for i, p in enumerate(distinct)}
+        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        cut = np.r_[-1, np.flatnonzero(at == number.get(b"\n", -1)), len(at)] if simple else np.zeros(1, np.int64)
+        of = np.concatenate([at, np.arange(len(distinct), len(values))])
+        first, count = np.zeros(len(words) + 1, np.int64), np.ones(len(words) + 1, np.int64)
+        plain = plain.to_numpy(zero_copy_only=False)
+        mine, theirs = np.flatnonzero(plain), np.flatnonzero(~plain)
+        first[mine], count[mine] = cut[:-1] + 1, np.diff(cut) - 1
+        first[theirs], first[-1] = len(at) + np.arange(len(theirs)), len(of) - 1
+        sequence = np.insert(codes, np.cumsum(sizes), len(words))
+        entries = of[_laid(first, count, sequence)]
+        ids = flat[_laid(start, size, entries)]
+        upto = np.cumsum(np.r_[0, size[of]])
+        upto = np.cumsum(np.r_[0, (upto[first + count] - upto[first])[sequence]])
+        ends = np.cumsum(sizes + 1)
+        return ids, np.diff(np.r_[0, upto[ends]])
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def write_tokens(docs: DataFrame, vocab_path: str, end: int = 2, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """shard, start and content: token files in ascending doc_id order, each with the number of ids before it."""
-    files = max(1, math.ceil(text_bytes(docs) / file_bytes))
-    cuts = cut_points(docs, "doc_id", max(1, math.ceil(docs.count() / files)))
-    rows = docs.select("doc_id", "text", bucket_of(F.col("doc_id"), cuts).alias("shard"))
-
-    def shard(table: pa.Table) -> pa.Table:
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
+    """part, seq, start and content: token files in ascending doc_id order, each with the number of ids before it.
+
+    Rows are sorted by range; each range is streamed into files of about ``file_bytes`` of text, however much it holds.
+    """
+    parts = max(1, -(-text_bytes(docs) // file_bytes))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("place").asc()]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+    def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
         enc = _encoders.setdefault(vocab_path, WordEncoder(vocab_path))
-        found = [x for lo in range(0, len(order), 512) for x in enc([texts[i] for i in order[lo : lo + 512]], end)]
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n_ids": pa.array([sum(map(len, found))], pa.int64()), "content": pa.array([write_file([ids[i] for i in order], found)], pa.binary())})
+        names, texts, held = [], [], 0
 
-    made = stored(rows.groupBy("shard").applyInArrow(shard, "shard int, n_ids long, content binary"), "token-files")
-    before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    starts = made.select("shard", F.coalesce(before, F.lit(0)).alias("start"))  # at most 8193 files
-    return made.join(F.broadcast(starts), "shard").select("shard", "start", "content")
+        def file():
+            ids, lengths = enc(pa.chunked_array(texts, pa.string()), end)
+            content = write_file(names, lengths.tolist(), ids)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([content], pa.binary())], names=["part", "seq", "n_ids", "content"])
+
+        for batch in batches:
+            for piece in runs(batch, 1, file_bytes // 8):
+                names += piece.column(0).to_pylist()
+                texts.append(piece.column(1))
+                held += piece.column(1).nbytes
+                if held > 1.5 * file_bytes:
+                    yield file()
+                    names, texts, held, seq = [], [], 0, seq + 1
+        if names:
+            yield file()
+
+    made = stored(rows.mapInArrow(run, "part int, seq int, n_ids long, content binary"), "token-files")
+    sizes = made.select("part", "seq", "n_ids")
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts_before = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", upto(Window.orderBy("part")).alias("before"))  # a row for each range
+    starts = sizes.select("part", "seq", upto(Window.partitionBy("part").orderBy("seq")).alias("within")).join(parts_before, "part")
+    starts = starts.select("part", "seq", (F.col("before") + F.col("within")).alias("start"))
+    return made.join(small(starts, 10_000), ["part", "seq"]).select("part", "seq", "start", "content")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -315,13 +415,11 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for shard in range(batch.num_rows):
-                names, found = read_file(batch.column(2)[shard].as_py())
-                at = batch.column(1)[shard].as_py()
-                sizes = np.array([len(x) for x in found], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array(at + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    return files.select("shard", "start", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for i in range(batch.num_rows):
+                names, sizes, ids = read_file(batch.column(1)[i].as_py())
+                before = np.cumsum(sizes) - sizes
+                raw, at = memoryview(np.ascontiguousarray(ids)).cast("B"), (4 * np.r_[before, len(ids)]).tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(batch.column(0)[i].as_py() + before), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return files.select("start", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -55,7 +55,7 @@ class Shingles:
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order].astype(np.int64)
         words, sizes, distinct = split_words(table.column("text").take(pa.array(order)))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
         w = hashes[words]
         x = w
         for k in range(1, SHINGLE):

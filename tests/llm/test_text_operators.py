@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -243,39 +245,69 @@ def test_lexicon_maps_words_to_ids_and_shares_suffixes(tmp_path):
     assert bpe.Lexicon(str(path)).numbers([b"a", b""]).tolist() == [-1, -1]
 
 
-def test_word_encoder_equals_the_library():
-    lib, enc = Tokenizer.from_file(WORD), rangecoder.WordEncoder(WORD)
-    texts = strings(2000, 6)
-    assert [x.tolist() for x in enc(texts, 2)] == [e.ids + [2] for e in lib.encode_batch(texts, add_special_tokens=False)]
+def test_word_encoder_equals_the_library(spark, docs, monkeypatch):
+    lib = Tokenizer.from_file(WORD)
+    odd = ["A<|endoftext|>b <|ENDOFTEXT|> it's we'll 'TIS x'Sam", "É é \u212a I\u0307 \x1c\x85 \u00a0z \u200bq", "12345 a1b2 --- ...!? 'a ''s", " ", "\n", "日本語 テスト x日y", "🙂🙂 q\u0301 e\u0301", "aaaa aaaaaaaaaaaa 'll'll've"]
+    texts = [r.text for r in docs.collect()] + odd + ["word " * 3000, None, *strings(2000, 6)]
+    for limit in (1 << 30, 0):
+        monkeypatch.setattr(rangecoder, "MEMO_BYTES", limit)
+        enc = rangecoder.WordEncoder(WORD)
+        for part in (texts[:40], texts[40:], texts[:3], [None], [""]):
+            ids, n = enc(pa.array(part, pa.string()), 2)
+            want = [lib.encode(t or "", add_special_tokens=False).ids + [2] for t in part]
+            assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
 @pytest.mark.parametrize("n", [0, 1, 15, 16, 2047, 2048, 2049, 9000])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
     for ids in (rng.integers(0, rangecoder.NONE, n), rng.zipf(1.3, n) % 40_000, np.zeros(n), np.tile(rng.integers(0, 40_000, 50), n // 50 + 1)[:n]):
-        ids = ids.astype(np.uint32)
-        coded = rangecoder.encode_blocks(ids)
-        assert (rangecoder.decode_blocks(np.array([k for k, _ in coded], np.int64), [w for _, w in coded]) == ids).all()
-        if n == 9000 and len(set(ids.tolist())) < 60:
-            assert sum(4 * len(w) for _, w in coded) < n / 2
+        for size in (2048, 500):
+            coded = rangecoder.write_file([1, 2], [n, 0], ids.astype(np.uint32), size)
+            names, sizes, got = rangecoder.read_file(coded)
+            assert names == [1, 2] and sizes.tolist() == [n, 0] and (got == ids).all()
+            if n == 9000 and len(set(ids.tolist())) < 60:
+                assert len(coded) < n / 2
+
+
+def test_carries_run_through(monkeypatch):
+    """Blocks of ids that are as likely as can be, so that words are full of ones."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        ids = np.where(rng.random(20_000) < 0.999, 7, rng.integers(0, 60_000, 20_000)).astype(np.uint32)
+        assert (rangecoder.read_file(rangecoder.write_file([0], [len(ids)], ids, 1000))[2] == ids).all()
+
+
+def test_the_mixed_model_is_smaller_than_order_0_and_zlib():
+    texts = [r[0] or "" for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pandas().itertuples(index=False)]
+    ids, _ = rangecoder.WordEncoder(WORD)(pa.array(texts), 2)
+    size = 8 * len(rangecoder.write_file([0], [len(ids)], ids)) / len(ids)
+    p = np.bincount(ids)[np.unique(ids)] / len(ids)
+    block = rangecoder.IDS
+    packed = sum(len(zlib.compress(ids[i : i + block].astype("<u2").tobytes(), 9)) for i in range(0, len(ids), block)) * 8 / len(ids)
+    assert size < -(p * np.log2(p)).sum() < packed
 
 
 def test_token_files_detect_damage():
-    b = rangecoder.write_file([3, None], [np.array([5, 6], np.uint32), np.array([2], np.uint32)])
-    names, found = rangecoder.read_file(b)
-    assert names == [3, None] and [x.tolist() for x in found] == [[5, 6], [2]]
+    b = rangecoder.write_file([3, None], [2, 1], np.array([5, 6, 2]))
+    names, sizes, found = rangecoder.read_file(b)
+    assert names == [3, None] and sizes.tolist() == [2, 1] and found.tolist() == [5, 6, 2]
     broken = bytearray(b)
     broken[-1] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         rangecoder.read_file(bytes(broken))
     with pytest.raises(ValueError):
-        rangecoder.write_file([1], [np.array([rangecoder.NONE])])
+        rangecoder.write_file([1], [1], np.array([rangecoder.NONE]))
 
 
-def test_token_files_on_spark(spark, docs):
+@pytest.mark.parametrize("size", [4000, 300])
+def test_token_files_on_spark(spark, docs, size):
     lib = Tokenizer.from_file(WORD)
-    got = rangecoder.read_tokens(rangecoder.write_tokens(docs, WORD, file_bytes=4000)).collect()
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    files = rangecoder.write_tokens(docs, WORD, file_bytes=size)
+    got = rangecoder.read_tokens(files).collect()
+    of = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, signed(of(r.text))))
     at, want = 0, []
     for r in rows:
         ids = lib.encode(r.text or "", add_special_tokens=False).ids + [2]
@@ -285,6 +317,14 @@ def test_token_files_on_spark(spark, docs):
     assert rangecoder.write_tokens(docs.limit(0), WORD).count() == 0
 
 
+def test_a_range_streams_into_files(spark):
+    """All rows have one doc_id, so that one range has them all."""
+    df = spark.createDataFrame([(None, f"text {i} " * 40) for i in range(60)], "doc_id long, text string").coalesce(1)
+    files = rangecoder.write_tokens(df.withColumn("text", F.lit("same words " * 40)), WORD, file_bytes=2000)
+    got = sorted(rangecoder.read_tokens(files).collect(), key=lambda r: r.start)
+    assert files.count() > 5 and [r.start for r in got] == [81 * i for i in range(60)] and {r.n_tokens for r in got} == {81}
+
+
 def test_compact_windows_are_tree_nodes():
     rng = np.random.default_rng(8)
     ends = np.array([30, 30, 95, 100])
