@@ -7,15 +7,15 @@ are joined as intervals: laid over each other at the minimum, what both cover ho
 witness. One hash of the four is enough to make a candidate, so that a pair of similarity 0.8 becomes one with probability 0.998; a
 verbatim passage of over 50 words shares its minimum under every hash, wherever that lies.
 
-A minimum whose 47 shingles around it are the same wherever it occurs needs no more: its documents share a
-verbatim passage. For the others the shingles of their windows travel (at most 90 on either side: a longer passage has a half of 46
+A minimum that all its occurrences share with the 47 shingles that end there, surround it or begin there needs no more: its documents
+share a verbatim passage. For the others the shingles of their windows travel (at most 90 on either side: a longer passage has a half of 46
 shingles or more that is as similar, with minima of its own), and candidates are verified: two are linked
 where passages of the same extents around the minimum, of 46 to 181 shingles, have a similarity of 0.8 or more; shared
 shingles are counted by place, each once, and the best extents are found exactly. Candidates of
 one minimum are searched breadth-first; the prefix filter on rare shingles loses no pair, and no link hides another.
 
-A group never yields all its pairs, only a star of its least document for each linked set. Blocks and buckets exchange distinct keys, at
-most two entries per key and block; equal windows of a block travel once; links are made distinct in packed form.
+A group never yields all its pairs, only a star of its least document for each linked set. Blocks and buckets exchange distinct keys, one
+entry per key and block; equal windows of a block travel once; links are made distinct in packed form.
 
 Defined results: null texts count as empty; texts of fewer than ``length`` shingles have no links; rows that repeat a doc_id are one
 document; null doc_ids keep their rows, without class or links. ``n_links`` is the number of other documents in the class.
@@ -34,8 +34,8 @@ from pulsegrid.llm.components import components
 from pulsegrid.llm.suffix import PART, _by_block, _deal, _mix, _parts, _read
 
 SHINGLE, LENGTH, FUNCTIONS, AROUND, BLOCK_BYTES = 5, 46, 4, 90, 6_000_000
-#: shingles on either side of a minimum that make a verbatim passage; shingles by which a window is widened, for inserted words
-MIDDLE, SLACK = 23, 6
+#: shingles that make a verbatim passage; shingles by which a window is widened, for inserted words
+STRING, SLACK = 47, 6
 WIDE = 2 * AROUND + 1
 KEY, SAME, NEAR, EDGE = 1, 2, 3, 4
 
@@ -137,54 +137,61 @@ def _minima(s: Shingles, length: int, spans: bool) -> tuple[np.ndarray, ...]:
     return key, c, first, last
 
 
-def _middles(s: Shingles, c: np.ndarray, length: int) -> np.ndarray:
-    """An identifier of the shingles around each place, 0 where they do not lie within its document or would be too few."""
+def _strings(s: Shingles, c: np.ndarray, length: int) -> np.ndarray:
+    """Identifiers (48 bits, three rows) of the ``STRING`` shingles that end at, surround and begin at each place; 0 where they leave its document or would be too few."""
     doc = s.doc[c]
-    fits = (c - MIDDLE >= np.r_[0, s.ends][doc]) & (c + MIDDLE < s.ends[doc]) & (2 * MIDDLE + 1 >= length)
-    out = np.zeros(len(c), np.uint64)
-    at = c[fits] - MIDDLE
-    if not len(at):
+    out = np.zeros((3, len(c)), np.uint64)
+    if len(s.x) < STRING or length > STRING:
         return out
-    x, size, left, part = s.x, 1, 2 * MIDDLE + 1, None
+    fits, at = [], []
+    for back in (STRING - 1, STRING // 2, 0):
+        ok = (c - back >= np.r_[0, s.ends][doc]) & (c - back + STRING <= s.ends[doc])
+        fits.append(ok)
+        at.append(c[ok] - back)
+    x, size, left, found = s.x, 1, STRING, [None] * 3
     while left:  # the bits of 47, each by strings of that length
         if left & 1:
-            part = x[at] if part is None else _mix(part, x[at])
-            at = at + size
+            found = [x[p] if f is None else _mix(f, x[p]) for f, p in zip(found, at, strict=True)]
+            at = [p + size for p in at]
         left >>= 1
         if left:
             x, size = _mix(x[:-size], x[size:]), 2 * size
-    out[fits] = np.maximum(part, np.uint64(1))
+    for row, ok, f in zip(out, fits, found, strict=True):
+        row[ok] = np.maximum(f >> np.uint64(16), np.uint64(1))
     return out
 
 
+def _agreed(strings: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each run the string identifiers that all its entries have, else 0."""
+    if not len(first):
+        return strings[:, :0]
+    least, most = np.minimum.reduceat(strings, first, axis=1), np.maximum.reduceat(strings, first, axis=1)
+    return np.where(least == most, least, np.uint64(0))
+
+
 def _ask(table: pa.Table, block: int, buckets: int, length: int) -> pa.Table:
     s = Shingles(table)
     key, c, _, _ = _minima(s, length, False)
-    middle = _middles(s, c, length)
-    order = np.lexsort((middle, key))
-    key, middle = key[order], middle[order]
-    if len(key):
-        new = np.r_[True, (key[1:] != key[:-1]) | (middle[1:] != middle[:-1])]
-        key, middle = key[new], middle[new]
-        third = np.r_[False, False, key[2:] == key[:-2]][: len(key)]  # two show that they differ
-        key, middle = key[~third], middle[~third]
-    return _parts(_deal(KEY, block, buckets, key, middle))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+    found = _agreed(_strings(s, c, length)[:, order], first)
+    return _parts(_deal(KEY, block, buckets, key[first], *[x for f in found for x in ((f & np.uint64(0xFFFFFFFF)).astype("<u4"), (f >> np.uint64(32)).astype("<u2"))]))
 
 
 def _answer(table: pa.Table, bucket: int) -> pa.Table:
-    """To each block: its keys that other blocks have too, and whether all have the same middle."""
-    key, middle, block = _read(table, KEY, "<u8", "<u8")
+    """To each block: its keys that other blocks have too, and whether all occurrences agree on a string."""
+    key, *parts, block = _read(table, KEY, "<u8", *["<u4", "<u2"] * 3)
     if not len(key):
         return _parts([])
-    order = np.lexsort((block, key))
-    k, m, b = key[order], middle[order], block[order]
-    new = np.r_[True, k[1:] != k[:-1]]
+    order = np.argsort(key, kind="stable")
+    key, block = key[order], block[order]
+    strings = np.stack([(lo.astype(np.uint64) | hi.astype(np.uint64) << np.uint64(32))[order] for lo, hi in zip(parts[::2], parts[1::2], strict=True)])
+    new = np.r_[True, key[1:] != key[:-1]]
     run, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    several = np.bincount(run, np.r_[False, ~new[1:] & (b[1:] != b[:-1])]) > 0
-    same = np.minimum.reduceat(m, first) == np.maximum.reduceat(m, first)
-    same &= m[first] > 0
-    at = several[run] & np.r_[True, new[1:] | (b[1:] != b[:-1])]
-    return _parts(_by_block(KEY, bucket, b[at], k[at], same[run][at].astype(np.uint8)))
+    same = (_agreed(strings, first) > 0).any(axis=0)
+    at = (np.bincount(run) > 1)[run]  # a block has a key once
+    return _parts(_by_block(KEY, bucket, block[at], key[at], same[run][at].astype(np.uint8)))
 
 
 def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,23 +238,23 @@ def _contexts(s: Shingles, c: np.ndarray, first: np.ndarray, last: np.ndarray) -
 
 
 def _passages(table: pa.Table, answers: pa.Table, block: int, buckets: int, length: int) -> pa.Table:
-    """Of the minima that several documents share: one entry where the middles agree, else each different window once."""
+    """Of the minima that several documents share: one entry where all agree on a string, else each different window once."""
     known, same, _ = _read(answers, KEY, "<u8", "u1")
     s = Shingles(table)
     key, c, first, last = _minima(s, length, True)
     if not len(c):
         return _parts([])
-    doc, middle = s.doc[c], _middles(s, c, length)
+    doc = s.doc[c]
     order = np.lexsort((doc, key))
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     run, lead = np.cumsum(new) - 1, np.flatnonzero(new)
     several = np.bincount(run, np.r_[0, (~new[1:]) & (doc[order][1:] != doc[order][:-1])]) > 0
-    k, m = key[order][lead], middle[order]
+    k = key[order][lead]
     at = np.argsort(known)
     known, same = known[at], same[at]
     at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
     wide = known[at] == k if len(known) else np.zeros(len(k), bool)
-    alike = (np.minimum.reduceat(m, lead) == np.maximum.reduceat(m, lead)) & (m[lead] > 0)
+    alike = (_agreed(_strings(s, c, length)[:, order], lead) > 0).any(axis=0)
     alike = np.where(wide, same[at] > 0, alike) if len(known) else alike
     a, b, rows = [], [], []
     # verbatim: the block links its own, other blocks hear of the least
