@@ -80,12 +80,17 @@ def permuted(slot: Column, n: Column, src: Column, seed: int) -> tuple[Column, C
     return turn, (_modulo(a % n, slot % n, n) + (src * 7919 + turn * 104729 + seed * 15485863) % n) % n
 
 
+def _total(per_source: DataFrame) -> int:
+    return per_source.agg(F.sum("slots")).head()[0] or 0
+
+
 def shard_counts(per_source: DataFrame, seed: int = 1, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """shard, src and slots: how many places of each output shard fall to each source, a multinomial draw a shard."""
     sources = F.transform(F.sort_array(F.collect_list(F.struct("src", "slots", "upto"))), lambda x: F.struct(x["src"].alias("src"), (x["upto"] - x["slots"]).alias("lo"), x["upto"].alias("hi")))
     ranges = per_source.filter("slots > 0").withColumn("upto", F.sum("slots").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)))
-    one = ranges.agg(sources.alias("sources"), F.sum("slots").alias("total")).filter("total > 0")  # a row; its array is as long as there are sources
-    shards = one.select("sources", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {shard_slots}"))).alias("shard")).repartition("shard")
+    one = ranges.agg(sources.alias("sources"), F.sum("slots").alias("total"))  # a row; its array is as long as there are sources
+    n = -(-_total(per_source) // shard_slots)
+    shards = per_source.sparkSession.range(0, n, 1, max(1, n // 16)).select(F.col("id").alias("shard")).crossJoin(F.broadcast(one))
     places = F.least(F.lit(shard_slots), F.col("total") - F.col("shard") * shard_slots)
     drawn = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("shard"), i)), 1, 15), 16, 10).cast("long") % F.col("total")
     shards = shards.select("sources", "shard", F.transform(F.sequence(F.lit(0).cast("long"), places - 1), drawn).alias("places"))
@@ -105,7 +110,7 @@ def draw(per_source: DataFrame, seed: int = 1, shard_slots: int = SHARD_SLOTS) -
     short = short.withColumn("more", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(quota - drawn - 1) div {shard_slots}"))))
     first = F.col("drawn") + F.col("more") * shard_slots
     short = short.select((F.col("shards") + F.col("more")).alias("shard"), "src", "blocks", first.alias("first"), F.least(first + shard_slots, "quota").alias("last"))
-    runs = runs.unionByName(short).filter("first < last").repartition("src", "shard")
+    runs = runs.unionByName(short).filter("first < last").repartition(1 + _total(per_source) // (1 << 18), "src", "shard")
     slots = runs.withColumn("slot", F.explode(F.sequence("first", F.col("last") - 1)))
     turn, at = permuted(F.col("slot"), F.col("blocks"), F.col("src").cast("long"), seed)
     return slots.select("shard", "src", "slot", turn.alias("turn"), at.alias("block"))
