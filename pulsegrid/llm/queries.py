@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,5 +82,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_katz_score, op2_media_columns, op3_simhash, op4_bpe, op5_token_files, op6_passages, op8_suffix_dedup, op9_quality, op7_mix_sources, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_katz_score, op2_media_columns, op3_simhash, op4_bpe, op5_token_files, op6_passages, op8_suffix_dedup, op9_quality, op7_mix_sources, op10_order_minhash)}
 SQL = {"op7_mix_sources": mixing.SQL}
