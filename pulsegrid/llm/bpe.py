@@ -19,9 +19,9 @@ import json
 import mmap
 import os
 import re
-import tempfile
 import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from pulsegrid.llm.common import runs, stored
+from pulsegrid.llm.common import put, runs, stored
 
 # Unicode's White_Space, which the pre-tokenizer's \s stands for.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SIZE, MEMO = 65536, 400_000
+SIZE, MEMO_BYTES = 65536, 210_000_000
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+# Letters with marks of Latin-1, which are composed already; words of these and printable ASCII are split together.
+MARKED = "À-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f" ?[!-~{MARKED}]+")
+_PIECES = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{MARKED}]+| ?[0-9]+| ?[^\sA-Za-z0-9{MARKED}]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -63,6 +67,7 @@ class Vocabulary:
             self.table[i] = b
         for s, i in self.special.items():
             self.table[i] = s.encode()
+        self.written = list(map(str, range(len(self.table))))
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -76,10 +81,22 @@ class Vocabulary:
         return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
     def words(self, chunks: list[str]) -> list[list[int]]:
-        split = [[p.encode() for p in self.pattern.findall(c)] for c in chunks]
-        unique = list(dict.fromkeys(p for s in split for p in s))
-        ids = dict(zip(unique, self.merge(unique), strict=True))
-        return [[i for p in s for i in ids[p]] for s in split]
+        """The ids of words. Plain ones are split together, in one pass over all of them; newlines part them."""
+        plain = [_PLAIN.fullmatch(c) is not None for c in chunks]
+        pieces = _PIECES.findall("\n".join([c for c, p in zip(chunks, plain, strict=True) if p]))
+        other = [self.pattern.findall(c) for c, p in zip(chunks, plain, strict=True) if not p]
+        unique = list(dict.fromkeys(chain(pieces, *other)))
+        ids = dict(zip(unique, self.merge([p.encode() for p in unique]), strict=True))
+        cuts = [-1, *[i for i, p in enumerate(pieces) if p == "\n"], len(pieces)]
+        mine, theirs = zip(cuts, cuts[1:], strict=False), iter(other)
+        out = []
+        for p in plain:
+            if p:
+                i, j = next(mine)
+                out.append(ids[pieces[i + 1]] if j == i + 2 else [x for q in pieces[i + 1 : j] for x in ids[q]])
+            else:
+                out.append([x for q in next(theirs) for x in ids[q]])
+        return out
 
 
 _PROBES = 64
@@ -298,7 +315,7 @@ def word_counts(docs: DataFrame, vocab_path: str) -> DataFrame:
 
 
 def train_lexicon(docs: DataFrame, vocab_path: str, size: int = SIZE) -> str:
-    """Counts words, compiles the most frequent, ``size`` at most, and hands the file to every executor; returns its name."""
+    """Counts words, compiles the most frequent, ``size`` at most, and writes the file in the shared folder, from where executors fetch it; returns its name."""
     vocab = vocabulary(vocab_path)
     counts = stored(word_counts(docs, vocab_path), "bpe-words")
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -313,39 +330,43 @@ def train_lexicon(docs: DataFrame, vocab_path: str, size: int = SIZE) -> str:
     found = sorted(w for r in top if (w := bytes(r["word"]).decode()) not in vocab.special)
     entries = dict(zip((w.encode() for w in found), vocab.words(found), strict=True))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    with open(path, "wb") as f:
-        f.write(compile_lexicon(entries))
-    docs.sparkSession.sparkContext.addFile(path)
+    docs.sparkSession.sparkContext.addFile(put(docs.sparkSession, name, compile_lexicon(entries)))
     return name
 
 
 class Encoder:
-    """Texts to lists of words, each with its ids; words met before are kept, up to ``MEMO`` of them."""
+    """Splits texts into words, whose ids are in ``ids`` and, written out, in ``text``; words met before are kept, in about ``MEMO_BYTES``."""
 
     def __init__(self, vocab: Vocabulary, lex: Lexicon | None):
-        self.vocab, self.lex, self.memo = vocab, lex, {}
+        self.vocab, self.lex, self.ids, self.text, self.used = vocab, lex, {}, {}, 0
 
     def learn(self, fresh: list[str]) -> None:
         keys = [w.encode() for w in fresh]
         numbers = self.lex.numbers(keys).tolist() if self.lex else [-1] * len(keys)
         unseen = [w for w, n in zip(fresh, numbers, strict=True) if n < 0 and w not in self.vocab.special]
-        merged = dict(zip(unseen, self.vocab.words(unseen), strict=True))
+        found = dict(zip(unseen, self.vocab.words(unseen), strict=True))
         for w, n in zip(fresh, numbers, strict=True):
-            special = self.vocab.special.get(w)
-            ids = [special] if special is not None else self.lex.ids_of(n) if n >= 0 else merged[w]
-            self.memo[w] = (ids, ",".join(map(str, ids)), b"".join([self.vocab.table[i] for i in ids]))
-
-    def batch(self, texts: list[str]) -> list[list[tuple]]:
+            if n >= 0:
+                found[w] = self.lex.ids_of(n)
+            elif w in self.vocab.special:
+                found[w] = [self.vocab.special[w]]
+        written = self.vocab.written
+        self.ids |= found
+        self.text |= {w: ",".join([written[i] for i in x]) for w, x in found.items()}
+        # bytes of a word: both dictionaries' entries and the objects, then those that follow its length or its ids'
+        self.used += 370 * len(found) + 3 * sum(map(len, keys)) + 42 * sum(map(len, found.values()))
+
+    def batch(self, texts: list[str]) -> list[list[str]]:
         split = [words(t, self.vocab.cut) for t in texts]
         seen = set().union(*split) if split else set()
-        fresh = [w for w in seen if w not in self.memo]
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = list(seen)
-        if fresh:
+        if self.used > MEMO_BYTES:
+            self.ids, self.text, self.used = {}, {}, 0
+        if fresh := [w for w in seen if w not in self.ids]:
             self.learn(fresh)
-        return [list(map(self.memo.__getitem__, s)) for s in split]
+        return split
+
+    def of(self, doc: list[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.ids.__getitem__, doc)))
 
 
 def encode(docs: DataFrame, vocab_path: str, lexicon_file: str | None = None) -> DataFrame:
@@ -358,7 +379,7 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_file: str | None = None) ->
         enc = Encoder(vocabulary(vocab_path), lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None)
         for batch in batches:
             for part in runs(batch, len(keep)):
-                rows = [[i for w in doc for i in w[0]] for doc in enc.batch([t or "" for t in part.column(len(keep)).to_pylist()])]
+                rows = [enc.of(doc) for doc in enc.batch([t or "" for t in part.column(len(keep)).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.list_(pa.int64()))], names=schema.names)
 
     return src.mapInArrow(run, schema)
@@ -398,9 +419,9 @@ def digests(docs: DataFrame, vocab_path: str, lexicon_file: str) -> DataFrame:
             for part in runs(batch, len(keep)):
                 n, a, b = [], [], []
                 for doc in enc.batch([t or "" for t in part.column(len(keep)).to_pylist()]):
-                    ids = [i for w in doc for i in w[0]]
+                    ids = enc.of(doc)
                     n.append(len(ids))
-                    a.append(hashlib.sha256(",".join([w[1] for w in doc]).encode()).hexdigest())
+                    a.append(hashlib.sha256(",".join(map(enc.text.__getitem__, doc)).encode()).hexdigest())
                     b.append(hashlib.sha256(decode_ids(ids, vocab).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
 

@@ -39,6 +39,18 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a file in the shared folder; returns its place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        for lo in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[lo : lo + (1 << 20)]))
+    finally:
+        out.close()
+    return path.toString()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs whose results are stored."""
     gc.collect()
