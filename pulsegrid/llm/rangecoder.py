@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.bpe import byte_letters, merge_pairs, table_of
+from pulsegrid.llm.bpe import MARKED, byte_letters, merge_pairs, table_of
 from pulsegrid.llm.common import runs, small, split_words, stored, text_bytes
 
-MAGIC, VERSION, IDS, FILE_BYTES, MEMO_BYTES = b"PGTK", 2, 4096, 12_000_000, 64_000_000
+MAGIC, VERSION, IDS, FILE_BYTES, MEMO_BYTES = b"PGTK", 2, 4096, 12_000_000, 128_000_000
 SLOTS1, SLOTS2, NONE = 2048, 4096, 65535  # entries of the context tables of a block; ids are below NONE
 MIX, ZERO, RATE = 12, 16, 5  # bits of the weights and of order 0's distribution; how slowly weights are learned
 _U = np.uint64
@@ -279,8 +279,9 @@ def read_file(b: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(names, null, strict=True)], lengths, ids
 
 
-# The pattern of the vocabulary's pre-tokenizer, for lower-case ASCII without white space.
-_PIECES = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# The vocabulary's pre-tokenizer on lower-case words of printable ASCII and marked Latin-1 letters, which newlines part.
+_PIECES = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+_PLAIN = f"^[!-~{MARKED}]+$"
 WORD_END = "</w>"
 
 
@@ -302,12 +303,12 @@ def _laid(start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """The library's ids word by word: this vocabulary's rules never look across ASCII white space.
 
-    Pieces of ASCII words are merged in arrays; other words, and those that might hold a special token, go to the library.
+    Pieces of plain words are merged in arrays; other words, and those that might hold a special token, go to the library.
     What was met is kept, in ``MEMO_BYTES`` at most.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo, self.used = _tokenizer(path), {b"\n": b""}, 0
+        self.tokenizer, self.memo, self.used = _tokenizer(path), {"\n": b""}, 0
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         if model.get("end_of_word_suffix") != WORD_END:
@@ -318,13 +319,14 @@ class WordEncoder:
         self.inner = np.array([ids[letter[b]] for b in range(256)], np.int64)
         self.last = np.array([ids[letter[b] + WORD_END] for b in range(256)], np.int64)
 
-    def _keep(self, keys: list[bytes] | list[str], values: list[bytes]) -> None:
+    def _keep(self, keys: list, values: list[bytes]) -> None:
         self.memo.update(zip(keys, values, strict=True))
-        self.used += sum(map(len, keys)) + sum(map(len, values)) + 150 * len(keys)  # 150: of the dictionary and both objects
+        self.used += sum(map(len, values)) + 180 * len(keys)  # 180: of the dictionary and both objects, with a key of usual length
 
-    def _merged(self, pieces: list[bytes]) -> None:
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
+    def _merged(self, pieces: list[str]) -> None:
+        raw = [p.encode() for p in pieces]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        raw = np.frombuffer(b"".join(raw), np.uint8)
         ids, ends = self.inner[raw], np.cumsum(size) - 1
         ids[ends] = self.last[raw[ends]]
         ids, count = merge_pairs(self.slots, ids, size)
@@ -335,23 +337,23 @@ class WordEncoder:
         """The ids of all texts end to end, each with ``end`` after it, and how many each text has."""
         codes, sizes, words = split_words(texts, lower=False)
         if self.used > MEMO_BYTES:
-            self.memo, self.used = {b"\n": b""}, 0
-        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
-        simple, other = pc.ascii_lower(words.filter(plain)).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
-        pieces = _PIECES.findall("\n".join(simple).encode())
+            self.memo, self.used = {"\n": b""}, 0
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        simple, other = words.filter(plain).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
+        pieces = _PIECES.findall("\n".join(simple).lower())
         distinct, memo = list(dict.fromkeys(pieces)), self.memo
         self._merged([p for p in distinct if p not in memo])
-        fresh = [w for w in other if w not in memo]  # str, so that none is taken for a piece
+        fresh = [w for w in other if (w,) not in memo]  # in a tuple, so that none is taken for a piece
         found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        self._keep(fresh, [np.array(e.ids, "<u2").tobytes() for e in found])
-        values = [*map(memo.__getitem__, distinct), *map(memo.__getitem__, other), struct.pack("<H", end)]
+        self._keep([(w,) for w in fresh], [np.array(e.ids, "<u2").tobytes() for e in found])
+        values = [*map(memo.__getitem__, distinct), *[memo[w,] for w in other], struct.pack("<H", end)]
         flat = np.frombuffer(b"".join(values), "<u2")
         size = np.fromiter(map(len, values), np.int64, len(values)) // 2
         start = np.cumsum(size) - size
         # a word is a run of pieces, or one entry of the library's, or the end
         number = {p: i for i, p in enumerate(distinct)}
         at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        cut = np.r_[-1, np.flatnonzero(at == number.get(b"\n", -1)), len(at)] if simple else np.zeros(1, np.int64)
+        cut = np.r_[-1, np.flatnonzero(at == number.get("\n", -1)), len(at)] if simple else np.zeros(1, np.int64)
         of = np.concatenate([at, np.arange(len(distinct), len(values))])
         first, count = np.zeros(len(words) + 1, np.int64), np.ones(len(words) + 1, np.int64)
         plain = plain.to_numpy(zero_copy_only=False)
