@@ -14,7 +14,8 @@ D(v) is the context's count, one more where nothing would be left otherwise. Cou
 discounted after Katz; where counts of counts do not allow it (a discount outside 0 .. 1), by n1 / (n1 + 2 n2).
 
 Texts move once, into blocks. Blocks and buckets exchange distinct keys only; a context with more than a
-bucket's share of tokens is split by following word, and the parts' sums, at most two per bucket, are added up.
+bucket's share of tokens is split by following word, and the parts' sums meet in the context's own bucket. The driver gets sums of
+fixed width. Ids and counts have 48 bits.
 Tables in the shared folder, partitioned by kind: the vocabulary, the encoded blocks, the pair counts with
 their contexts' sums, and the buckets' replies.
 
@@ -26,27 +27,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pulsegrid.llm.common import block_count, release, stored
+from pulsegrid.llm.common import block_count, dealt, release, split_words, stored
 
-K, BLOCK_BYTES = 5, 12_000_000
+K, BLOCK_BYTES, WIDTH = 5, 12_000_000, 6
 END, BOS, UNKNOWN, FIRST = b"\n", 2, 0, 3
-VOCAB, STATS, REPLY, ENCODED, MODEL, SUMS, HOT, ASK = range(1, 9)
+VOCAB, STATS, REPLY, ENCODED, MODEL, SUMS, ASK = range(1, 8)
 PART = "kind int, bucket int, block int, n int, data binary"
 NAMES = ["kind", "bucket", "block", "n", "data"]
 
 
 def pack(x: np.ndarray) -> bytes:
-    """uint32 values as byte planes: the high ones compress away."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Values below 2**48 as byte planes: the high ones compress away."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].T).tobytes()
 
 
 def unpack(data: bytes, n: int, at: int = 0) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(n).astype(np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(data, np.uint8, WIDTH * n, at).reshape(WIDTH, n).T
+    return out.view("<i8").reshape(n)
 
 
 def parts(rows: list[tuple]) -> pa.Table:
@@ -68,26 +72,18 @@ class Words:
     """A block's documents in a fixed order and their words as local numbers; the last number is the end token."""
 
     def __init__(self, table: pa.Table):
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        raw = [(t or "").encode().lower() for t in texts]
-        self.order = sorted(range(len(raw)), key=lambda i: (ids[i] is not None, ids[i] or 0, raw[i]))
-        train = table.column("__train").to_pylist()
-        self.train = [bool(train[i]) for i in self.order]
-        number: dict[bytes, int] = {}
-        found, self.sizes = [], []
-        for i in self.order:
-            w = raw[i].split()
-            found.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int64, len(w)))
-            self.sizes.append(len(w) + 1)
-        keys = [*number, END]
+        self.order = pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending"), ("train", "ascending")], null_placement="at_start")
+        self.train = table.column("train").take(self.order).to_pylist()
+        codes, sizes, words = split_words(table.column("text").take(self.order))
+        self.sizes = (sizes + 1).tolist()
+        keys = [*words.to_pylist(), END]
         hashed = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
         place = np.argsort(hashed)
         self.hash = hashed[place]
         rank = np.empty(len(keys), np.int64)
         rank[place] = np.arange(len(keys))
         self.end = int(rank[-1])
-        tail = np.array([len(keys) - 1])
-        self.tokens = rank[np.concatenate([x for f in found for x in (f, tail)])] if found else np.zeros(0, np.int64)
+        self.tokens = rank[np.insert(codes, np.cumsum(sizes), len(keys) - 1)]
 
     def counts(self) -> np.ndarray:
         keep = np.repeat(np.array(self.train, bool), self.sizes)
@@ -114,8 +110,6 @@ def _count_words(table: pa.Table, bucket: int, buckets: int) -> pa.Table:
     rank = np.empty(len(words), np.int64)
     rank[np.lexsort((words, -total))] = np.arange(len(words))  # frequent words get small ids
     ids = np.where(total > 0, FIRST + rank * buckets + bucket, UNKNOWN)
-    if ids.max(initial=0) >= 1 << 32:
-        raise OverflowError("more words than 32-bit ids")
     seen = total > 0
     rows = [(VOCAB, bucket, -1, int(seen.sum()), words[seen].tobytes() + pack(ids[seen]) + pack(total[seen]))]
     rows.append((STATS, bucket, -1, 1, np.r_[total.sum(), seen.sum(), [np.count_nonzero(total == r) for r in range(1, K + 2)]].astype("<i8").tobytes()))
@@ -133,12 +127,12 @@ def _encode(table: pa.Table, replies: pa.Table, block: int, buckets: int, schema
     to = (w.hash % np.uint64(buckets)).astype(np.int64)
     for u, _, n, d in rows_of(replies, REPLY):
         at = np.flatnonzero(to == u)
-        ids[at], counts[at] = unpack(d, n), unpack(d, n, 4 * n)
+        ids[at], counts[at] = unpack(d, n), unpack(d, n, WIDTH * n)
     known = np.flatnonzero(ids)
     known = known[np.argsort(ids[known])]
     n = len(w.tokens)
     data = pack(ids[w.tokens]) + pack(ids[known]) + pack(counts[known])
-    doc_id = table.column("doc_id").combine_chunks().take(pa.array(w.order, pa.int64()))
+    doc_id = table.column("doc_id").combine_chunks().take(w.order)
     one = lambda x, t: pa.array([x], t)
     return pa.table(
         [one(ENCODED, pa.int32()), one(-1, pa.int32()), one(block, pa.int32()), one(n, pa.int32()), one(data, pa.binary()), pa.ListArray.from_arrays([0, len(doc_id)], doc_id), one(w.sizes, pa.list_(pa.int32())), one(w.train, pa.list_(pa.bool_()))],
@@ -154,8 +148,8 @@ class Pairs:
 
     def __init__(self, n: int, data: bytes, sizes: list[int], train: list[bool], buckets: int, share: int):
         self.tokens = unpack(data, n)
-        known = (len(data) // 4 - n) // 2
-        self.ids, self.counts = unpack(data, known, 4 * n), unpack(data, known, 4 * (n + known))
+        known = (len(data) // WIDTH - n) // 2
+        self.ids, self.counts = unpack(data, known, WIDTH * n), unpack(data, known, WIDTH * (n + known))
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.before = np.r_[BOS, self.tokens[:-1]] if n else self.tokens
@@ -184,7 +178,7 @@ class Pairs:
         split = 1 + self.v_count // self.share
         part = self.ids[self.pw] % split[self.pv] if len(self.keys) else self.pw
         to = (self.v[self.pv] * 7919 + part * 104729) % self.buckets
-        plain = self.v * 7919 % self.buckets  # a context asks in its first part's bucket also if it has no pair there
+        plain = home(self.v, self.buckets)  # a context asks in its first part's bucket also if it has no pair there
         pairs = np.unique(np.concatenate([to * (len(self.v) + 1) + self.pv, plain * (len(self.v) + 1) + np.arange(len(self.v))]))
         vb, vi = pairs // (len(self.v) + 1), pairs % (len(self.v) + 1)
         order = np.argsort(to, kind="stable")
@@ -196,6 +190,11 @@ class Pairs:
         return out
 
 
+def home(v: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket where blocks ask for a context."""
+    return v * 7919 % buckets
+
+
 def _ask_pairs(row: dict, buckets: int, share: int, ends: int) -> list[tuple]:
     x = Pairs(row["n"], row["data"], row["sizes"], row["train"], buckets, share)
     rows = []
@@ -208,16 +207,17 @@ def _ask_pairs(row: dict, buckets: int, share: int, ends: int) -> list[tuple]:
     return rows
 
 
-def _count_pairs(table: pa.Table, bucket: int, share: int) -> pa.Table:
+def _count_pairs(table: pa.Table, bucket: int, buckets: int) -> pa.Table:
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     asked, rows = rows_of(table, MODEL), []
     for _, block, n, d in asked:
         k = int(unpack(d, 1)[0])
-        v, vc, length = (unpack(d, k, 4 + 4 * k * i) for i in range(3))
-        w, c, cw = (unpack(d, n, 4 + 12 * k + 4 * n * i) for i in range(3))
+        v, vc, length = (unpack(d, k, WIDTH * (1 + k * i)) for i in range(3))
+        w, c, cw = (unpack(d, n, WIDTH * (1 + 3 * k + n * i)) for i in range(3))
         for to, x in zip(cols, (np.repeat(v, length), w, c, cw, v, vc), strict=True):
             to.append(x)
-        rows.append((ASK, bucket, block, k, pack(v)))
+        own = v[home(v, buckets) == bucket]
+        rows.append((ASK, bucket, block, len(own), pack(own)))
     v, w, c, cw, contexts, context_counts = (np.concatenate(x) for x in cols)
     order = np.lexsort((w, v))
     run = np.cumsum(np.r_[False, (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])]) if len(v) else order
@@ -237,9 +237,10 @@ def _count_pairs(table: pa.Table, bucket: int, share: int) -> pa.Table:
     at = np.searchsorted(name, pv)
     count = lambda keep, weight=None: np.bincount(at[keep], None if weight is None else weight[keep], len(name)).astype("<i8")
     sums = np.stack([*[count(r == i) for i in range(1, K + 1)], count(r > K, r), *[count(pc == i) for i in range(1, K + 1)], count(pc > K, pc), context_counts[once].astype("<i8")])
-    hot = context_counts[once] >= share
-    for kind, keep in ((SUMS, ~hot), (HOT, hot)):
-        rows.append((kind, bucket, -1, int(keep.sum()), pack(name[keep]) + np.ascontiguousarray(sums[:, keep]).tobytes()))
+    to = home(name, buckets)
+    for u in np.unique(to).tolist():  # parts of a split context go to where blocks ask for it
+        at = to == u
+        rows.append((SUMS, u, -1, int(at.sum()), pack(name[at]) + np.ascontiguousarray(sums[:, at]).tobytes()))
     return parts(rows)
 
 
@@ -285,15 +286,19 @@ class Levels:
         return d, (1 - kept / d) / (1 - below)
 
 
-def _params(table: pa.Table, levels: Levels, hot_v: np.ndarray, hot_sums: np.ndarray) -> pa.Table:
-    """To each block: D and a of the contexts that it asks for."""
-    v, sums = [hot_v], [hot_sums]
+def _params(table: pa.Table, levels: Levels) -> pa.Table:
+    """To each block: D and a of the contexts that it asks for, from the sums of all their parts."""
+    v, sums = [np.zeros(0, np.int64)], [np.zeros((2 * K + 3, 0), np.int64)]
     for _, _, n, d in rows_of(table, SUMS):
         v.append(unpack(d, n))
-        sums.append(np.frombuffer(d, "<i8", (2 * K + 3) * n, 4 * n).reshape(2 * K + 3, n))
-    name, found = np.concatenate(v), np.concatenate(sums, axis=1)
-    order = np.argsort(name)
-    name, (d, a) = name[order], levels.context(found[:, order])
+        sums.append(np.frombuffer(d, "<i8", (2 * K + 3) * n, WIDTH * n).reshape(2 * K + 3, n))
+    v, sums = np.concatenate(v), np.concatenate(sums, axis=1)
+    order = np.argsort(v, kind="stable")
+    v, sums = v[order], sums[:, order]
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else order
+    name, found = v[first], np.add.reduceat(sums, first, axis=1) if len(v) else sums
+    found[-1] = sums[-1, first]  # every part has the whole count
+    d, a = levels.context(found)
     rows = []
     for u, block, n, data in rows_of(table, ASK):
         at = np.searchsorted(name, unpack(data, n))
@@ -309,7 +314,8 @@ def _score(row: dict, replies: pa.Table, levels: Levels, buckets: int, share: in
         p = dealt[u][1]
         r[p[np.argsort(x.pv[p], kind="stable")]] = unpack(data, n)
     for u, _, n, data in rows_of(replies, SUMS):
-        d[dealt[u][0]], a[dealt[u][0]] = np.frombuffer(data, "<f8", n), np.frombuffer(data, "<f8", n, 8 * n)
+        v = dealt[u][0][home(x.v[dealt[u][0]], buckets) == u]
+        d[v], a[v] = np.frombuffer(data, "<f8", n), np.frombuffer(data, "<f8", n, 8 * n)
     c = x.count_of(x.tokens)
     word = levels.word(c)
     has = (x.before != UNKNOWN) & (np.r_[x.v_count, 0][np.minimum(x.v_of, len(x.v))] > 0)
@@ -322,12 +328,19 @@ def _score(row: dict, replies: pa.Table, levels: Levels, buckets: int, share: in
 
 
 def _total(df: DataFrame, kind: int) -> np.ndarray:
-    """Sums the statistics of all buckets: a fixed number of longs each."""
-    width = K + 3
-    rows = df.filter(F.col("kind") == kind).select("data").toLocalIterator()
-    out = np.zeros(width, np.int64)
-    for r in rows:
-        out += np.frombuffer(r["data"], "<i8", width)
+    """Sums the statistics of all buckets: partitions add theirs up, then a few rows are left."""
+
+    def run(batches):
+        out = np.zeros(K + 3, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                out += np.frombuffer(data, "<i8", K + 3)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(K + 3)), pa.array(out)], names=["i", "n"])
+
+    found = df.filter(F.col("kind") == kind).select("data").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    out = np.zeros(K + 3, np.int64)
+    for r in found.collect():
+        out[r["i"]] = r["n"]
     return out
 
 
@@ -335,7 +348,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score; learns from the rows where ``train`` holds."""
     spark = docs.sparkSession
     n = block_count(docs, BLOCK_BYTES)
-    src = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("__train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
+    src = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), dealt(n).alias("block"))
     id_type = docs.schema["doc_id"].dataType
     wide = StructType.fromDDL(PART + f", doc_id array<{id_type.simpleString()}>, sizes array<int>, train array<boolean>")
 
@@ -359,7 +372,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     ends = 0
     if where is not None:
         at = np.flatnonzero(np.frombuffer(where["data"], "<u8", where["n"]) == end_hash)
-        ends = int(unpack(where["data"], where["n"], 12 * where["n"])[at].sum())
+        ends = int(unpack(where["data"], where["n"], (8 + WIDTH) * where["n"])[at].sum())
     share = max(1, int(level1[0]) // n)
     blocks = words.filter(F.col("kind") == ENCODED).select("block", "n", "data", "doc_id", "sizes", "train")
 
@@ -370,22 +383,14 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
                 yield from parts(_ask_pairs(row, n, share, ends)).to_batches()
 
     def count_pairs(t: pa.Table) -> pa.Table:
-        return _count_pairs(t, t.column("bucket")[0].as_py(), share)
+        return _count_pairs(t, t.column("bucket")[0].as_py(), n)
 
     pairs = stored(blocks.mapInArrow(ask_pairs, PART).groupBy("bucket").applyInArrow(count_pairs, PART), "katz-pairs", ("kind",))
     release(spark)
     levels = Levels(level1, _total(pairs, STATS))
-    hot: dict[int, np.ndarray] = {}
-    for r in pairs.filter(F.col("kind") == HOT).select("n", "data").toLocalIterator():  # at most two parts per bucket
-        v = unpack(r["data"], r["n"]).tolist()
-        sums = np.frombuffer(r["data"], "<i8", (2 * K + 3) * r["n"], 4 * r["n"]).reshape(2 * K + 3, r["n"])
-        for i, name in enumerate(v):
-            hot[name] = np.r_[hot[name][:-1] + sums[:-1, i], sums[-1, i]] if name in hot else sums[:, i].copy()
-    hot_v = np.array(sorted(hot), np.int64)
-    hot_sums = np.stack([hot[v] for v in hot_v.tolist()], axis=1) if hot else np.zeros((2 * K + 3, 0), np.int64)
 
     def params(t: pa.Table) -> pa.Table:
-        return _params(t, levels, hot_v, hot_sums)
+        return _params(t, levels)
 
     out = StructType.fromDDL(f"doc_id {id_type.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
