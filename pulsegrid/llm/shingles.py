@@ -1,11 +1,16 @@
 """Near copies by the similarity of their shingle sets, at 0.8 or more.
 
-Candidates come from multi-index tables: ``HASHES`` min-hashes of each text's distinct five-word shingles, in
-bands of ``ROWS``; texts that agree on a band meet under its key. A pair of similarity 0.8 shares one of the 40 keys with
-probability 0.9994. Keys give spanning links only, never all pairs; the components of these unverified links
-are clusters. Each distinct text of a cluster then travels once, to its cluster, where groups are searched
-breadth-first on the exact Jaccard similarity of the shingle sets. The prefix filter used there loses no pair, so within a
-cluster nothing is missed and nothing below 0.8 is linked. A cluster is searched in one task.
+Candidates come from the multi-index SimHash tables, over fingerprints of five-word shingles, and, as 3 of 64 bits reach nearly equal
+texts only, from bands: ``HASHES`` min-hashes of each text's distinct shingles, in bands of ``ROWS``. A pair of
+similarity 0.8 shares one of the 40 keys with probability 0.9994. Every candidate is verified by the exact Jaccard similarity of the
+whole shingle sets, in two steps.
+
+1. Under each key every node is compared with the key's least node, its lead. A lead's nodes are dealt into slices, each with a copy
+of the lead's text, and streamed, so that a group of any size is compared in linear time and no task holds it.
+2. Where a key's nodes still belong to several verified groups, those outside the largest group are compared with each
+other and with the largest group, which is dealt into slices too. The prefix filter used there loses no pair.
+
+So every two texts that meet under a key end in one group if links of 0.8 or more connect them, and nothing below 0.8 is linked.
 
 Defined results: null texts count as empty; texts without words are copies of each other; texts of up to five words are one shingle.
 """
@@ -21,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from pulsegrid.llm.common import stored
+from pulsegrid.llm import simhash
+from pulsegrid.llm.common import fresh, stored
 from pulsegrid.llm.components import components
 from pulsegrid.llm.suffix import _mix
 
-SIZE, HASHES, ROWS = 5, 320, 8
+SIZE, HASHES, ROWS, SLICE = 5, 320, 8, 1024
 ALIKE, OF = 4, 5  # the least similarity, 4/5, in whole numbers
 _ODD = np.random.default_rng(11).integers(0, 1 << 31, (HASHES, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -90,23 +96,39 @@ def groups(sets: list[np.ndarray]) -> list[int]:
     return label
 
 
-def _with_bands(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, ``node`` (a hash of the text) and ``bands``."""
-    src = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    schema = StructType([*src.select("doc_id", "node").schema.fields]).add("bands", ArrayType(LongType()))
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a similarity of 0.8 or more."""
+    if OF * min(len(x), len(y)) < ALIKE * max(len(x), len(y)):
+        return False
+    both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+    return OF * both >= ALIKE * (len(x) + len(y) - both)
+
+
+def _node():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _with_keys(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, ``node`` (a hash of the text), ``fp`` (a fingerprint of its distinct shingles) and ``bands``."""
+    src = docs.select("doc_id", _node().alias("node"), "text")
+    schema = StructType([*src.select("doc_id", "node").schema.fields]).add("fp", LongType()).add("bands", ArrayType(LongType()))
 
     def run(batches):
         for batch in batches:
-            keys = [bands(shingles(t.as_py(), size)) for t in batch.column(2)]
+            keys, fps = [], []
+            for t in batch.column(2):
+                x = shingles(t.as_py(), size)
+                keys.append(bands(x))
+                fps.append(simhash.majority(x))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (HASHES // ROWS)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
-def _candidates(marked: DataFrame) -> DataFrame:
-    """(a, b): under each key every node and the key's least node."""
+def _under_bands(marked: DataFrame) -> DataFrame:
+    """(lead, node): under each key every node and the key's least node."""
     rows = marked.select(F.explode("bands").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches):
@@ -121,50 +143,101 @@ def _candidates(marked: DataFrame) -> DataFrame:
             last, lead = key[-1], first[-1]
             keep = first != node
             pair = np.unique(np.stack([first[keep], node[keep]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["lead", "node"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "lead long, node long")
 
 
-def _verified(docs: DataFrame, clusters: DataFrame, size: int) -> DataFrame:
-    """(node, group) for the nodes of ``clusters``, by exact similarity."""
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    rows = texts.join(clusters, "node").dropDuplicates(["node"]).select("component", "node", "text")
-    rows = rows.repartition("component").sortWithinPartitions("component", "node")
+def _under_fingerprints(marked: DataFrame) -> DataFrame:
+    """(lead, node) from SimHash: nodes with the first of their fingerprint, and the firsts of linked fingerprints."""
+    values = stored(marked.groupBy("fp").agg(F.min("node").alias("lead"), F.max("node").alias("most")), "shingle-fps")
+    same = marked.join(values.filter("lead < most").select("fp", "lead"), "fp").select("lead", "node").filter("lead <> node")
+    near = simhash.links(values.select("fp", F.lit(0).alias("tag")))
+    for end in ("a", "b"):
+        near = near.join(values.select(F.col("fp").alias(end), F.col("lead").alias(f"{end}_node")), end)
+    return same.unionByName(near.select(F.least("a_node", "b_node").alias("lead"), F.greatest("a_node", "b_node").alias("node")))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The (lead, node) of ``pairs`` that are similar."""
+    n = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
+    slices = F.expr(f"n div {SLICE} + 1")
+    nodes = pairs.join(n, "lead").join(texts, "node").select("lead", F.pmod(F.xxhash64("node"), slices).alias("slice"), F.lit(1).alias("side"), "node", "text")
+    leads = n.join(texts, n["lead"] == texts["node"]).select("lead", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"), F.lit(0).alias("side"), "node", "text")
+    rows = leads.unionByName(nodes).repartition("lead", "slice").sortWithinPartitions("lead", "slice", "side").select("lead", "side", "node", "text")
+
+    def run(batches):
+        own = None
+        for batch in batches:
+            a, b = [], []
+            for lead, side, node, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                x = shingles(text, size)
+                if not side:
+                    own = x
+                elif similar(own, x):
+                    a.append(lead)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["lead", "node"])
+
+    return rows.mapInArrow(run, "lead long, node long")
+
+
+def _across(marked: DataFrame, pairs: DataFrame, found: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links between the verified groups ``found`` (node, component) that meet under a key."""
+    met = pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
+    keyed = marked.join(met, "node", "left_semi").select("node", "bands").dropDuplicates(["node"]).join(found, "node", "left")
+    keyed = keyed.select(F.explode("bands").alias("key"), "node", F.coalesce("component", "node").alias("component"))
+    per = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("sign"))
+    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("nodes"), F.sum("sign").alias("sign")).filter("groups > 1")
+    # keys of the same nodes are worked on once
+    mixed = stored(mixed.groupBy("sign", "nodes").agg(F.min(F.struct("key", "most")).alias("x")).select("x.key", "x.most"), "shingle-mixed")
+    slices = F.expr(f"most.n div {SLICE} + 1")
+    rows = keyed.join(mixed, "key")
+    outside = F.col("component") != F.col("most")["component"]
+    to = F.when(outside, F.sequence(F.lit(0).cast("long"), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), slices)))
+    rows = rows.select("key", F.explode(to).alias("slice"), "node").join(texts, "node").select("key", "slice", "node", "text")
+    rows = rows.repartition("key", "slice").sortWithinPartitions("key", "slice", "node")
 
     def run(batches):
         current, nodes, sets = None, [], []
 
         def emit():
-            group = [nodes[i] for i in groups(sets)]
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(group, pa.int64())], names=["node", "group"])
+            pair = [(nodes[i], n) for i, n in zip(groups(sets), nodes, strict=True) if nodes[i] != n]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pair], pa.int64()), pa.array([p[1] for p in pair], pa.int64())], names=["lead", "node"])
 
         for batch in batches:
-            for component, node, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if component != current and nodes:
+            for key, part, node, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, part) != current and nodes:
                     yield emit()
                     nodes, sets = [], []
-                current = component
+                current = key, part
                 nodes.append(node)
                 sets.append(shingles(text, size))
         if nodes:
             yield emit()
 
-    return rows.mapInArrow(run, "node long, group long")
+    return rows.mapInArrow(run, "lead long, node long")
 
 
 def near_copies(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id and component_id (the least doc_id of those that links reach)."""
-    marked = stored(_with_bands(docs, size), "shingle-bands")
-    clusters = components(_candidates(marked))
-    found = stored(_verified(docs, clusters, size), "shingle-groups")
-    named = marked.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("group", "node").alias("group"))
-    per = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return named.join(per, "group").select("doc_id", "component_id")
+    """doc_id, node (a hash of the text) and group (the same for texts that links connect)."""
+    marked = stored(_with_keys(docs, size), "shingle-keys")
+    pairs = stored(_under_bands(marked).unionByName(_under_fingerprints(marked)).distinct(), "shingle-pairs")
+    met = pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
+    texts = docs.select(_node().alias("node"), "text").join(met, "node", "left_semi")
+    texts = stored(texts.groupBy("node").agg(F.any_value("text").alias("text")), "shingle-texts")
+    links = stored(_compared(pairs, texts, size), "shingle-links")
+    more = _across(marked, pairs, components(links, "lead", "node"), texts, size)
+    found = components(links.unionByName(more), "lead", "node")
+    return marked.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("group"))
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """The document with the least doc_id of each component of ``near_copies``; rows that repeat its doc_id become one. Rows without doc_id stay."""
-    comp = near_copies(docs, size).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(comp, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group of ``near_copies``: that with the least doc_id (null last, then by a hash of the text); of rows that repeat it, that with the least hash of all columns."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    kept = near_copies(docs, size).groupBy("group").agg(F.min(order).alias("x")).select("x.doc_id", "x.node")
+    node, row = fresh(docs, "node"), fresh(docs, "row")
+    rows = docs.withColumn(node, _node())
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows[node] == kept["node"]), "left_semi")
+    rows = rows.groupBy("doc_id", node).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    return rows.select(*[F.col(row)[c].alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import LongType, StructType
 
 from pulsegrid.llm.common import stored
 from pulsegrid.llm.components import components
@@ -35,44 +35,33 @@ def _votes(h: np.ndarray) -> np.ndarray:
     return sum((bits[i : i + 255].sum(0, dtype=np.uint8).astype(np.int64) for i in range(0, len(bits), 255)), np.zeros(64, np.int64))
 
 
-def _again(h: np.ndarray, seed: int) -> np.ndarray:
-    """Another hash of the same shingles; seed 0 leaves them as they are."""
-    if not seed:
-        return h
-    x = (h ^ np.uint64(0x9E3779B97F4A7C15 * seed & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(32)
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
+    return int(np.packbits(2 * _votes(h) > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(text: str | None, size: int = 3, seeds: int = 1) -> list[int]:
+def fingerprint(text: str | None, size: int = 3) -> int:
     w = (text or "").encode().lower().split()
     if not w:
-        return [0] * seeds
+        return 0
     n = max(1, len(w) - size + 1)
-    votes = np.zeros((seeds, 64), np.int64)
+    votes = np.zeros(64, np.int64)
     for lo in range(0, n, 1 << 16):
         part = w[lo : lo + (1 << 16) + size - 1]
         shingles = map(b" ".join, zip(*[part[i:] for i in range(size)], strict=False)) if len(w) > size else [b" ".join(w)]
-        h = np.fromiter(map(_hash, shingles), np.uint64)
-        for k in range(seeds):
-            votes[k] += _votes(_again(h, k))
-    return [sum(1 << i for i in np.flatnonzero(2 * v > n).tolist()) for v in votes]
-
-
-def fingerprint(text: str | None, size: int = 3) -> int:
-    return fingerprints(text, size)[0]
+        votes += _votes(np.fromiter(map(_hash, shingles), np.uint64))
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, size: int = 3, seeds: int = 1) -> DataFrame:
-    """doc_id and ``fps``, the fingerprints as signed longs."""
+def with_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id and ``fp``, the fingerprint as a signed long."""
     src = docs.select("doc_id", "text")
-    schema = StructType([*docs.select("doc_id").schema.fields]).add("fps", ArrayType(LongType()))
+    schema = StructType([*docs.select("doc_id").schema.fields]).add("fp", LongType())
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprints(t.as_py(), size, seeds) for t in batch.column(1)], np.uint64).reshape(-1, seeds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64).tolist(), pa.list_(pa.int64()))], names=schema.names)
+            fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -162,36 +151,10 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that links reach, itself included)."""
-    marked = stored(with_fingerprints(docs, size).select("doc_id", F.col("fps")[0].alias("fp")), "simhash-fp")
+    marked = stored(with_fingerprints(docs, size), "simhash-fp")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     comp = components(links(nodes.withColumn("tag", F.lit(0))))
     nodes = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     per = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(per, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def near_copies(docs: DataFrame, size: int = 5, seeds: int = 6) -> DataFrame:
-    """doc_id and component_id, where documents link if any of ``seeds`` independent fingerprints are within 3 bits.
-
-    One fingerprint of 64 bits finds about a third of the pairs of similarity 0.95; six find nine tenths, and nearly half of those of 0.9.
-    """
-    marked = stored(with_fingerprints(docs, size, seeds).withColumn("node", F.xxhash64("fps")), "simhash-fps")
-    texts = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("fps").alias("fps")), "simhash-texts")
-    each = texts.select("node", F.posexplode("fps").alias("tag", "fp"))
-    values = stored(each.groupBy("tag", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-values")
-    shared = each.join(values.filter("n > 1").drop("n"), ["tag", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    near = links(values.select("tag", "fp"))
-    for end in ("a", "b"):  # a value stands for the first of its texts
-        near = near.join(values.select("tag", F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), ["tag", end])
-    comp = components(shared.unionByName(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))))
-    texts = texts.select("node", "least").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per = texts.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(texts.join(per, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, size: int = 5, seeds: int = 6) -> DataFrame:
-    """The document with the least doc_id of each component of ``near_copies``; rows that repeat its doc_id become one. Rows without doc_id stay."""
-    comp = near_copies(docs, size, seeds).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(comp, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))

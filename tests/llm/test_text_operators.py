@@ -103,12 +103,6 @@ def test_forest_of_a_large_group():
     assert classes(fast) == classes(simhash._spread(fps, 3)) and sum(len(a) for a, _ in fast) < 8 * len(fps)
 
 
-def test_simhash_stage_keeps_one(spark, docs):
-    kept = simhash.one_of_each(docs)
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and ids.count(0) == 1 and 60 not in ids and None in ids
-
-
 def brute_spans(raw, length=200):
     count = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
     out = []
