@@ -25,7 +25,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the least doc_id: texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+    """One document of each group of near copies stays, that with the least doc_id: texts whose sets of five-word shingles have a similarity of 0.8 or more.
+
+    Candidates come from the SimHash tables and from min-hash bands, as SimHash alone finds few pairs below 0.95; all are verified.
+    """
     return shingles.one_of_each(docs)
 
 
@@ -47,7 +50,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("shingle near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("suffix-array dedup", substring_dedup),
     ("mixing sources", mix_sources),
     ("BPE encoding", tokenize),
