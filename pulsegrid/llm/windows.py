@@ -2,10 +2,11 @@
 
 A text's tokens are its five-word shingles. Under each of ``FUNCTIONS`` hashes, the Cartesian tree of the
 shingles' hashes has a node for every shingle that is the least of some passage of ``length`` shingles or more; the
-node's span, its compact window, holds all passages that share that minimum. Windows that have their minimum in common
-are joined as intervals: laid over each other at the minimum, what both cover holds every pair of passages that this hash can
-witness. One hash of the four is enough to make a candidate, so that a pair of similarity 0.8 becomes one with probability 0.998; a
-verbatim passage of over 50 words shares its minimum under every hash, wherever that lies.
+node's span, its compact window, holds all passages that share that minimum. Windows are joined as intervals: a
+candidate is a minimum whose window, in its document, has in common with the window of another hash, whose minimum other documents share too, an
+interval that is long enough and holds both minima. So two hashes of four must agree on a passage. A pair of
+similarity 0.8 becomes a candidate with probability 0.97, one of 0.9 with 0.996; a verbatim passage of over 50 words
+shares its minimum under every hash, wherever that lies.
 
 A minimum that all its occurrences share with the 47 shingles that end there, surround it or begin there needs no more: its documents
 share a verbatim passage. For the others the shingles of their windows travel (at most 90 on either side: a longer passage has a half of 46
@@ -111,30 +112,57 @@ def compact_windows(h: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     return c, *_spans(c, value, ends, doc[c])
 
 
-def _minima(s: Shingles, length: int, spans: bool) -> tuple[np.ndarray, ...]:
-    """key, c, and with ``spans`` the first and last place of the window, of the minima under all functions; a minimum of several has its widest window."""
-    none = np.zeros(0, np.int64)
+def _minima(s: Shingles, length: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """key and c of the minima under all functions, and those of each function with their packed hashes."""
     if len(s.x) < length:
-        return none.astype(np.uint64), none, none, none
-    cs, ls, rs = [], [], []
-    for f in range(FUNCTIONS):
-        c, value = _nodes(_mix(s.x, _seed(f)), s.ends, s.doc, length)
-        cs.append(c)
-        if spans:
-            l, r = _spans(c, value, s.ends, s.doc[c])
-            ls.append(l)
-            rs.append(r)
-    c, back = np.unique(np.concatenate(cs), return_inverse=True)
-    key = _mix(s.x[c], _seed(100))
-    if not spans:
-        return key, c, none, none
-    first, last = c.copy(), c.copy()
-    np.minimum.at(first, back, np.concatenate(ls))
-    np.maximum.at(last, back, np.concatenate(rs))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    found = [_nodes(_mix(s.x, _seed(f)), s.ends, s.doc, length) for f in range(FUNCTIONS)]
+    c = np.unique(np.concatenate([x for x, _ in found]))
+    return _mix(s.x[c], _seed(100)), c, found
+
+
+def _witnessed(spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
+    """For each function, which of its windows (c, l, r) meet one of another function in an interval of ``length`` or more that holds both minima."""
+    out = []
+    for f, (c, l, r) in enumerate(spans):
+        hit = np.zeros(len(c), bool)
+        for g, (d, m, n) in enumerate(spans):
+            if g == f or not len(d):
+                continue
+            at = np.searchsorted(d, c)
+            for way, j in ((1, at), (-1, at - 1)):
+                live = np.flatnonzero(~hit)
+                k = j[live]
+                while len(live):
+                    near = (k >= 0) & (k < len(d))
+                    near[near] = np.abs(d[k[near]] - c[live[near]]) <= 2 * AROUND
+                    live, k = live[near], k[near]
+                    lo, hi = np.maximum(l[live], m[k]), np.minimum(r[live], n[k])
+                    low, high = np.minimum(c[live], d[k]), np.maximum(c[live], d[k])
+                    ok = (hi - lo + 1 >= length) & (lo <= low) & (high <= hi)
+                    hit[live[ok]] = True
+                    live, k = live[~ok], k[~ok] + way
+        out.append(hit)
+    return out
+
+
+def _joined(s: Shingles, c: np.ndarray, shared: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the minima ``c`` are witnessed by two functions or more that other documents share there, and the first and last place of their widest such window."""
+    spans, place = [], []
+    for at, value in found:
+        l, r = _spans(at, value, s.ends, s.doc[at])
+        i = np.searchsorted(c, at)
+        keep = shared[i]
+        spans.append((at[keep], l[keep], r[keep]))
+        place.append(i[keep])
+    near, first, last = np.zeros(len(c), bool), c.copy(), c.copy()
+    for (_, l, r), i, hit in zip(spans, place, _witnessed(spans, length), strict=True):
+        near[i[hit]] = True
+        first[i[hit]] = np.minimum(first[i[hit]], l[hit])
+        last[i[hit]] = np.maximum(last[i[hit]], r[hit])
     doc = s.doc[c]
     first = np.maximum(np.maximum(first - SLACK, c - AROUND), np.r_[0, s.ends][doc])
-    last = np.minimum(np.minimum(last + SLACK, c + AROUND), s.ends[doc] - 1)
-    return key, c, first, last
+    return near, first, np.minimum(np.minimum(last + SLACK, c + AROUND), s.ends[doc] - 1)
 
 
 def _strings(s: Shingles, c: np.ndarray, length: int) -> np.ndarray:
@@ -171,7 +199,7 @@ def _agreed(strings: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _ask(table: pa.Table, block: int, buckets: int, length: int) -> pa.Table:
     s = Shingles(table)
-    key, c, _, _ = _minima(s, length, False)
+    key, c, _ = _minima(s, length)
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
@@ -241,7 +269,7 @@ def _passages(table: pa.Table, answers: pa.Table, block: int, buckets: int, leng
     """Of the minima that several documents share: one entry where all agree on a string, else each different window once."""
     known, same, _ = _read(answers, KEY, "<u8", "u1")
     s = Shingles(table)
-    key, c, first, last = _minima(s, length, True)
+    key, c, found = _minima(s, length)
     if not len(c):
         return _parts([])
     doc = s.doc[c]
@@ -264,7 +292,10 @@ def _passages(table: pa.Table, answers: pa.Table, block: int, buckets: int, leng
     b.append(s.ids[doc[rep]])
     send = order[lead][alike & wide]
     rows += _deal(SAME, block, buckets, key[send], s.ids[doc[send]].astype("<i8"))
-    mine = order[(~alike & (wide | several))[run]]
+    shared = np.zeros(len(c), bool)
+    shared[order] = (wide | several)[run]
+    near, first, last = _joined(s, c, shared, found, length)
+    mine = order[(~alike & (wide | several))[run] & near[order]]
     x, whole = _contexts(s, c[mine], first[mine], last[mine])
     whole = _mix(whole, key[mine])
     by = np.lexsort((doc[mine], whole))
