@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
 import uuid
 
@@ -19,30 +20,49 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is made and set.
+    Only where the session has none and runs on this machine alone (tests) a temporary folder is made and set.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there. The table goes when the application ends, if ``drop`` does not come first."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the tables of ``stored`` frames that nothing will read again."""
+    for df in frames:
+        fs, at = _file_system(df.sparkSession, df._stored_at)
+        fs.delete(at, True)
 
 
 def put(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a file in the shared folder; returns its place."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    fs, path = _file_system(spark, f"{shared_dir(spark)}/{name}")
+    out = fs.create(path, True)
+    fs.deleteOnExit(path)
     try:
         for lo in range(0, len(data), 1 << 20):
             out.write(bytearray(data[lo : lo + (1 << 20)]))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import stored
+from pulsegrid.llm.common import drop, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,15 +19,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pair = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
     pair = stored(pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     nodes = pair.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    label = nodes.withColumn("label", F.col("node"))
+    label = stored(nodes.withColumn("label", F.col("node")), "cc-labels")
     turn = 0
     while not pair.isEmpty():
         turn += 1
-        both = pair.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")), F.struct(F.col("a").alias("node"), F.col("a").alias("near")), F.struct(F.col("b").alias("node"), F.col("b").alias("near")))))
-        pick = stored(both.groupBy("node").agg(F.min_by("near", F.xxhash64("near", F.lit(turn))).alias("pick")), "cc-picks")
+        # a node with a great many neighbours is no single task: its neighbours' least hash is found in part first
+        each = F.inline(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("near")) for x, y in ("ab", "ba", "aa", "bb")]))
+        pick = stored(pair.select(each).groupBy("node").agg(F.min_by("near", F.xxhash64("near", F.lit(turn))).alias("pick")), "cc-picks")
         moved = pair.join(pick.select(F.col("node").alias("a"), F.col("pick").alias("p")), "a").join(pick.select(F.col("node").alias("b"), F.col("pick").alias("q")), "b")
-        pair = stored(moved.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "cc-edges")
+        left = stored(moved.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "cc-edges")
         step = pick.select(F.col("node").alias("label"), "pick")
-        label = stored(label.join(step, "label", "left").select("node", F.coalesce("pick", "label").alias("label")), "cc-labels")
+        named = stored(label.join(step, "label", "left").select("node", F.coalesce("pick", "label").alias("label")), "cc-labels")
+        drop(pair, pick, label)
+        pair, label = left, named
     least = label.groupBy("label").agg(F.min("node").alias("component"))
     return label.join(least, "label").select("node", "component")

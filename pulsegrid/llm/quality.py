@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from pulsegrid.llm.common import stored
+from pulsegrid.llm.common import small, stored
 
 WIDTH, MAX_ROWS, RIDGE, PARTS = 256, 200_000, 1e-3, 16
 SYMBOLS = b"#$%&*+=<>@^_{}~|\\/[]"
@@ -65,16 +65,19 @@ def matrix(texts: list[str | None]) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics as array<double>."""
+    """``docs`` with the statistics as array<double> in place of ``text``."""
+    keep = [c for c in docs.columns if c not in ("text", "stats")]
+    src = docs.select(*keep, "text")
+    schema = StructType(src.schema.fields[:-1]).add("stats", ArrayType(DoubleType()))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                rows = pa.array(matrix(part.column(1).to_pylist()).tolist(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), rows], names=["doc_id", "stats"])
+                rows = pa.array(matrix(part.column(len(keep)).to_pylist()).tolist(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], rows], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, StructType([*docs.select("doc_id").schema.fields]).add("stats", ArrayType(DoubleType())))
+    return src.mapInArrow(run, schema)
 
 
 class Features:
@@ -123,11 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", width: int =
     """``labels``: doc_id and the label (0 or 1); rows to learn from only."""
     y = F.col(label).cast("double")
     known = labels.select("doc_id", y.alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
-    rows = stored(with_statistics(docs.filter("doc_id IS NOT NULL")).join(known, "doc_id"), "quality-train")
-    n = rows.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20))
-    if n > max_rows:
-        rows = rows.filter(part < int((1 << 20) * max_rows / n))
+    n = known.count()
+    if n > max_rows:  # by doc_id, before any text is looked at
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    labelled = docs.select("doc_id", "text").join(small(known, 2 * max_rows), "doc_id")
+    rows = stored(with_statistics(labelled), "quality-train")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)))
     size = len(NAMES)
     cols = [F.col("stats")[i] for i in range(size)]

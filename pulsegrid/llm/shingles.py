@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from pulsegrid.llm import simhash
-from pulsegrid.llm.common import fresh, stored
+from pulsegrid.llm.common import drop, fresh, stored
 from pulsegrid.llm.components import components
 from pulsegrid.llm.suffix import _mix
 
@@ -229,6 +229,7 @@ def near_copies(docs: DataFrame, size: int = SIZE) -> DataFrame:
     links = stored(_compared(pairs, texts, size), "shingle-links")
     more = _across(marked, pairs, components(links, "lead", "node"), texts, size)
     found = components(links.unionByName(more), "lead", "node")
+    drop(pairs, texts, links)
     return marked.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("group"))
 
 
