@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import bpe, mixing, quality, shingles, suffix
-from pulsegrid.llm.common import stored
+from pulsegrid.llm.common import drop, stored
 
 #: Cut at which a document is rejected.
 THRESHOLD = 0.3
@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        if before is not None:
+            drop(before)  # what the stage has read is not read again
+        before = docs
     return docs
