@@ -15,7 +15,7 @@ discounted after Katz; where counts of counts do not allow it (a discount outsid
 
 Texts move once, into blocks. Blocks and buckets exchange distinct keys only; a context with more than a
 bucket's share of tokens is split by following word, and the parts' sums meet in the context's own bucket. The driver gets sums of
-fixed width. Ids and counts have 48 bits.
+fixed width. Ids and counts are written in as many bytes as they need.
 Tables in the shared folder, partitioned by kind: the vocabulary, the encoded blocks, the pair counts with
 their contexts' sums, and the buckets' replies.
 
@@ -35,7 +35,7 @@ from pyspark.sql.types import StructType
 
 from pulsegrid.llm.common import block_count, dealt, release, split_words, stored
 
-K, BLOCK_BYTES, WIDTH = 5, 12_000_000, 6
+K, BLOCK_BYTES = 5, 12_000_000
 END, BOS, UNKNOWN, FIRST = b"\n", 2, 0, 3
 VOCAB, STATS, REPLY, ENCODED, MODEL, SUMS, ASK = range(1, 8)
 PART = "kind int, bucket int, block int, n int, data binary"
@@ -43,14 +43,21 @@ NAMES = ["kind", "bucket", "block", "n", "data"]
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Values below 2**48 as byte planes: the high ones compress away."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].T).tobytes()
+    """Whole numbers in as few bytes each as the largest needs, as byte planes; the number of planes comes first."""
+    planes = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([planes]) + np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
-def unpack(data: bytes, n: int, at: int = 0) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(data, np.uint8, WIDTH * n, at).reshape(WIDTH, n).T
-    return out.view("<i8").reshape(n)
+def unpack(data: bytes, *sizes: int, at: int = 0) -> tuple:
+    """Arrays packed one after the other, and where they end."""
+    found = []
+    for n in sizes:
+        planes = data[at]
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :planes] = np.frombuffer(data, np.uint8, planes * n, at + 1).reshape(planes, n).T
+        found.append(out.view("<i8").reshape(n))
+        at += 1 + planes * n
+    return *found, at
 
 
 def parts(rows: list[tuple]) -> pa.Table:
@@ -104,7 +111,7 @@ def _count_words(table: pa.Table, bucket: int, buckets: int) -> pa.Table:
     """The bucket's vocabulary (hash, id, count), its statistics, and to each block the ids and counts of its words."""
     asked = rows_of(table, VOCAB)
     h = np.concatenate([np.frombuffer(d, "<u8", n) for _, _, n, d in asked])
-    c = np.concatenate([unpack(d, n, 8 * n) for _, _, n, d in asked])
+    c = np.concatenate([unpack(d, n, at=8 * n)[0] for _, _, n, d in asked])
     words, inverse = np.unique(h, return_inverse=True)
     total = np.bincount(inverse, c).astype(np.int64)
     rank = np.empty(len(words), np.int64)
@@ -127,11 +134,11 @@ def _encode(table: pa.Table, replies: pa.Table, block: int, buckets: int, schema
     to = (w.hash % np.uint64(buckets)).astype(np.int64)
     for u, _, n, d in rows_of(replies, REPLY):
         at = np.flatnonzero(to == u)
-        ids[at], counts[at] = unpack(d, n), unpack(d, n, WIDTH * n)
+        ids[at], counts[at], _ = unpack(d, n, n)
     known = np.flatnonzero(ids)
     known = known[np.argsort(ids[known])]
     n = len(w.tokens)
-    data = pack(ids[w.tokens]) + pack(ids[known]) + pack(counts[known])
+    data = pack(np.array([len(known)])) + pack(ids[w.tokens]) + pack(ids[known]) + pack(counts[known])
     doc_id = table.column("doc_id").combine_chunks().take(w.order)
     one = lambda x, t: pa.array([x], t)
     return pa.table(
@@ -147,9 +154,8 @@ class Pairs:
     """A block's encoded tokens with the token before each, and its distinct pairs of known words by bucket."""
 
     def __init__(self, n: int, data: bytes, sizes: list[int], train: list[bool], buckets: int, share: int):
-        self.tokens = unpack(data, n)
-        known = (len(data) // WIDTH - n) // 2
-        self.ids, self.counts = unpack(data, known, WIDTH * n), unpack(data, known, WIDTH * (n + known))
+        known, at = unpack(data, 1)
+        self.tokens, self.ids, self.counts, _ = unpack(data, n, int(known[0]), int(known[0]), at=at)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.before = np.r_[BOS, self.tokens[:-1]] if n else self.tokens
@@ -211,9 +217,9 @@ def _count_pairs(table: pa.Table, bucket: int, buckets: int) -> pa.Table:
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     asked, rows = rows_of(table, MODEL), []
     for _, block, n, d in asked:
-        k = int(unpack(d, 1)[0])
-        v, vc, length = (unpack(d, k, WIDTH * (1 + k * i)) for i in range(3))
-        w, c, cw = (unpack(d, n, WIDTH * (1 + 3 * k + n * i)) for i in range(3))
+        size, at = unpack(d, 1)
+        k = int(size[0])
+        v, vc, length, w, c, cw, _ = unpack(d, k, k, k, n, n, n, at=at)
         for to, x in zip(cols, (np.repeat(v, length), w, c, cw, v, vc), strict=True):
             to.append(x)
         own = v[home(v, buckets) == bucket]
@@ -240,7 +246,7 @@ def _count_pairs(table: pa.Table, bucket: int, buckets: int) -> pa.Table:
     to = home(name, buckets)
     for u in np.unique(to).tolist():  # parts of a split context go to where blocks ask for it
         at = to == u
-        rows.append((SUMS, u, -1, int(at.sum()), pack(name[at]) + np.ascontiguousarray(sums[:, at]).tobytes()))
+        rows.append((SUMS, u, -1, int(at.sum()), pack(name[at]) + b"".join(pack(row[at]) for row in sums)))
     return parts(rows)
 
 
@@ -290,8 +296,9 @@ def _params(table: pa.Table, levels: Levels) -> pa.Table:
     """To each block: D and a of the contexts that it asks for, from the sums of all their parts."""
     v, sums = [np.zeros(0, np.int64)], [np.zeros((2 * K + 3, 0), np.int64)]
     for _, _, n, d in rows_of(table, SUMS):
-        v.append(unpack(d, n))
-        sums.append(np.frombuffer(d, "<i8", (2 * K + 3) * n, WIDTH * n).reshape(2 * K + 3, n))
+        name, *rows, _ = unpack(d, *[n] * (2 * K + 4))
+        v.append(name)
+        sums.append(np.stack(rows))
     v, sums = np.concatenate(v), np.concatenate(sums, axis=1)
     order = np.argsort(v, kind="stable")
     v, sums = v[order], sums[:, order]
@@ -301,7 +308,7 @@ def _params(table: pa.Table, levels: Levels) -> pa.Table:
     d, a = levels.context(found)
     rows = []
     for u, block, n, data in rows_of(table, ASK):
-        at = np.searchsorted(name, unpack(data, n))
+        at = np.searchsorted(name, unpack(data, n)[0])
         rows.append((SUMS, u, block, n, d[at].tobytes() + a[at].tobytes()))
     return parts(rows)
 
@@ -312,7 +319,7 @@ def _score(row: dict, replies: pa.Table, levels: Levels, buckets: int, share: in
     r, d, a = np.zeros(len(x.keys) + 1, np.int64), np.ones(len(x.v) + 1), np.ones(len(x.v) + 1)
     for u, _, n, data in rows_of(replies, REPLY):
         p = dealt[u][1]
-        r[p[np.argsort(x.pv[p], kind="stable")]] = unpack(data, n)
+        r[p[np.argsort(x.pv[p], kind="stable")]] = unpack(data, n)[0]
     for u, _, n, data in rows_of(replies, SUMS):
         v = dealt[u][0][home(x.v[dealt[u][0]], buckets) == u]
         d[v], a[v] = np.frombuffer(data, "<f8", n), np.frombuffer(data, "<f8", n, 8 * n)
@@ -372,7 +379,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     ends = 0
     if where is not None:
         at = np.flatnonzero(np.frombuffer(where["data"], "<u8", where["n"]) == end_hash)
-        ends = int(unpack(where["data"], where["n"], (8 + WIDTH) * where["n"])[at].sum())
+        ends = int(unpack(where["data"], where["n"], where["n"], at=8 * where["n"])[1][at].sum())
     share = max(1, int(level1[0]) // n)
     blocks = words.filter(F.col("kind") == ENCODED).select("block", "n", "data", "doc_id", "sizes", "train")
 
