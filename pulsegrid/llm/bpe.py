@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -35,11 +36,11 @@ from pulsegrid.llm.common import put, runs, stored
 
 # Unicode's White_Space, which the pre-tokenizer's \s stands for.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SIZE, MEMO_BYTES = 65536, 210_000_000
+SIZE = 65536
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 # Letters with marks of Latin-1, which are composed already; words of these and printable ASCII are split together.
 MARKED = "À-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f" ?[!-~{MARKED}]+")
+_PLAIN = f"^ ?[!-~{MARKED}]+$"
 _PIECES = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{MARKED}]+| ?[0-9]+| ?[^\sA-Za-z0-9{MARKED}]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -80,23 +81,45 @@ class Vocabulary:
         flat, ends = ids.tolist(), np.cumsum(count).tolist()
         return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
+    def spell(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words end to end, and how many each has. Plain words are split together, in one pass over all of them; newlines part them."""
+        plain = pc.match_substring_regex(chunks, _PLAIN)
+        simple, other = chunks.filter(plain).to_pylist(), chunks.filter(pc.invert(plain)).to_pylist()
+        pieces = [_PIECES.findall("\n".join(simple)), *map(self.pattern.findall, other)]
+        codes, distinct = numbered(list(chain.from_iterable(pieces)))
+        raw = [p.encode() for p in distinct.to_pylist()]
+        flat, size = merge_pairs(self.slots, self.first[np.frombuffer(b"".join(raw), np.uint8)], np.fromiter(map(len, raw), np.int64, len(raw)))
+        mark = pc.index(distinct, "\n").as_py() if simple else -1  # of the words that are not plain none but "\n" itself holds one
+        n = len(pieces[0])
+        cut = np.r_[-1, np.flatnonzero(codes[:n] == mark), n] if simple else np.zeros(1, np.int64)
+        first, count = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        plain = plain.to_numpy(zero_copy_only=False)
+        first[plain], count[plain] = cut[:-1] + 1, np.diff(cut) - 1
+        sizes = np.array([len(x) for x in pieces[1:]], np.int64)
+        first[~plain], count[~plain] = n + np.cumsum(sizes) - sizes, sizes
+        entries = codes[laid(first, count, np.arange(len(chunks)))]
+        upto = np.r_[0, np.cumsum(size[codes])]
+        return flat[laid(np.cumsum(size) - size, size, entries)], upto[first + count] - upto[first]
+
     def words(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of words. Plain ones are split together, in one pass over all of them; newlines part them."""
-        plain = [_PLAIN.fullmatch(c) is not None for c in chunks]
-        pieces = _PIECES.findall("\n".join([c for c, p in zip(chunks, plain, strict=True) if p]))
-        other = [self.pattern.findall(c) for c, p in zip(chunks, plain, strict=True) if not p]
-        unique = list(dict.fromkeys(chain(pieces, *other)))
-        ids = dict(zip(unique, self.merge([p.encode() for p in unique]), strict=True))
-        cuts = [-1, *[i for i, p in enumerate(pieces) if p == "\n"], len(pieces)]
-        mine, theirs = zip(cuts, cuts[1:], strict=False), iter(other)
-        out = []
-        for p in plain:
-            if p:
-                i, j = next(mine)
-                out.append(ids[pieces[i + 1]] if j == i + 2 else [x for q in pieces[i + 1 : j] for x in ids[q]])
-            else:
-                out.append([x for q in next(theirs) for x in ids[q]])
-        return out
+        """The ids of words."""
+        if not chunks:
+            return []
+        flat, size = self.spell(pa.array(chunks, pa.string()))
+        flat, ends = flat.tolist(), np.cumsum(size).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def numbered(words: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """Words as numbers, and the distinct words by number."""
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def laid(start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the stretches ``which`` one after the other."""
+    n = size[which]
+    return np.repeat(start[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 _PROBES = 64
@@ -335,38 +358,38 @@ def train_lexicon(docs: DataFrame, vocab_path: str, size: int = SIZE) -> str:
 
 
 class Encoder:
-    """Splits texts into words, whose ids are in ``ids`` and, written out, in ``text``; words met before are kept, in about ``MEMO_BYTES``."""
+    """Texts to ids, in arrays: distinct words of a batch are looked up together, and those that the lexicon lacks are merged together."""
 
     def __init__(self, vocab: Vocabulary, lex: Lexicon | None):
-        self.vocab, self.lex, self.ids, self.text, self.used = vocab, lex, {}, {}, 0
-
-    def learn(self, fresh: list[str]) -> None:
-        keys = [w.encode() for w in fresh]
-        numbers = self.lex.numbers(keys).tolist() if self.lex else [-1] * len(keys)
-        unseen = [w for w, n in zip(fresh, numbers, strict=True) if n < 0 and w not in self.vocab.special]
-        found = dict(zip(unseen, self.vocab.words(unseen), strict=True))
-        for w, n in zip(fresh, numbers, strict=True):
-            if n >= 0:
-                found[w] = self.lex.ids_of(n)
-            elif w in self.vocab.special:
-                found[w] = [self.vocab.special[w]]
-        written = self.vocab.written
-        self.ids |= found
-        self.text |= {w: ",".join([written[i] for i in x]) for w, x in found.items()}
-        # bytes of a word: both dictionaries' entries and the objects, then those that follow its length or its ids'
-        self.used += 370 * len(found) + 3 * sum(map(len, keys)) + 42 * sum(map(len, found.values()))
-
-    def batch(self, texts: list[str]) -> list[list[str]]:
-        split = [words(t, self.vocab.cut) for t in texts]
-        seen = set().union(*split) if split else set()
-        if self.used > MEMO_BYTES:
-            self.ids, self.text, self.used = {}, {}, 0
-        if fresh := [w for w in seen if w not in self.ids]:
-            self.learn(fresh)
-        return split
+        self.vocab, self.lex = vocab, lex
 
-    def of(self, doc: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.ids.__getitem__, doc)))
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each text has."""
+        split = [words(t, self.vocab.cut) for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        codes, distinct = numbered(list(chain.from_iterable(split)))
+        del split
+        start, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        known = np.zeros(len(distinct), bool)
+        flat = [np.zeros(0, np.int64)]
+        if self.lex:
+            number = self.lex.numbers([w.encode() for w in distinct.to_pylist()])
+            known = number >= 0
+            start[known], count[known] = self.lex.offsets[number[known]], np.diff(self.lex.offsets)[number[known]]
+            flat[0] = self.lex.ids.astype(np.int64)
+        at = len(flat[0])
+        for word, i in self.vocab.special.items():
+            if (place := pc.index(distinct, word).as_py()) >= 0:
+                start[place], count[place], known[place] = at, 1, True
+                flat.append(np.array([i]))
+                at += 1
+        if not known.all():
+            merged, count[~known] = self.vocab.spell(distinct.filter(pa.array(~known)))
+            start[~known] = at + np.cumsum(count[~known]) - count[~known]
+            flat.append(merged)
+        upto = np.r_[0, np.cumsum(count[codes])]
+        ends = np.cumsum(sizes)
+        return np.concatenate(flat)[laid(start, count, codes)], upto[ends] - upto[ends - sizes]
 
 
 def encode(docs: DataFrame, vocab_path: str, lexicon_file: str | None = None) -> DataFrame:
@@ -379,8 +402,9 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_file: str | None = None) ->
         enc = Encoder(vocabulary(vocab_path), lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None)
         for batch in batches:
             for part in runs(batch, len(keep)):
-                rows = [enc.of(doc) for doc in enc.batch([t or "" for t in part.column(len(keep)).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.list_(pa.int64()))], names=schema.names)
+                ids, sizes = enc([t or "" for t in part.column(len(keep)).to_pylist()])
+                rows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], rows], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -417,12 +441,13 @@ def digests(docs: DataFrame, vocab_path: str, lexicon_file: str) -> DataFrame:
         enc = Encoder(vocab, lexicon(SparkFiles.get(lexicon_file)))
         for batch in batches:
             for part in runs(batch, len(keep)):
-                n, a, b = [], [], []
-                for doc in enc.batch([t or "" for t in part.column(len(keep)).to_pylist()]):
-                    ids = enc.of(doc)
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(",".join(map(enc.text.__getitem__, doc)).encode()).hexdigest())
-                    b.append(hashlib.sha256(decode_ids(ids, vocab).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
+                a, b = [], []
+                ids, sizes = enc([t or "" for t in part.column(len(keep)).to_pylist()])
+                flat, ends = ids.tolist(), np.cumsum(sizes).tolist()
+                for i, j in zip([0, *ends], ends, strict=False):
+                    doc = flat[i:j]
+                    a.append(hashlib.sha256(",".join(map(vocab.written.__getitem__, doc)).encode()).hexdigest())
+                    b.append(hashlib.sha256(decode_ids(doc, vocab).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
 
     return src.mapInArrow(run, schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.bpe import MARKED, byte_letters, merge_pairs, table_of
+from pulsegrid.llm.bpe import MARKED, byte_letters, laid, merge_pairs, table_of
 from pulsegrid.llm.common import runs, small, split_words, stored, text_bytes
 
 MAGIC, VERSION, IDS, FILE_BYTES, MEMO_BYTES = b"PGTK", 2, 4096, 12_000_000, 128_000_000
@@ -294,12 +294,6 @@ def _tokenizer(path: str) -> Tokenizer:
     return found
 
 
-def _laid(start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Places of the stretches ``which`` one after the other."""
-    n = size[which]
-    return np.repeat(start[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-
-
 class WordEncoder:
     """The library's ids word by word: this vocabulary's rules never look across ASCII white space.
 
@@ -361,8 +355,8 @@ class WordEncoder:
         first[mine], count[mine] = cut[:-1] + 1, np.diff(cut) - 1
         first[theirs], first[-1] = len(at) + np.arange(len(theirs)), len(of) - 1
         sequence = np.insert(codes, np.cumsum(sizes), len(words))
-        entries = of[_laid(first, count, sequence)]
-        ids = flat[_laid(start, size, entries)]
+        entries = of[laid(first, count, sequence)]
+        ids = flat[laid(start, size, entries)]
         upto = np.cumsum(np.r_[0, size[of]])
         upto = np.cumsum(np.r_[0, (upto[first + count] - upto[first])[sequence]])
         ends = np.cumsum(sizes + 1)
