@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.bpe import MARKED, byte_letters, laid, merge_pairs, table_of
+from pulsegrid.llm.bpe import MARKED, byte_letters, laid, merge_pairs, numbered, table_of
 from pulsegrid.llm.common import runs, small, split_words, stored, text_bytes
 
-MAGIC, VERSION, IDS, FILE_BYTES, MEMO_BYTES = b"PGTK", 2, 4096, 12_000_000, 128_000_000
+MAGIC, VERSION, IDS, FILE_BYTES = b"PGTK", 2, 4096, 12_000_000
 SLOTS1, SLOTS2, NONE = 2048, 4096, 65535  # entries of the context tables of a block; ids are below NONE
 MIX, ZERO, RATE = 12, 16, 5  # bits of the weights and of order 0's distribution; how slowly weights are learned
 _U = np.uint64
@@ -297,12 +297,11 @@ def _tokenizer(path: str) -> Tokenizer:
 class WordEncoder:
     """The library's ids word by word: this vocabulary's rules never look across ASCII white space.
 
-    Pieces of plain words are merged in arrays; other words, and those that might hold a special token, go to the library.
-    What was met is kept, in ``MEMO_BYTES`` at most.
+    Pieces of plain words are merged together in arrays; other words, and those that might hold a special token, go to the library.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo, self.used = _tokenizer(path), {"\n": b""}, 0
+        self.tokenizer = _tokenizer(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         if model.get("end_of_word_suffix") != WORD_END:
@@ -313,54 +312,34 @@ class WordEncoder:
         self.inner = np.array([ids[letter[b]] for b in range(256)], np.int64)
         self.last = np.array([ids[letter[b] + WORD_END] for b in range(256)], np.int64)
 
-    def _keep(self, keys: list, values: list[bytes]) -> None:
-        self.memo.update(zip(keys, values, strict=True))
-        self.used += sum(map(len, values)) + 180 * len(keys)  # 180: of the dictionary and both objects, with a key of usual length
-
-    def _merged(self, pieces: list[str]) -> None:
-        raw = [p.encode() for p in pieces]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        raw = np.frombuffer(b"".join(raw), np.uint8)
-        ids, ends = self.inner[raw], np.cumsum(size) - 1
-        ids[ends] = self.last[raw[ends]]
-        ids, count = merge_pairs(self.slots, ids, size)
-        flat, ends = ids.astype("<u2").tobytes(), (2 * np.cumsum(count)).tolist()
-        self._keep(pieces, [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)])
-
     def __call__(self, texts: pa.Array | pa.ChunkedArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each with ``end`` after it, and how many each text has."""
         codes, sizes, words = split_words(texts, lower=False)
-        if self.used > MEMO_BYTES:
-            self.memo, self.used = {"\n": b""}, 0
         plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
         simple, other = words.filter(plain).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
-        pieces = _PIECES.findall("\n".join(simple).lower())
-        distinct, memo = list(dict.fromkeys(pieces)), self.memo
-        self._merged([p for p in distinct if p not in memo])
-        fresh = [w for w in other if (w,) not in memo]  # in a tuple, so that none is taken for a piece
-        found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        self._keep([(w,) for w in fresh], [np.array(e.ids, "<u2").tobytes() for e in found])
-        values = [*map(memo.__getitem__, distinct), *[memo[w,] for w in other], struct.pack("<H", end)]
-        flat = np.frombuffer(b"".join(values), "<u2")
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 2
-        start = np.cumsum(size) - size
-        # a word is a run of pieces, or one entry of the library's, or the end
-        number = {p: i for i, p in enumerate(distinct)}
-        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        cut = np.r_[-1, np.flatnonzero(at == number.get("\n", -1)), len(at)] if simple else np.zeros(1, np.int64)
-        of = np.concatenate([at, np.arange(len(distinct), len(values))])
+        pieces, distinct = numbered(_PIECES.findall("\n".join(simple).lower()))
+        raw = [p.encode() for p in distinct.to_pylist()]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        raw = np.frombuffer(b"".join(raw), np.uint8)
+        ids, last = self.inner[raw], np.cumsum(size) - 1
+        ids[last] = self.last[raw[last]]
+        merged, size = merge_pairs(self.slots, ids, size)
+        found = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
+        # entries: the distinct pieces, the library's words, the end; a word is a run of entries
+        flat = np.concatenate([merged, *found, [end]])
+        size = np.r_[size, np.array([len(x) for x in found], np.int64), 1]
+        mark = pc.index(distinct, "\n").as_py() if simple else -1
+        cut = np.r_[-1, np.flatnonzero(pieces == mark), len(pieces)] if simple else np.zeros(1, np.int64)
+        entries = np.r_[pieces, np.arange(len(distinct), len(size))]
         first, count = np.zeros(len(words) + 1, np.int64), np.ones(len(words) + 1, np.int64)
-        plain = plain.to_numpy(zero_copy_only=False)
-        mine, theirs = np.flatnonzero(plain), np.flatnonzero(~plain)
-        first[mine], count[mine] = cut[:-1] + 1, np.diff(cut) - 1
-        first[theirs], first[-1] = len(at) + np.arange(len(theirs)), len(of) - 1
+        plain = np.r_[plain.to_numpy(zero_copy_only=False), False]
+        first[plain], count[plain] = cut[:-1] + 1, np.diff(cut) - 1
+        first[~plain] = len(pieces) + np.arange(len(other) + 1)
         sequence = np.insert(codes, np.cumsum(sizes), len(words))
-        entries = of[laid(first, count, sequence)]
-        ids = flat[laid(start, size, entries)]
-        upto = np.cumsum(np.r_[0, size[of]])
-        upto = np.cumsum(np.r_[0, (upto[first + count] - upto[first])[sequence]])
-        ends = np.cumsum(sizes + 1)
-        return ids, np.diff(np.r_[0, upto[ends]])
+        ids = flat[laid(np.cumsum(size) - size, size, entries[laid(first, count, sequence)])]
+        upto = np.r_[0, np.cumsum(size[entries])]
+        upto = np.r_[0, np.cumsum((upto[first + count] - upto[first])[sequence])]
+        return ids, np.diff(np.r_[0, upto[np.cumsum(sizes + 1)]])
 
 
 _encoders: dict[str, WordEncoder] = {}
