@@ -89,18 +89,36 @@ def track_partition(rows: Iterable, ctx: Context) -> Iterator:
     ctx.partitions.add({"max": n, "min": n, "count": 1})
 
 
+# What each profile tracks, and the skew from which a summary warns.
+_TRACK = ("track_records", "track_skipped", "track_dq_errors", "track_partition_skew", "fail_on_errors")
 PROFILES = {
-    "strict": {"track_errors": True, "track_partitions": True, "fail_on_error": True, "max_error_rate": 0.0},
-    "standard": {"track_errors": True, "track_partitions": True, "fail_on_error": False, "max_error_rate": 0.05},
-    "minimal": {"track_errors": False, "track_partitions": False, "fail_on_error": False, "max_error_rate": 1.0},
+    "strict": dict(zip(_TRACK, (True, True, True, True, True), strict=True)) | {"skew_threshold": 3.0},
+    "standard": dict(zip(_TRACK, (True, True, True, True, False), strict=True)) | {"skew_threshold": 5.0},
+    "minimal": dict(zip(_TRACK, (True, False, False, False, False), strict=True)) | {"skew_threshold": 10.0},
 }
 
 
+class QualityError(ValueError):
+    """Raised under a profile that fails on errors."""
+
+
+def record(ctx: Context, seen: Observation, how: dict) -> None:
+    """Adds what an observation of ``observed`` has seen, as far as the profile tracks it. An action must have run."""
+    found = seen.get
+    errors = {k: v for k, v in found.items() if k != "rows" and v}
+    if how["track_records"]:
+        ctx.records.add(found["rows"])
+    if how["track_dq_errors"] and errors:
+        ctx.errors.add(errors)
+    if how["fail_on_errors"] and errors:
+        raise QualityError(", ".join(f"{k}: {v}" for k, v in sorted(errors.items())))
+
+
 def profile(name: str) -> dict:
     return dict(PROFILES.get(name, PROFILES["standard"]))
 
 
-def summary(ctx: Context) -> str:
+def summary(ctx: Context, skew_threshold: float = 3.0) -> str:
     done, skipped = ctx.records.value, ctx.skipped.value
     total = done + skipped
     lines = [f"job {ctx.job}", f"records {done}", f"skipped {skipped} ({100 * skipped / total if total else 0:.2f} %)"]
@@ -109,7 +127,7 @@ def summary(ctx: Context) -> str:
     p = ctx.partitions.value
     if p["count"]:
         ratio = p["max"] / p["min"] if p["min"] else float("inf")
-        lines.append(f"partitions {p['count']}, rows {p['min']} to {p['max']}, skew {ratio:.2f}" + (" - above 3, consider salting" if ratio > 3 else ""))
+        lines.append(f"partitions {p['count']}, rows {p['min']} to {p['max']}, skew {ratio:.2f}" + (f" - above {skew_threshold:g}, consider salting" if ratio > skew_threshold else ""))
     return "\n".join(lines)
 
 

@@ -46,6 +46,14 @@ def detect_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])).withColumn("null_columns", F.array_compact(F.array(*named)))
 
 
+def describe(df: DataFrame, *columns: str) -> DataFrame:
+    """For each numeric column count, mean, stddev, min and max as doubles: a row per column, from one aggregation."""
+    need(df, *columns)
+    parts = (("count", F.count), ("mean", F.avg), ("stddev", F.stddev_samp), ("min", F.min), ("max", F.max))
+    wide = df.agg(*[F.struct(*[f(c).cast("double").alias(n) for n, f in parts]).alias(c) for c in columns])  # one row
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(c)[n].alias(n) for n, _ in parts]) for c in columns])))
+
+
 def detect_outliers(df: DataFrame, column: str, method: str = "iqr", iqr_multiplier: float = 1.5, min_value: float | None = None, max_value: float | None = None, accuracy: int = 1_000_000) -> DataFrame:
     """Rows outside the quartiles by ``iqr_multiplier`` ranges, or outside given limits, with ``outlier_reason`` and ``outlier_value``."""
     need(df, column)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ranks import once, ranked
 from pulsegrid.schema import MAX_DURATION_MS, need
 
-RANKED = 50_000
-
 
 def daily_active(interactions: DataFrame, approximate: bool = False) -> DataFrame:
     """A row for each day with events. Null ids count as interactions, not as users."""
@@ -30,9 +29,18 @@ def monthly_active(interactions: DataFrame, approximate: bool = False) -> DataFr
 def rolling_active(interactions: DataFrame, days: int = 30, min_events: int = 1) -> DataFrame:
     """For each day with events, the users with ``min_events`` or more in the ``days`` days up to it.
 
-    A user's day is spread over the days that it counts for, so that there is one aggregation and no range join.
+    For one event a user's day counts until the user's next day or until it is ``days`` old, so that it gives two steps of a running sum over
+    dates. For more, a user's day is spread over the days that it counts for.
     """
     per = interactions.groupBy("user_id", F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    if min_events <= 1:
+        stop = F.least(F.date_add("day", days), F.lead("day").over(Window.partitionBy("user_id").orderBy("day")))
+        known = F.when(F.col("user_id").isNotNull() & F.col("day").isNotNull(), 1).otherwise(0)
+        ends = per.select("day", stop.alias("stop"), known.alias("one"))
+        steps = ends.select(F.inline(F.array(F.struct(F.col("day").alias("date"), F.col("one").alias("step"), F.lit(1).alias("seen")), F.struct(F.col("stop").alias("date"), (-F.col("one")).alias("step"), F.lit(0).alias("seen")))))
+        dates = steps.filter("date IS NOT NULL").groupBy("date").agg(F.sum("step").alias("step"), F.max("seen").alias("seen"))
+        upto = F.sum("step").over(Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))  # one row per date
+        return dates.withColumn("active_users", upto).filter("seen = 1").select("date", "active_users")
     spread = per.select("user_id", "n", F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("date"))
     counted = spread.groupBy("date", "user_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_events)
     return counted.groupBy("date").agg(F.count("user_id").alias("active_users")).join(per.select(F.col("day").alias("date")).distinct(), "date", "left_semi")
@@ -61,20 +69,22 @@ def user_totals(interactions: DataFrame, max_duration_ms: int = MAX_DURATION_MS)
     return out.withColumns({"hours_spent": F.col("total_duration_ms") / F.lit(3_600_000.0), "avg_duration_per_interaction": avg, "avg_duration_ms": avg})
 
 
-def power_users(interactions: DataFrame, metadata: DataFrame | None = None, percentile: float = 0.99, max_duration_ms: int = MAX_DURATION_MS) -> DataFrame:
+def power_users(interactions: DataFrame, metadata: DataFrame | None = None, percentile: float = 0.99, max_duration_ms: int = MAX_DURATION_MS, most_ranked: int | None = None) -> DataFrame:
     """The max(1, n - ceil(percentile (n-1))) users with the most time, ties by user_id, with a rank and their metadata.
 
-    Only users at or above an approximate cut, which lies below the exact one, are ranked; the single
-    ordered partition thus holds little more than the result.
+    Only users at or above an approximate cut, which lies below the exact one, are ranked, and those in ranges.
+    ``most_ranked``: beyond so many power users ``percentile_rank`` is null.
     """
     if not 0 <= percentile <= 1:
         raise ValueError("percentile must be within 0 and 1")
     need(interactions, "user_id", "timestamp", "duration_ms")
-    totals = user_totals(interactions, max_duration_ms)
-    cut = totals.agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("total_duration_ms", max(0.0, percentile - 0.001), 10_000).alias("_cut"))  # one row
-    near = totals.crossJoin(F.broadcast(cut)).filter(F.col("total_duration_ms") >= F.col("_cut"))
-    k = F.when(F.col("_n") <= 1, F.col("_n")).otherwise(F.greatest(F.lit(1), F.col("_n") - F.ceil(F.lit(percentile) * (F.col("_n") - 1))))
-    ranked = near.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("total_duration_ms"), "user_id"))).withColumn("_k", k).filter("_rank <= _k")
+    totals = once(user_totals(interactions, max_duration_ms))
+    cut = totals.agg(F.count(F.lit(1)).alias("_all"), F.percentile_approx("total_duration_ms", max(0.0, percentile - 0.001), 10_000).alias("_cut"))  # one row
+    near = totals.crossJoin(F.broadcast(cut)).filter(F.col("total_duration_ms") >= F.col("_cut")).drop("_cut")
+    k = F.when(F.col("_all") <= 1, F.col("_all")).otherwise(F.greatest(F.lit(1), F.col("_all") - F.ceil(F.lit(percentile) * (F.col("_all") - 1))))
+    top = ranked(near, "total_duration_ms", "user_id").withColumn("_k", k).filter("_rank <= _k")
     place = F.lit(100.0 * percentile) + (F.col("_k") - F.col("_rank")) / (F.col("_k") - 1) * F.lit((1 - percentile) * 100)
-    out = ranked.withColumn("percentile_rank", F.when(F.col("_k") <= 1, F.lit(100.0)).when(F.col("_k") > RANKED, F.lit(None)).otherwise(place)).drop("_n", "_cut", "_rank", "_k")
+    if most_ranked is not None:
+        place = F.when(F.col("_k") <= most_ranked, place)
+    out = top.withColumn("percentile_rank", F.when(F.col("_k") <= 1, F.lit(100.0)).otherwise(place)).drop("_all", "_n", "_rank", "_k")
     return out if metadata is None else out.join(metadata, "user_id", "left")

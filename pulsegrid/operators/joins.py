@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ranks import once
 from pulsegrid.schema import need
 from pulsegrid.session import size_bytes
 
 
 def hot_keys(df: DataFrame, key: str, percentile: float = 0.99) -> DataFrame:
-    """(key, count) of the keys whose count is strictly above that percentile of the keys' counts. Lazy."""
+    """(key, count) of the keys whose count is strictly above that percentile of the keys' counts.
+
+    Counts are taken once, where the session has a checkpoint folder; else the plan reads ``df`` for the counts and for the percentile.
+    """
     need(df, key)
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    counts = once(df.groupBy(key).agg(F.count(F.lit(1)).alias("count")))
     cut = counts.agg(F.percentile_approx("count", percentile, 10_000).alias("_cut"))  # one row
     return counts.crossJoin(F.broadcast(cut)).filter(F.col("count") > F.col("_cut")).drop("_cut")
 
@@ -48,6 +52,7 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, hot: DataFrame, ho
     """Joins with the hot keys spread over ``factor`` partitions. Inner and left only: elsewhere a small row would come out once per salt, so the plain join is used."""
     if how not in ("inner", "left", "left_outer", "leftouter"):
         return large.join(small, key, how)
+    hot = once(hot.select(key).distinct())  # both sides are marked by it
     a, b = apply_salting(large, hot, key, factor), explode_for_salting(small, hot, key, factor)
     out = a.join(b.drop(key, "salt"), f"{key}_salted", how).drop("salt", f"{key}_salted")
     return out.select(*large.columns, *[c for c in small.columns if c != key])

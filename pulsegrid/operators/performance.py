@@ -14,27 +14,26 @@ def percentile_name(p: float) -> str:
     return "p" + text.replace(".", "_")
 
 
-def percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000) -> DataFrame:
-    """Keys, count (rows, nulls included), mean, sample deviation and percentiles, from one aggregation."""
+def percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000, **more: Column) -> DataFrame:
+    """Keys, count (rows, nulls included), mean, sample deviation, percentiles and ``more`` aggregates, from one aggregation."""
     need(df, value, *by)
     if any(not 0 <= p <= 1 for p in at):
         raise ValueError("percentiles must be within 0 and 1")
     found = F.percentile_approx(value, list(at), accuracy)
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias(f"avg_{value}"), F.stddev_samp(value).alias(f"stddev_{value}"), found.alias("_p"))
-    return out.select(*by, "count", f"avg_{value}", f"stddev_{value}", *[F.col("_p")[i].alias(percentile_name(p)) for i, p in enumerate(at)])
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias(f"avg_{value}"), F.stddev_samp(value).alias(f"stddev_{value}"), found.alias("_p"), *[c.alias(n) for n, c in more.items()])
+    return out.select(*by, "count", f"avg_{value}", f"stddev_{value}", *[F.col("_p")[i].alias(percentile_name(p)) for i, p in enumerate(at)], *more)
 
 
-def named_percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    out = percentiles(df, value, by, at)
+def named_percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99), **more: Column) -> DataFrame:
+    out = percentiles(df, value, by, at, **more)
     return out.withColumnsRenamed({percentile_name(p): f"{percentile_name(p)}_{value}" for p in at})
 
 
 def device_performance(df: DataFrame) -> DataFrame:
-    """Percentiles by device and day with the number of users: both from one pass."""
+    """Percentiles by device and day with the number of users, from one aggregation."""
     day = F.to_date("timestamp").alias("metric_date")
     rows = df.select("device_type", day, "duration_ms", "user_id")
-    users = rows.groupBy("device_type", "metric_date").agg(F.count_distinct("user_id").alias("user_count"))
-    return named_percentiles(rows, "duration_ms", ["device_type", "metric_date"]).join(users, ["device_type", "metric_date"], "left")
+    return named_percentiles(rows, "duration_ms", ["device_type", "metric_date"], user_count=F.count_distinct("user_id"))
 
 
 def device_correlation(interactions: DataFrame, metadata: DataFrame | None = None) -> DataFrame:

@@ -37,9 +37,10 @@ def session_metrics(interactions: DataFrame, timeout: int | str = SESSION_TIMEOU
     extra = sorted(c for c in interactions.columns if c not in fixed)
     grouped = interactions.groupBy("user_id", F.session_window("timestamp", f"{gap} seconds").alias("w")).agg(
         F.count(F.lit(1)).alias("action_count"), F.sum("duration_ms").alias("total_action_duration_ms"), F.avg("duration_ms").alias("avg_action_duration_ms"),
-        F.max(F.struct("timestamp", "duration_ms")).alias("_last"), *[F.min_by(c, "timestamp").alias(c) for c in extra],
+        F.min("timestamp").alias("_start"), F.max(F.struct("timestamp", "duration_ms")).alias("_last"), *[F.min_by(c, "timestamp").alias(c) for c in extra],
     )
-    start, end = F.col("w.start"), F.col("w.end")
+    # not the window's ends: a filter on those would be pushed below the merging of events into sessions, and cut sessions short
+    start, end = F.col("_start"), F.col("_last.timestamp") + F.expr(f"INTERVAL {gap} SECONDS")
     last = F.col("_last.duration_ms")
     span = (F.unix_timestamp(end) - F.unix_timestamp(start)) * 1000 - gap * 1000
     length = F.when(F.col("action_count") == 1, last.cast("long")).otherwise(span + last)

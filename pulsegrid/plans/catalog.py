@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid import monitoring
+from pulsegrid import monitoring, schema
 from pulsegrid.operators import checks, engagement, joins, performance, retention, sessions
-from pulsegrid.plans import ml, serving
-from pulsegrid.sources import adapters
+from pulsegrid.plans import jobs, ml, serving
+from pulsegrid.sources import adapters, files, generator, jdbc
 
 AS_OF, RUN_DATE, SIX_HOURS = "2024-01-30", "2024-01-31", 21_600
 
@@ -173,7 +174,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "cohort_retention_by_segment": (lambda t: t.cohseg, sql("SELECT * FROM cohseg", "cohseg")),
     "cohort_heatmap": (lambda t: serving.cohort_heatmap(t.coh), sql("SELECT cohort_week, week_number, retention_rate, cohort_size, retained_users FROM coh WHERE week_number <= 26", "coh")),
     "retention_heatmap_pct": (lambda t: serving.retention_heatmap(t.coh), sql("SELECT CAST(cohort_week AS VARCHAR) AS cohort_week, week_number, round(retention_rate * 100, 1) AS retention_pct FROM coh", "coh")),
-    "latest_cohorts_curves": (lambda t: serving.latest_curves(t.coh, 4), sql("SELECT cohort_week, week_number, retention_rate FROM coh WHERE week_number <= 12 AND cohort_week IN (SELECT DISTINCT cohort_week FROM coh ORDER BY 1 DESC LIMIT 4)", "coh")),
+    "latest_cohorts_curves": (lambda t: serving.latest_curves(t.coh, 10), sql("SELECT cohort_week, week_number, retention_rate FROM coh WHERE week_number <= 12 AND cohort_week IN (SELECT DISTINCT cohort_week FROM coh ORDER BY 1 DESC LIMIT 10)", "coh")),
     "retention_w0_w12": (lambda t: serving.retention_at(t.coh), sql("SELECT week_number, round(avg(retention_rate), 9) AS avg_retention FROM coh WHERE week_number IN (0, 12) GROUP BY 1", "coh")),
     "retention_curve_avg": (lambda t: retention.average_curve(t.coh), sql("SELECT * FROM curve", "curve")),
     "retention_curve_mature": (lambda t: retention.mature_curve(t.coh, AS_OF), sql(f"SELECT week_number, round(avg(retention_rate) * 100, 1) AS avg_retention_pct FROM coh WHERE cohort_week + week_number * 7 <= DATE '{AS_OF}' GROUP BY 1", "coh")),
@@ -196,7 +197,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "anomalies_by_group": (lambda t: _rounded(t.anom, baseline_mean=6, baseline_stddev=6, z_score=6), sql("SELECT * REPLACE (round(baseline_mean, 6) AS baseline_mean, round(baseline_stddev, 6) AS baseline_stddev, round(z_score, 6) AS z_score) FROM anom", "anom")),
     "anomalies_global": (lambda t: _rounded(performance.anomalies(t.events.select("event_id", "value"), "value"), baseline_mean=6, baseline_stddev=6, z_score=6), "SELECT event_id, value, round(m2, 6) AS baseline_mean, round(s2, 6) AS baseline_stddev, round((value - m2) / s2, 6) AS z_score, CASE WHEN value > m2 THEN 'high' ELSE 'low' END AS anomaly_type FROM events, (SELECT avg(value) AS m2, stddev_samp(value) AS s2 FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events) WHERE abs((value - m) / s) <= 3) WHERE abs((value - m2) / s2) > 3"),
     "anomaly_severity": (lambda t: t.anom.groupBy("event_type", performance.severity(F.col("z_score")).alias("severity")).agg(F.count(F.lit(1)).alias("n")), sql("SELECT event_type, CASE WHEN abs(z_score) >= 4 THEN 'critical' WHEN abs(z_score) >= 3.5 THEN 'high' WHEN abs(z_score) >= 3 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM anom GROUP BY ALL", "anom")),
-    "anomaly_alerts": (lambda t: serving.alerts(t.report, AS_OF).select("detected_time", "severity", "app_version", "metric_name", "value", "z_score"), sql(f"SELECT '{AS_OF} 12:00' AS detected_time, CASE WHEN abs(z) >= 4 THEN 'critical' WHEN abs(z) >= 3.5 THEN 'high' WHEN abs(z) >= 3 THEN 'medium' ELSE 'low' END AS severity, app_version, 'avg_duration_ms' AS metric_name, round(v, 2) AS value, round(z, 2) AS z_score FROM report ORDER BY 2 DESC, app_version, metric_date LIMIT 50", "perf").replace("\nSELECT '", f",\n{_REPORT}\nSELECT '", 1)),
+    "anomaly_alerts": (lambda t: serving.alerts(t.report, AS_OF), sql(f"SELECT '{AS_OF} 12:00' AS detected_time, CASE WHEN abs(z) >= 4 THEN 'critical' WHEN abs(z) >= 3.5 THEN 'high' WHEN abs(z) >= 3 THEN 'medium' ELSE 'low' END AS severity, app_version, NULL::VARCHAR AS device_type, 'avg_duration_ms ' || round(v, 2) || ' against ' || round(m2, 2) || ', z ' || round(z, 2) AS description, 'avg_duration_ms' AS metric_name, round(v, 2) AS value, round(z, 2) AS z_score FROM report ORDER BY 2 DESC, app_version, metric_date LIMIT 50", "perf").replace("\nSELECT '", f",\n{_REPORT}\nSELECT '", 1)),
     "critical_anomalies": (lambda t: serving.critical_count(t.report, AS_OF), sql("SELECT count(*) FILTER (abs(z) >= 4) AS critical_anomalies FROM report", "perf").replace("\nSELECT count(*) FILTER", f",\n{_REPORT}\nSELECT count(*) FILTER", 1)),
     "session_metrics_1800": (lambda t: t.sessions(1800).select(*SESSION_COLS), sql(f"SELECT {_S} FROM s", "s", gap=1800)),
     "session_metrics_600": (lambda t: t.sessions(600).select(*SESSION_COLS), sql(f"SELECT {_S} FROM s", "s", gap=600)),
@@ -233,6 +234,146 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
 }
 
 
+_SCORED = "totals JOIN u USING (user_id)"
+_LINES = "l_orderkey, l_linenumber, s_suppkey, s_name"
+
+
+def _lines(t: Tables) -> DataFrame:
+    return t.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"))
+
+
+def _suppliers(t: Tables) -> DataFrame:
+    return t.table("supplier").select("s_suppkey", "s_name")
+
+
+def _scored(t: Tables) -> DataFrame:
+    return engagement.user_totals(t.i).join(t.u, "user_id")
+
+
+def _csv(t: Tables) -> DataFrame:
+    """Users written as CSV and read back by their schema."""
+    path = adapters.scratch(t.spark, "csv")
+    generator.write_csv({"users": t.u}, path)
+    return files.read_csv(t.spark, f"{path}/users", schema.USERS)
+
+
+def _by_date(t: Tables) -> DataFrame:
+    """Enriched interactions written by day, overwritten, and one day read back from its folder."""
+    path = adapters.scratch(t.spark, "parquet")
+    for _ in range(2):
+        files.write_tables({"enriched_interactions": joins.enrich(t.i, t.u)}, path, {"enriched_interactions": ["date"]})
+    return files.read_parquet(t.spark, f"{path}/enriched_interactions").filter(F.col("date") == F.lit("2024-01-05").cast("date"))
+
+
+def _database(t: Tables) -> jdbc.Place:
+    """A database inside the driver's process, for sessions on one machine; a server takes its place elsewhere."""
+    at = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    keys = t.table("customer").select(F.col("c_custkey").alias("ID"), F.col("c_acctbal").cast("double").alias("BALANCE"), F.col("c_nationkey").cast("int").alias("NATION"))
+    jdbc.write_table(keys, "accounts", "overwrite", at=at)
+    jdbc.write_table(keys.filter("NATION = 3"), "accounts", "append", at=at)
+    return at
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(F.col("ID").alias("id"), F.col("BALANCE").alias("balance"), F.col("NATION").alias("nation"))
+
+
+def _validated(t: Tables) -> DataFrame:
+    rows = t.table("documents").select("doc_id", "lang").join(t.table("labels"), "doc_id", "left")
+    return t.spark.createDataFrame([(w,) for w in checks.validate(rows, ["doc_id"], ["doc_id", "quality", "toxic"])], "warning string")
+
+
+def _schema_errors(t: Tables) -> DataFrame:
+    found = checks.validate_schema(t.i.withColumns({"duration_ms": F.col("duration_ms").cast("long"), "timestamp": F.col("timestamp").cast("timestamp")}).withColumn("more", F.lit(1)).drop("page_id"), schema.INTERACTIONS)[1]
+    return t.spark.createDataFrame([(e,) for e in found], "error string")
+
+
+def _observed(t: Tables) -> DataFrame:
+    df, seen = monitoring.observed(t.full, ["user_id", "country"], ["duration_ms"])
+    df.write.format("noop").mode("overwrite").save()
+    return t.spark.createDataFrame([tuple(seen.get[k] for k in ("rows", "null_user_id", "null_country", "negative_duration_ms"))], "rows long, null_user_id long, null_country long, negative_duration_ms long")
+
+
+def _accumulated(t: Tables) -> DataFrame:
+    """Rows and row errors counted by accumulators on the executors."""
+    ctx = monitoring.context(t.spark.sparkContext, "quality")
+
+    def count(rows):
+        for r in monitoring.track_partition(rows, ctx):
+            (ctx.records if monitoring.track_errors(r.asDict(), ctx, ["quality"], ["toxic"]) else ctx.skipped).add(1)
+
+    t.table("documents").select("doc_id").join(t.table("labels"), "doc_id", "left").foreachPartition(count)
+    return t.spark.createDataFrame([(ctx.records.value, ctx.skipped.value, ctx.errors.value.get("null_quality", 0))], "records long, skipped long, null_quality long")
+
+
+def _clusters(t: Tables) -> DataFrame:
+    """Distances from the mean latency, in place of those from cluster centres."""
+    mean = t.perf.agg(F.avg("p95_duration_ms").alias("m"))
+    return t.perf.crossJoin(F.broadcast(mean)).select("app_version", "metric_date", F.abs(F.col("p95_duration_ms") - F.col("m")).alias("centroid_distance")).filter("centroid_distance > 5000")
+
+
+_CONSENSUS = """report2 AS (SELECT app_version, metric_date, CASE WHEN abs(z) >= 4 THEN 'critical' WHEN abs(z) >= 3.5 THEN 'high' WHEN abs(z) >= 3 THEN 'medium' ELSE 'low' END AS signal FROM report)
+SELECT app_version, metric_date, 'z_score' AS method, signal FROM report2 UNION ALL
+SELECT app_version, metric_date, 'kmeans', CAST(round(abs(p95_duration_ms - m), 2) AS VARCHAR) FROM perf, (SELECT avg(p95_duration_ms) AS m FROM perf) WHERE abs(p95_duration_ms - m) > 5000"""
+_NUMBERS = ("total_interactions", "days_active")
+_PIVOT = "pivot_ AS (SELECT cohort_week, any_value(cohort_size) AS cohort_size, " + ", ".join(f"max(retention_rate) FILTER (week_number = {w}) AS week_{w}" for w in range(13)) + " FROM coh GROUP BY 1)"
+
+
+def _with(text: str, more: str) -> str:
+    """``text`` with another common table expression after its own."""
+    head, _, body = text.rpartition("\nSELECT")
+    return f"{head},\n{more}\nSELECT{body}"
+
+
+QUERIES |= {
+    "rolling_active_twice": (lambda t: engagement.rolling_active(t.i, 30, 2), sql("SELECT date, count(*) AS active_users FROM (SELECT d.date, i.user_id FROM dau d JOIN i ON CAST(i.timestamp AS DATE) BETWEEN d.date - 29 AND d.date GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1", "dau")),
+    "filtered_power_users": (lambda t: serving.filtered(t.power, device_type=["iPhone", "iPad", "Android Phone"], subscription_type="FURNITURE", country=None).select("user_id", "country", "device_type", "hours_spent"), sql("SELECT user_id, country, device_type, hours_spent FROM power WHERE device_type IN ('iPhone', 'iPad', 'Android Phone') AND subscription_type = 'FURNITURE'", "power")),
+    "filtered_versions": (lambda t: serving.filtered(t.perf, "metric_date", AS_OF, 14, app_version="3.1.0").select("metric_date", "app_version", "count", "p95_duration_ms"), sql(f"SELECT metric_date, app_version, count, p95_duration_ms FROM perf WHERE metric_date >= DATE '{AS_OF}' - 14 AND app_version = '3.1.0'", "perf")),
+    "filtered_sessions": (lambda t: serving.session_summary(serving.filtered(t.s, "session_start_time", AS_OF, 14, device_type="iPad")), sql(f"SELECT count(*) AS total_sessions, round(avg(session_duration_ms) / 1000, 2) AS avg_duration_sec, round(avg(action_count), 2) AS avg_actions_per_session, round(sum(is_bounce::INT) * 100.0 / count(*), 2) AS bounce_rate_pct FROM s WHERE session_start_time >= DATE '{AS_OF}' - 14 AND device_type = 'iPad'", "s")),
+    "filtered_bounce": (lambda t: serving.filtered(t.bounce, "metric_date", AS_OF, 14, dimension_name="device_type", dimension_value=["iPhone", "Android Phone"]), sql(f"SELECT * FROM bounce WHERE metric_date >= DATE '{AS_OF}' - 14 AND dimension_name = 'device_type' AND dimension_value IN ('iPhone', 'Android Phone')", "bounce")),
+    "filtered_anomalies": (lambda t: serving.filtered(t.report, severity=["low", "medium"]).select("app_version", "metric_date", "severity"), _with(sql("SELECT app_version, metric_date, CASE WHEN abs(z) >= 3 THEN 'medium' ELSE 'low' END AS severity FROM report WHERE abs(z) < 3.5", "perf"), _REPORT)),
+    "anomaly_consensus": (lambda t: serving.anomaly_consensus(t.report, _clusters(t)), sql("", "perf").rstrip() + f",\n{_REPORT},\n{_CONSENSUS}"),
+    "describe_durations": (lambda t: _rounded(checks.describe(t.i, "duration_ms"), mean=6, stddev=6), sql("SELECT 'duration_ms' AS column, CAST(count(duration_ms) AS DOUBLE) AS count, round(avg(duration_ms), 6) AS mean, round(stddev_samp(duration_ms), 6) AS stddev, CAST(min(duration_ms) AS DOUBLE) AS min, CAST(max(duration_ms) AS DOUBLE) AS max FROM i", "i")),
+    "retention_top_countries": (lambda t: serving.retention_top_countries(t.cohseg), sql("SELECT week_number, segment_value AS country, round(avg(retention_rate) * 100, 1) AS avg_retention_pct FROM cohseg WHERE segment_type = 'country' AND segment_value IN (SELECT segment_value FROM cohseg WHERE segment_type = 'country' AND week_number = 0 GROUP BY 1 ORDER BY sum(cohort_size) DESC, 1 LIMIT 5) GROUP BY 1, 2", "cohseg")),
+    "precision_recall_at_k": (lambda t: ml.at_top(_scored(t), "total_interactions", F.col("days_active") > 10, 20), sql(f"SELECT count(*) AS k, round(sum((days_active > 10)::INT) / count(*), 6) AS precision_at_k, round(sum((days_active > 10)::INT) / (SELECT count(*) FROM {_SCORED} WHERE days_active > 10), 6) AS recall_at_k FROM (SELECT * FROM {_SCORED} ORDER BY total_interactions DESC, user_id LIMIT 20)", "totals", "u")),
+    "f1_at_threshold": (lambda t: ml.f1(_scored(t), F.col("total_interactions") > 12, F.col("days_active") > 10), sql(f"SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT count(*) FILTER (total_interactions > 12 AND days_active > 10) AS tp, count(*) FILTER (total_interactions > 12 AND days_active <= 10) AS fp, count(*) FILTER (total_interactions <= 12 AND days_active > 10) AS fn FROM {_SCORED})", "totals", "u")),
+    "size_balance": (lambda t: ml.size_balance(t.u, "country"), sql("SELECT count(*) AS segments, round(2.0 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0) / count(*), 6) AS gini, round(max(n) / sum(n), 6) AS largest_share FROM (SELECT count(*) AS n, row_number() OVER (ORDER BY count(*), country) AS i FROM u GROUP BY country)", "u")),
+    "segment_spread": (lambda t: ml.spread(_scored(t), _NUMBERS, "subscription_type"), sql(f"SELECT subscription_type, round(stddev_samp(total_interactions), 6) AS stddev_total_interactions, round(stddev_samp(days_active), 6) AS stddev_days_active FROM {_SCORED} GROUP BY 1", "totals", "u")),
+    "centre_distances": (lambda t: ml.centre_distances(_scored(t), _NUMBERS, "subscription_type"), _with(sql("SELECT a.g AS first, b.g AS second, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM m a JOIN m b ON a.g < b.g", "totals", "u"), f"m AS (SELECT subscription_type AS g, avg(total_interactions) AS x, avg(days_active) AS y FROM {_SCORED} GROUP BY 1)")),
+    "centre_drift": (lambda t: ml.centre_drift(_scored(t).filter("device_type = 'iPad'"), _scored(t), _NUMBERS, "subscription_type"), _with(sql("SELECT subscription_type, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS drift FROM m a JOIN b USING (subscription_type)", "totals", "u"), f"m AS (SELECT subscription_type, avg(total_interactions) AS x, avg(days_active) AS y FROM {_SCORED} WHERE device_type = 'iPad' GROUP BY 1),\nb AS (SELECT subscription_type, avg(total_interactions) AS x, avg(days_active) AS y FROM {_SCORED} GROUP BY 1)")),
+    "forecast_errors": (lambda t: ml.forecast_errors(ml.retention_pivot(t.coh), "week_2", "week_1", "cohort_size", 24, 27), _with(sql("SELECT CASE WHEN cohort_size < 24 THEN 'small' WHEN cohort_size < 27 THEN 'medium' ELSE 'large' END AS cohorts, count(*) AS n, round(sqrt(avg((week_1 - week_2) ** 2)), 6) AS rmse, round(avg(week_1 - week_2), 6) AS bias, round(avg(((week_1 > m) = (week_2 > m))::INT), 6) AS directional_accuracy, round((sqrt(avg((m - week_2) ** 2)) - sqrt(avg((week_1 - week_2) ** 2))) / nullif(sqrt(avg((m - week_2) ** 2)), 0), 6) AS gain_over_mean FROM (SELECT *, avg(week_2) OVER () AS m FROM pivot_) GROUP BY 1", "coh"), _PIVOT)),
+    "forecast_rows": (lambda t: ml.usable(ml.retention_pivot(retention.cohort_retention(t.i, t.u, periods=9), 9))[0].select("cohort_week", "week_4", "week_8"), _with(sql("SELECT cohort_week, week_4, week_8 FROM pivot_ WHERE week_0 IS NOT NULL AND week_1 IS NOT NULL AND week_2 IS NOT NULL AND week_4 IS NOT NULL AND week_8 IS NOT NULL", "coh"), _PIVOT)),
+    "feature_stats": (lambda t: _rounded(ml.feature_stats(_scored(t), *_NUMBERS), total_interactions_mean=6, total_interactions_stddev=6, days_active_mean=6, days_active_stddev=6), sql(f"SELECT round(avg(total_interactions), 6) AS total_interactions_mean, round(stddev_samp(total_interactions), 6) AS total_interactions_stddev, round(avg(days_active), 6) AS days_active_mean, round(stddev_samp(days_active), 6) AS days_active_stddev FROM {_SCORED}", "totals", "u")),
+    "feature_drift": (lambda t: ml.feature_drift(t.dau.select(F.col("date").alias("run_date"), "daily_active_users"), "daily_active_users"), sql("SELECT date AS run_date, daily_active_users, coalesce(abs(daily_active_users - avg(daily_active_users) OVER w) > 2 * stddev_samp(daily_active_users) OVER w, false) AS drifted FROM dau WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING)", "dau")),
+    "detection_rate": (lambda t: ml.detection_rate(t.anom, t.events, "event_type"), sql("SELECT event_type, count(*) AS rows, count(a.event_id) AS flagged, round(count(a.event_id) / count(*), 6) AS rate FROM events e LEFT JOIN (SELECT event_id FROM anom) a USING (event_id) GROUP BY 1", "anom")),
+    "psi": (lambda t: ml.psi(t.events.filter("event_id % 2 = 0"), t.events.filter("event_id % 2 = 1"), "event_type"), "SELECT round(sum((a - e) * ln(a / e)), 6) AS psi FROM (SELECT event_type, count(*) FILTER (event_id % 2 = 0) / (SELECT count(*) FROM events WHERE event_id % 2 = 0) AS e, count(*) FILTER (event_id % 2 = 1) / (SELECT count(*) FROM events WHERE event_id % 2 = 1) AS a FROM events GROUP BY 1)"),
+    "join_explicit_hot": (lambda t: joins.optimized_join(_lines(t), _suppliers(t), "s_suppkey", "left", hot=joins.hot_keys(_lines(t), "s_suppkey", 0.9)), f"SELECT {_LINES} FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey"),
+    "join_detected_hot": (lambda t: joins.optimized_join(_lines(t), _suppliers(t), "s_suppkey", "inner", enable_broadcast=False, skew_percentile=0.9), f"SELECT {_LINES} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
+    "join_right": (lambda t: joins.optimized_join(_lines(t).filter("s_suppkey > 3"), _suppliers(t), "s_suppkey", "right", enable_broadcast=False), f"SELECT {_LINES} FROM (SELECT * FROM lineitem WHERE l_suppkey > 3) RIGHT JOIN supplier ON l_suppkey = s_suppkey"),
+    "join_full": (lambda t: joins.salted_join(_lines(t).filter("s_suppkey > 3"), _suppliers(t).filter("s_suppkey < 8"), "s_suppkey", joins.hot_keys(_lines(t), "s_suppkey", 0.9), "full"), "SELECT l_orderkey, l_linenumber, coalesce(l_suppkey, s_suppkey) AS s_suppkey, s_name FROM (SELECT * FROM lineitem WHERE l_suppkey > 3) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey < 8) ON l_suppkey = s_suppkey"),
+    "csv_round_trip": (_csv, sql("SELECT * FROM u", "u")),
+    "parquet_by_date": (_by_date, sql("SELECT *, CAST(timestamp AS DATE) AS date FROM \"full\" WHERE CAST(timestamp AS DATE) = DATE '2024-01-05'", "full")),
+    "jdbc_table": (lambda t: _named(jdbc.read_table(t.spark, "accounts", column="ID", lower=0, upper=2000, num_partitions=3, at=_database(t))), "SELECT c_custkey AS id, c_acctbal::DOUBLE AS balance, c_nationkey::INT AS nation FROM customer UNION ALL SELECT c_custkey, c_acctbal::DOUBLE, c_nationkey::INT FROM customer WHERE c_nationkey = 3"),
+    "jdbc_query": (lambda t: _named(jdbc.read_query(t.spark, "SELECT * FROM accounts WHERE \"NATION\" < 5;", _database(t))), "SELECT c_custkey AS id, c_acctbal::DOUBLE AS balance, c_nationkey::INT AS nation FROM customer WHERE c_nationkey < 5 UNION ALL SELECT c_custkey, c_acctbal::DOUBLE, c_nationkey::INT FROM customer WHERE c_nationkey = 3"),
+    "jdbc_count": (lambda t: t.spark.createDataFrame([(jdbc.row_count(t.spark, "accounts", _database(t)),)], "n long"), "SELECT count(*) + count(*) FILTER (c_nationkey = 3) AS n FROM customer"),
+    "validation_warnings": (_validated, "SELECT c || ' has ' || n || ' nulls' AS warning FROM (SELECT count(*) FILTER (quality IS NULL) AS q, count(*) FILTER (toxic IS NULL) AS x FROM documents LEFT JOIN labels USING (doc_id)) UNPIVOT (n FOR c IN (q AS quality, x AS toxic)) WHERE n > 0"),
+    "schema_errors": (_schema_errors, "SELECT unnest(['missing column: page_id', 'duration_ms is bigint, not int', 'unexpected column: more']) AS error"),
+    "observed_counts": (_observed, sql("SELECT count(*) AS rows, count(*) FILTER (user_id IS NULL) AS null_user_id, count(*) FILTER (country IS NULL) AS null_country, count(*) FILTER (duration_ms < 0) AS negative_duration_ms FROM \"full\"", "full")),
+    "accumulated_errors": (_accumulated, "SELECT count(quality) AS records, count(*) - count(quality) AS skipped, count(*) - count(quality) AS null_quality FROM documents LEFT JOIN labels USING (doc_id)"),
+    "job_process": (lambda t: jobs.process(t.i, t.u)["enriched_interactions"].drop("processing_timestamp"), sql('SELECT *, CAST(timestamp AS DATE) AS date FROM "full"', "full")),
+    "job_engagement": (lambda t: jobs.engage(t.full)["daily_active_users"], sql("SELECT * FROM dau", "dau")),
+    "job_performance": (lambda t: _rounded(jobs.perform(t.full)["device_correlation"], f_statistic=6, eta_squared=9), sql("SELECT * REPLACE (round(f_statistic, 6) AS f_statistic, round(eta_squared, 9) AS eta_squared) FROM corr", "corr")),
+    "job_sessions": (lambda t: jobs.sessionize(t.full, run_date=RUN_DATE)["session_metrics"], sql("SELECT session_id, user_id, session_start_time, session_end_time, session_duration_ms, action_count AS actions_count, avg_action_duration_ms, is_bounce::INT AS is_bounce, device_type, country FROM s", "s", gap=600)),
+    "summary_engagement": (lambda t: jobs.dau_summary(t.dau).crossJoin(F.broadcast(jobs.retention_summary(t.coh))), sql("SELECT avg(daily_active_users) AS avg_dau, max(daily_active_users) AS max_dau, min(daily_active_users) AS min_dau, any_value(w0) AS w0, any_value(w12) AS w12 FROM dau, (SELECT round(avg(retention_rate) FILTER (week_number = 0), 9) AS w0, round(avg(retention_rate) FILTER (week_number = 12), 9) AS w12 FROM coh)", "dau", "coh")),
+    "summary_countries": (lambda t: jobs.distribution(t.freq, "country", 5), sql("SELECT country, count(*) AS n FROM freq GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", "freq")),
+    "summary_return": (lambda t: jobs.return_rate(t.freq), sql("SELECT count(*) FILTER (total_sessions > 1) AS return_users, round(count(*) FILTER (total_sessions > 1) * 100.0 / count(*), 2) AS return_rate FROM freq", "freq")),
+    "summary_actions": (lambda t: jobs.distribution(t.i, "action_type"), sql("SELECT action_type, count(*) AS n FROM i GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "i")),
+    "percentile_anomalies": (lambda t: ml.percentile_anomalies(t.perf, "app_version", AS_OF, "1"), None),
+    "segment_profiles": (lambda t: ml.segment_tables(ml.segments(ml.segment_features(t.freq, t.power, t.u)), t.s, AS_OF, "1")[1], None),
+    "user_churn_scores": (lambda t: ml.churn_table(ml.churn(ml.churn_features(t.s, t.u)).scores, AS_OF, "1"), None),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in QUERIES.items()}
 

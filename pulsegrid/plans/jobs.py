@@ -49,6 +49,9 @@ def engage(enriched: DataFrame) -> dict[str, DataFrame]:
 
 
 def perform(enriched: DataFrame, z: float = 3.0) -> dict[str, DataFrame]:
+    """Null required values are logged, not dropped; a missing column raises."""
+    for warning in checks.validate(enriched, ["user_id", "timestamp", "duration_ms", "app_version", "device_type"], ["duration_ms", "app_version"]):
+        log.warning("performance: %s", warning)
     by_version = performance.named_percentiles(enriched.withColumn("metric_date", F.to_date("timestamp")), "duration_ms", ["app_version", "metric_date"])
     return {
         "performance_by_version": by_version,
@@ -78,6 +81,11 @@ def dau_summary(dau: DataFrame) -> DataFrame:
     return dau.agg(F.avg("daily_active_users").alias("avg_dau"), F.max("daily_active_users").alias("max_dau"), F.min("daily_active_users").alias("min_dau"))
 
 
+def retention_summary(cohorts: DataFrame) -> DataFrame:
+    at = lambda w: F.round(F.avg(F.when(F.col("week_number") == w, F.col("retention_rate"))), 9).alias(f"w{w}")
+    return cohorts.agg(at(0), at(12))
+
+
 def anova_summary(correlation: DataFrame) -> DataFrame:
     return correlation.agg(F.first("f_statistic").alias("f_statistic"), F.first("eta_squared").alias("eta_squared")).withColumn("effect", effect_size(F.col("eta_squared")))
 
@@ -90,17 +98,38 @@ def return_rate(frequency: DataFrame) -> DataFrame:
     return frequency.agg(F.count_if(F.col("total_sessions") > 1).alias("return_users"), F.round(F.try_divide(F.count_if(F.col("total_sessions") > 1) * 100.0, F.count(F.lit(1))), 2).alias("return_rate"))
 
 
+#: job: title, the table that it is about, and how it is summed up
+SUMMARIES = {
+    "process": [("actions", "enriched_interactions", lambda df: distribution(df, "action_type")), ("devices", "enriched_interactions", lambda df: distribution(df, "device_type"))],
+    "engagement": [("daily active users", "daily_active_users", dau_summary), ("retention", "cohort_retention", retention_summary)],
+    "performance": [("devices", "device_correlation", anova_summary), ("anomalies", "performance_anomalies", lambda df: distribution(df, "severity"))],
+    "sessions": [("lengths", "session_metrics", session_lengths), ("countries", "session_frequency", lambda df: distribution(df, "country", 5)), ("return", "session_frequency", return_rate)],
+}
+
+
+def summarize(job: str, tables: dict[str, DataFrame]) -> list[str]:
+    """Lines of the job's summary; every table in it has a few rows."""
+    lines = []
+    for title, table, f in SUMMARIES[job]:
+        for row in f(tables[table]).collect():
+            lines.append(f"{job}, {title}: " + ", ".join(f"{k} {v}" for k, v in row.asDict().items()))
+    return lines
+
+
 # --- command line ----------------------------------------------------------------------------------
 
 JOBS = {"engagement": engage, "performance": perform, "sessions": sessionize}
 PROFILE = {"process": "etl"}
 
 
-def _run(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
+def _run(spark: SparkSession, args: argparse.Namespace) -> tuple[dict[str, DataFrame], list[monitoring.Observation]]:
+    """The job's tables, and what its inputs show when an action has run over them."""
     if args.job == "process":
-        a = files.read_csv(spark, args.interactions, schema.INTERACTIONS)
-        return process(a, files.read_csv(spark, args.metadata, schema.USERS))
-    return JOBS[args.job](files.read_parquet(spark, args.input))
+        a, seen = monitoring.observed(files.read_csv(spark, args.interactions, schema.INTERACTIONS), schema.not_null(schema.INTERACTIONS), ["duration_ms"])
+        return process(a, files.read_csv(spark, args.metadata, schema.USERS)), [seen]
+    df, seen = monitoring.observed(files.read_parquet(spark, args.input), ["user_id", "timestamp"], ["duration_ms"])
+    df.agg(F.count(F.lit(1))).collect()  # fills the observation in one pass over its columns; tables then read what they need
+    return JOBS[args.job](files.read_parquet(spark, args.input)), [seen]
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -110,20 +139,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name in ("interactions", "metadata", "input", "output"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--to-database", action="store_true")
+    parser.add_argument("--dev-mode", action="store_true", help="log a summary of the tables")
+    parser.add_argument("--profile", default="standard", choices=monitoring.PROFILES)
     parser.add_argument("--size-gb", type=float, default=1.0)
     args = parser.parse_args(argv)
     own = spark is None
     spark = spark or session.create_session(f"pulsegrid-{args.job}")
+    how = monitoring.profile(args.profile)
     try:
         session.configure_job(spark, PROFILE.get(args.job, "analytics"), args.size_gb)
         ctx = monitoring.context(spark.sparkContext, args.job)
-        tables = _run(spark, args)
+        tables, seen = _run(spark, args)
+        if args.dev_mode:
+            for line in summarize(args.job, tables):
+                log.info(line)
         if args.to_database:
             jdbc.write_tables(tables, TABLES)
         if args.output:
             chosen = {k: v for k, v in tables.items() if k not in schema.STAGING_TABLES}
             files.write_tables(chosen, args.output, {"enriched_interactions": ["date"]})
-        log.info(monitoring.summary(ctx))
+        if args.dev_mode or args.to_database or args.output or args.job != "process":  # else no action has read the input
+            for x in seen:
+                monitoring.record(ctx, x, how)
+        log.info(monitoring.summary(ctx, how["skew_threshold"]))
         return 0
     except Exception:
         log.exception("job %s failed", args.job)

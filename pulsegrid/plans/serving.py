@@ -12,6 +12,16 @@ def since(df: DataFrame, col: str, as_of: str, days: int) -> DataFrame:
     return df.filter(F.col(col) >= F.date_sub(F.lit(as_of).cast("date"), days))
 
 
+def filtered(df: DataFrame, time: str | None = None, as_of: str | None = None, days: int = 30, **chosen) -> DataFrame:
+    """A dashboard's filters on one of its tables: the last ``days`` by the column ``time``, and for each named column a value or several. None chooses all."""
+    if time is not None:
+        df = since(df, time, as_of, days)
+    for column, value in chosen.items():
+        if value is not None:
+            df = df.filter(F.col(column).isin(*value) if isinstance(value, list | tuple | set) else F.col(column) == value)
+    return df
+
+
 def dau_series(dau: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     return since(dau, "date", as_of, days).select("date", F.col("daily_active_users").alias("dau"), "total_interactions").orderBy("date")
 
@@ -76,6 +86,20 @@ def retention_kpi(cohorts: DataFrame, plateau: int = 7) -> DataFrame:
     return cohorts.agg(at(F.col("week_number") == 0).alias("w0_pct"), at(F.col("week_number") == 1).alias("w1_pct"), at(F.col("week_number") >= plateau).alias("plateau_pct"))
 
 
+def retention_top_countries(by_segment: DataFrame, top: int = 5) -> DataFrame:
+    """The average curve of each of the countries with the most users; ties by name."""
+    rows = by_segment.filter("segment_type = 'country'")
+    most = rows.filter("week_number = 0").groupBy("segment_value").agg(F.sum("cohort_size").alias("users")).orderBy(F.desc("users"), "segment_value").limit(top)
+    kept = rows.join(F.broadcast(most.select("segment_value")), "segment_value", "left_semi")
+    return kept.groupBy("week_number", F.col("segment_value").alias("country")).agg(F.round(F.avg("retention_rate") * 100, 1).alias("avg_retention_pct"))
+
+
+def anomaly_consensus(z_scores: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Both methods' anomalies in one table: app_version, metric_date, method and signal (a severity, or a distance)."""
+    a = z_scores.select("app_version", "metric_date", F.lit("z_score").alias("method"), F.col("severity").alias("signal"))
+    return a.unionByName(clusters.select("app_version", "metric_date", F.lit("kmeans").alias("method"), F.round("centroid_distance", 2).cast("string").alias("signal")))
+
+
 def hours_by_subscription(power: DataFrame) -> DataFrame:
     return power.groupBy("subscription_type").agg(F.round(F.avg("hours_spent"), 9).alias("avg_hours"), F.count(F.lit(1)).alias("user_count"))
 

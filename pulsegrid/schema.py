@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType, TimestampType
 
+# The inputs' columns and the metric tables' names.
 INTERACTIONS = StructType(
     [
         StructField("user_id", StringType(), False),

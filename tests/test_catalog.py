@@ -52,8 +52,8 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = catalog.queries()["hot_keys"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<l_suppkey:bigint>" in plan
+    plan = catalog.queries()["summary_actions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_type:string>" in plan
     plan = spark.read.parquet(f"{SF}/orders.parquet").filter("o_custkey = 5").select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,5)]" in plan
 

@@ -119,7 +119,7 @@ def test_monitoring(spark):
     df, seen = monitoring.observed(spark.createDataFrame([("a", -1), (None, 1)], "u string, n int"), ["u"], ["n"])
     df.collect()
     assert seen.get == {"rows": 2, "null_u": 1, "negative_n": 1}
-    assert monitoring.profile("none") == monitoring.profile("standard") and monitoring.profile("strict")["fail_on_error"]
+    assert monitoring.profile("none") == monitoring.profile("standard") and monitoring.profile("strict")["fail_on_errors"]
     found = monitoring.with_monitoring("x")(lambda s, ctx=None: ctx.job)(spark)
     assert found == "x"
     assert monitoring.partition_sizes(spark.range(10).repartition(2)).head().partitions == 2
