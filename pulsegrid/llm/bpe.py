@@ -21,7 +21,7 @@ import os
 import re
 import uuid
 from collections import Counter
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -132,11 +132,14 @@ def merge_pairs(slots: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarra
     from a merge always ranks after it, so a piece's pairs of its lowest rank can be merged in one round.
     """
     keys, ranks, made = slots
-    piece = np.repeat(np.arange(len(size)), size)
     none, mask = np.iinfo(np.int32).max, len(keys) - 1
-    pieces, found_ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(ids):
-        key = ids[:-1] << 17 | ids[1:]
+    piece, ids = np.repeat(np.arange(len(size), dtype=np.int32), size), ids.astype(np.int64)
+    if not len(ids):
+        return ids, np.zeros(len(size), np.int64)
+
+    def look(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and place in the table of the pairs that begin at ``p``."""
+        key = ids[p] << 17 | ids[p + 1]
         at = (key * 0x9E3779B1 >> 13) & mask
         found = keys[at]
         miss = np.flatnonzero((found != key) & (found >= 0))
@@ -144,23 +147,38 @@ def merge_pairs(slots: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarra
             at[miss] = (at[miss] + 1) & mask
             found[miss] = here = keys[at[miss]]
             miss = miss[(here != key[miss]) & (here >= 0)]
-        new = np.r_[True, piece[1:] != piece[:-1]]
-        rank = np.append(np.where(~new[1:] & (found == key), ranks[at], none), none)
-        starts = np.flatnonzero(new)
+        return np.where((piece[p] == piece[p + 1]) & (found == key), ranks[at], none), at
+
+    rank, slot = np.full(len(ids), none, np.int32), np.zeros(len(ids), np.int32)
+    p = np.arange(len(ids) - 1)
+    rank[:-1], slot[:-1] = look(p)
+    pieces, found_ids = [], []
+    while len(ids):
+        starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
         count = np.diff(np.r_[starts, len(ids)])
         least = np.minimum.reduceat(rank, starts)
-        live = np.repeat(least < none, count)
-        pieces.append(piece[~live])
-        found_ids.append(ids[~live])
-        mark = live & (rank == np.repeat(least, count))
+        keep = np.repeat(least < none, count)
+        if not keep.all():
+            pieces.append(piece[~keep])
+            found_ids.append(ids[~keep])
+        mark = rank == np.repeat(np.where(least < none, least, -1), count)
         if (mark[1:] & mark[:-1]).any():  # of pairs that overlap in a run, every second
             first = mark & ~np.r_[False, mark[:-1]]
             run = np.flatnonzero(first)[np.maximum(np.cumsum(first) - 1, 0)]
             mark &= (np.arange(len(ids)) - run) % 2 == 0
         hit = np.flatnonzero(mark)
-        ids[hit] = made[at[hit]]
-        live[hit + 1] = False
-        ids, piece = ids[live], piece[live]
+        ids[hit] = made[slot[hit]]
+        keep[hit + 1] = False
+        place = np.cumsum(keep)[hit] - 1  # of what was merged, once the rest has gone
+        ids, piece, rank, slot = ids[keep], piece[keep], rank[keep], slot[keep]
+        if not len(ids):
+            break
+        # only pairs with something new need another look
+        new = np.zeros(len(ids) + 1, bool)
+        new[place] = new[place - 1] = True  # before the first: the one past the last
+        rank[-1] = none
+        p = np.flatnonzero(new[: len(ids) - 1])
+        rank[p], slot[p] = look(p)
     piece = np.concatenate(pieces)
     return np.concatenate(found_ids)[np.argsort(piece, kind="stable")], np.bincount(piece, minlength=len(size))
 
@@ -321,17 +339,18 @@ def word_counts(docs: DataFrame, vocab_path: str) -> DataFrame:
         cut, counts = vocabulary(vocab_path).cut, Counter()
 
         def rows():
-            keys = [k.encode() for k in counts]
-            for lo in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 50_000], pa.binary()), pa.array(list(counts.values())[lo : lo + 50_000], pa.int64())], names=["word", "n"])
+            found = iter(counts.items())
+            while some := list(islice(found, 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                if t := text.as_py():
-                    counts.update(words(t, cut))
-            if len(counts) > 400_000:
-                yield from rows()
-                counts.clear()
+            for part in runs(batch, 0):
+                for text in part.column(0):
+                    if t := text.as_py():
+                        counts.update(words(t, cut))
+                if len(counts) > 400_000:
+                    yield from rows()
+                    counts.clear()
         yield from rows()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))

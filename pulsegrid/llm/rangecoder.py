@@ -25,7 +25,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import struct
 import zlib
 
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.bpe import MARKED, byte_letters, laid, merge_pairs, numbered, table_of
+from pulsegrid.llm.bpe import MARKED, byte_letters, laid, merge_pairs, table_of
 from pulsegrid.llm.common import runs, small, split_words, stored, text_bytes
 
 MAGIC, VERSION, IDS, FILE_BYTES = b"PGTK", 2, 4096, 12_000_000
@@ -279,9 +278,10 @@ def read_file(b: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(names, null, strict=True)], lengths, ids
 
 
-# The vocabulary's pre-tokenizer on lower-case words of printable ASCII and marked Latin-1 letters, which newlines part.
-_PIECES = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _PLAIN = f"^[!-~{MARKED}]+$"
+_LETTER, _DIGIT, _OTHER = 0, 1, 2
+# What may follow an apostrophe as a piece with it.
+_CLITICS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 WORD_END = "</w>"
 
 
@@ -294,6 +294,31 @@ def _tokenizer(path: str) -> Tokenizer:
     return found
 
 
+def split_pieces(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces begin in lower-case plain words, which end at ``ends``.
+
+    The vocabulary's pre-tokenizer in arrays: runs of letters, single digits, runs of anything else; an apostrophe that begins such a
+    run is a piece with what follows it if that is one of the clitics.
+    """
+    n = len(raw)
+    kind = np.full(256, _OTHER, np.uint8)
+    kind[ord("a") : ord("z") + 1], kind[ord("0") : ord("9") + 1], kind[128:] = _LETTER, _DIGIT, _LETTER  # marked letters have two high bytes
+    k = kind[raw]
+    first = np.zeros(n + 1, bool)
+    first[np.r_[0, ends[:-1]]] = True
+    new = first[:n] | np.r_[True, k[1:] != k[:-1]] | (k == _DIGIT)
+    left = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(n)  # bytes of the word from here
+    mark = np.flatnonzero(new & (raw == ord("'")))
+    for clitic in _CLITICS:
+        fits = mark[left[mark] > len(clitic)]
+        for j, c in enumerate(clitic, 1):
+            fits = fits[raw[fits + j] == c]
+        new[fits + 1] = False
+        after = fits + 1 + len(clitic)
+        new[after[(after < n)]] = True
+    return np.flatnonzero(new)
+
+
 class WordEncoder:
     """The library's ids word by word: this vocabulary's rules never look across ASCII white space.
 
@@ -316,11 +341,15 @@ class WordEncoder:
         """The ids of all texts end to end, each with ``end`` after it, and how many each text has."""
         codes, sizes, words = split_words(texts, lower=False)
         plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
-        simple, other = words.filter(plain).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
-        pieces, distinct = numbered(_PIECES.findall("\n".join(simple).lower()))
-        raw = [p.encode() for p in distinct.to_pylist()]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        raw = np.frombuffer(b"".join(raw), np.uint8)
+        simple, other = pc.utf8_lower(words.filter(plain)), words.filter(pc.invert(plain)).to_pylist()
+        text = np.frombuffer(simple.buffers()[2] or b"", np.uint8)[: int(pc.sum(pc.binary_length(simple)).as_py() or 0)]
+        ends = np.cumsum(pc.binary_length(simple).to_numpy(zero_copy_only=False).astype(np.int64))
+        starts = split_pieces(text, ends) if len(text) else np.zeros(0, np.int64)
+        offsets = np.r_[starts, len(text)].astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))).dictionary_encode()
+        pieces, distinct = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces.dictionary
+        size = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[: int(size.sum())]
         ids, last = self.inner[raw], np.cumsum(size) - 1
         ids[last] = self.last[raw[last]]
         merged, size = merge_pairs(self.slots, ids, size)
@@ -328,12 +357,11 @@ class WordEncoder:
         # entries: the distinct pieces, the library's words, the end; a word is a run of entries
         flat = np.concatenate([merged, *found, [end]])
         size = np.r_[size, np.array([len(x) for x in found], np.int64), 1]
-        mark = pc.index(distinct, "\n").as_py() if simple else -1
-        cut = np.r_[-1, np.flatnonzero(pieces == mark), len(pieces)] if simple else np.zeros(1, np.int64)
         entries = np.r_[pieces, np.arange(len(distinct), len(size))]
         first, count = np.zeros(len(words) + 1, np.int64), np.ones(len(words) + 1, np.int64)
         plain = np.r_[plain.to_numpy(zero_copy_only=False), False]
-        first[plain], count[plain] = cut[:-1] + 1, np.diff(cut) - 1
+        upto = np.searchsorted(starts, np.r_[0, ends])  # pieces before each word
+        first[plain], count[plain] = upto[:-1], np.diff(upto)
         first[~plain] = len(pieces) + np.arange(len(other) + 1)
         sequence = np.insert(codes, np.cumsum(sizes), len(words))
         ids = flat[laid(np.cumsum(size) - size, size, entries[laid(first, count, sequence)])]
