@@ -39,12 +39,12 @@ from tokenizers import Tokenizer
 from pulsegrid.llm.bpe import MARKED, byte_letters, laid, merge_pairs, table_of
 from pulsegrid.llm.common import runs, small, split_words, stored, text_bytes
 
-MAGIC, VERSION, IDS, FILE_BYTES = b"PGTK", 2, 4096, 12_000_000
-SLOTS1, SLOTS2, NONE = 2048, 4096, 65535  # entries of the context tables of a block; ids are below NONE
+MAGIC, VERSION, IDS, FILE_BYTES = b"PGTK", 2, 2048, 12_000_000
+SLOTS1, SLOTS2, NONE = 1024, 2048, 65535  # entries of the context tables of a block; ids are below NONE
 MIX, ZERO, RATE = 12, 16, 5  # bits of the weights and of order 0's distribution; how slowly weights are learned
 _U = np.uint64
 #: what an entry keeps above its id: how often the expectation held, after (times, held again?), at most three
-_NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int64) << 16
+_NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int64)
 #: weights of 4096 at the start of a block; an empty entry has none
 START2, START1, _HELD = (0, 1100, 2200, 3000), (0, 600, 1200, 1800), 4064
 
@@ -78,8 +78,11 @@ class _Model:
     def __init__(self, n: int, zero: _Zero):
         self.zero, row = zero, np.arange(n, dtype=np.int64)
         self.row1, self.row2, self.row4 = row * SLOTS1, row * SLOTS2, row * 4
-        self.t1 = np.full(n * SLOTS1, zero.none, np.int32)
-        self.t2 = np.full(n * SLOTS2, zero.none, np.int32)
+        # an entry is an id and two bits above it, in 16 bits where all ids fit
+        self.bits, kind = (14, np.uint16) if zero.none < 1 << 14 else (16, np.int32)
+        self.low, self.next = (1 << self.bits) - 1, _NEXT << self.bits
+        self.t1 = np.full(n * SLOTS1, zero.none, kind)
+        self.t2 = np.full(n * SLOTS2, zero.none, kind)
         self.a1, self.a2 = np.tile(np.array(START1, np.int64), n), np.tile(np.array(START2, np.int64), n)
         self.p1 = self.p2 = np.zeros(n, np.int64)
 
@@ -91,7 +94,7 @@ class _Model:
         self.i1 = self.row1 + (p1 & (SLOTS1 - 1))
         self.i2 = self.row2 + ((p1 * 40503 + self.p2 * 10368889 >> 7) & (SLOTS2 - 1))
         e1, e2 = self.t1.take(self.i1).astype(np.int64), self.t2.take(self.i2).astype(np.int64)
-        self.g1, self.g2, self.k1, self.k2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
+        self.g1, self.g2, self.k1, self.k2 = e1 & self.low, e2 & self.low, e1 >> self.bits, e2 >> self.bits
         self.j1, self.j2 = self.row4 + self.k1, self.row4 + self.k2
         self.x2, self.own1 = self.a2.take(self.j2), self.a1.take(self.j1)
         left = (1 << MIX) - self.x2
@@ -131,8 +134,8 @@ class _Model:
     def learn(self, s: np.ndarray) -> None:
         self.a2[self.j2] = self.x2 + (self.hit2 * _HELD - self.x2 >> RATE)
         self.a1[self.j1] = self.own1 + (self.hit1 * _HELD - self.own1 >> RATE)
-        self.t1[self.i1] = s | _NEXT.take(self.k1 * 2 + self.hit1)
-        self.t2[self.i2] = s | _NEXT.take(self.k2 * 2 + self.hit2)
+        self.t1[self.i1] = s | self.next.take(self.k1 * 2 + self.hit1)
+        self.t2[self.i2] = s | self.next.take(self.k2 * 2 + self.hit2)
         self.p2, self.p1 = self.p1, s
 
 
