@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pulsegrid.llm.common import block_count, dealt, release, split_words, stored
+from pulsegrid.llm.common import block_count, dealt, release, spared, split_words, stored
 
 K, BLOCK_BYTES = 5, 12_000_000
 END, BOS, UNKNOWN, FIRST = b"\n", 2, 0, 3
@@ -368,9 +368,9 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     def encode(left: pa.Table, right: pa.Table) -> pa.Table:
         return _encode(left, right, left.column("block")[0].as_py(), n, wide)
 
-    counted = src.groupBy("block").applyInArrow(ask, PART).groupBy("bucket").applyInArrow(count, PART)
+    counted = src.groupBy("block").applyInArrow(spared(ask), PART).groupBy("bucket").applyInArrow(spared(count), PART)
     replies = counted.filter(F.col("kind") == REPLY)
-    encoded = src.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(encode, wide)
+    encoded = src.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(spared(encode), wide)
     words = stored(encoded.unionByName(counted.filter(F.col("kind").isin(VOCAB, STATS)), allowMissingColumns=True), "katz-words", ("kind",))
     release(spark)
     level1 = _total(words, STATS)
@@ -392,7 +392,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     def count_pairs(t: pa.Table) -> pa.Table:
         return _count_pairs(t, t.column("bucket")[0].as_py(), n)
 
-    pairs = stored(blocks.mapInArrow(ask_pairs, PART).groupBy("bucket").applyInArrow(count_pairs, PART), "katz-pairs", ("kind",))
+    pairs = stored(blocks.mapInArrow(ask_pairs, PART).groupBy("bucket").applyInArrow(spared(count_pairs), PART), "katz-pairs", ("kind",))
     release(spark)
     levels = Levels(level1, _total(pairs, STATS))
 
@@ -407,6 +407,6 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         ids = left.column("doc_id").combine_chunks().flatten()
         return pa.table([ids, pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array([levels.tokens] * len(size), pa.int64()), pa.array(base), pa.array(p)], names=out.names)
 
-    answers = pairs.filter(F.col("kind").isin(SUMS, ASK)).groupBy("bucket").applyInArrow(params, PART)
+    answers = pairs.filter(F.col("kind").isin(SUMS, ASK)).groupBy("bucket").applyInArrow(spared(params), PART)
     answers = answers.unionByName(pairs.filter(F.col("kind") == REPLY).select(*NAMES))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(final, out)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spared(final), out)

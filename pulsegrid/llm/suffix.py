@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from pulsegrid.llm.common import block_count, dealt, fresh
+from pulsegrid.llm.common import block_count, dealt, fresh, spared
 
 LENGTH, GRAM, BLOCK_BYTES = 200, 64, 4_000_000
 #: Windows that are worked on together; a place within a piece has 20 bits.
@@ -341,13 +341,13 @@ def _run(docs: DataFrame, length: int, finish, schema: StructType) -> DataFrame:
         x, spans = _cut(left, right, length)
         return finish(left, x, spans)
 
-    asked = by_block(blocked).applyInArrow(ask, PART)
+    asked = by_block(blocked).applyInArrow(spared(ask), PART)
     own = asked.filter(F.col("kind") == SPANS)
-    answers = asked.filter(F.col("kind") != SPANS).groupBy("bucket").applyInArrow(answer, PART)
-    refined = by_block(blocked).cogroup(by_block(answers)).applyInArrow(refine, PART)
-    settled = refined.filter(F.col("kind") == WINDOW).groupBy("bucket").applyInArrow(settle, PART)
+    answers = asked.filter(F.col("kind") != SPANS).groupBy("bucket").applyInArrow(spared(answer), PART)
+    refined = by_block(blocked).cogroup(by_block(answers)).applyInArrow(spared(refine), PART)
+    settled = refined.filter(F.col("kind") == WINDOW).groupBy("bucket").applyInArrow(spared(settle), PART)
     spans = own.unionByName(refined.filter(F.col("kind") == SPANS)).unionByName(settled)
-    return by_block(blocked).cogroup(by_block(spans)).applyInArrow(end, schema)
+    return by_block(blocked).cogroup(by_block(spans)).applyInArrow(spared(end), schema)
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import block_count, dealt, release, split_words, stored
+from pulsegrid.llm.common import block_count, dealt, release, spared, split_words, stored
 from pulsegrid.llm.components import components
 from pulsegrid.llm.suffix import PART, _by_block, _deal, _mix, _parts, _read
 
@@ -461,9 +461,9 @@ def links(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         pair = np.unique(np.stack([a, b]), axis=1)
         return pa.table([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
-    answers = blocked.groupBy("block").applyInArrow(ask, PART).groupBy("bucket").applyInArrow(answer, PART)
-    found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(passages, PART)
-    return found.groupBy("bucket").applyInArrow(link, PART).groupBy("bucket").applyInArrow(distinct, "a long, b long")
+    answers = blocked.groupBy("block").applyInArrow(spared(ask), PART).groupBy("bucket").applyInArrow(spared(answer), PART)
+    found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spared(passages), PART)
+    return found.groupBy("bucket").applyInArrow(spared(link), PART).groupBy("bucket").applyInArrow(spared(distinct), "a long, b long")
 
 
 def passage_classes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
