@@ -222,26 +222,38 @@ def _answer(table: pa.Table, bucket: int) -> pa.Table:
     return _parts(_by_block(KEY, bucket, block[at], key[at], same[run][at].astype(np.uint8)))
 
 
-def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the same sets: each document and the least that it is connected with."""
-    pair = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    root: dict[int, int] = {}
+class Sets:
+    """Which documents are connected; a set's name is its least document."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
 
-    def top(x: int) -> int:
+    def top(self, x: int) -> int:
+        root = self.root
         while (y := root.setdefault(x, x)) != x:
             root[x] = root[y]
             x = root[x]
         return x
 
-    for x, y in zip(*pair.tolist(), strict=True):
-        x, y = top(x), top(y)
-        root[max(x, y)] = min(x, y)
-    found = [(top(x), x) for x in root if top(x) != x]
-    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        pair = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        for x, y in zip(*pair.tolist(), strict=True):
+            x, y = self.top(x), self.top(y)
+            self.root[max(x, y)] = min(x, y)
+
+    def star(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links that span the sets: each least document with every other of its set."""
+        found = [(self.top(x), x) for x in self.root if self.top(x) != x]
+        return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sets = Sets()
+    sets.join(a, b)
+    return sets.star()
 
 
-def _edges(buckets: int, block: int, a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple]:
-    x, y = _star(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+def _edges(buckets: int, block: int, x: np.ndarray, y: np.ndarray) -> list[tuple]:
     key = _mix(x.astype(np.uint64), y.astype(np.uint64))
     return [(EDGE, u, block, n, data) for _, u, _, n, data in _deal(EDGE, block, buckets, key, x.astype("<i8"), y.astype("<i8"))]
 
@@ -315,7 +327,7 @@ def _passages(table: pa.Table, answers: pa.Table, block: int, buckets: int, leng
         g = mine[e]
         data = key[g].tobytes() + s.ids[doc[g]].astype("<i8").tobytes() + (c - first)[g].astype("u1").tobytes() + (last - c)[g].astype("u1").tobytes() + own.tobytes()
         rows.append((NEAR, int(to[by[i]]), block, int(j - i), data))
-    return _parts(rows + _edges(buckets, block, a, b))
+    return _parts(rows + _edges(buckets, block, *_star(np.concatenate(a), np.concatenate(b))))
 
 
 def _windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -366,9 +378,10 @@ def _alike(x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
     return (a + b[:, np.maximum(length - 1 - step, 0)] + 1 >= 0).any(axis=1)  # the shared minimum itself: 9 - 8
 
 
-def _search(context: np.ndarray, length: int) -> tuple[list[int], list[int]]:
-    """Links that span the groups of alike contexts."""
+def _search(context: np.ndarray, length: int, of: list[int] | None = None) -> tuple[list[int], list[int]]:
+    """Links that connect groups of alike contexts; those with the same ``of`` are connected already."""
     m = len(context)
+    of = list(range(m)) if of is None else of
     if m == 2:
         return ([0], [1]) if _alike(context[0], context[1:], length)[0] else ([], [])
     value, token, count = np.unique(context, return_inverse=True, return_counts=True)
@@ -378,17 +391,25 @@ def _search(context: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     # contexts that share ``need`` shingles share one of those left when the need - 1 most frequent are set aside
     rank = np.empty(len(value), np.int64)
     rank[np.argsort(rare, kind="stable")] = np.arange(len(value))
+    several = np.empty(len(value), bool)
+    several[rank] = count > 1
     prefix, where = [], {}
     for i in range(m):
         t = np.unique(rank[token[i][context[i] > 0]])
-        prefix.append(t[: max(0, len(t) - need + 1)].tolist())
+        p = t[: max(0, len(t) - need + 1)]
+        prefix.append(p[several[p]].tolist())
         for k in prefix[-1]:
             where.setdefault(k, []).append(i)
+    with_it: dict[int, list[int]] = {}
+    for i, x in enumerate(of):
+        with_it.setdefault(x, []).append(i)
     reached, a, b = [False] * m, [], []
     for start in range(m):
         if reached[start]:
             continue
-        reached[start], todo = True, [start]
+        todo = list(with_it[of[start]])
+        for x in todo:
+            reached[x] = True
         while todo:
             x = todo.pop()
             near = set()
@@ -398,10 +419,12 @@ def _search(context: np.ndarray, length: int) -> tuple[list[int], list[int]]:
             if near:
                 ys = np.array(sorted(near))
                 for y in ys[_alike(context[x], context[ys], length)].tolist():
-                    reached[y] = True
                     a.append(x)
                     b.append(y)
-                    todo.append(y)
+                    for z in with_it[of[y]]:
+                        if not reached[z]:
+                            reached[z] = True
+                            todo.append(z)
     return a, b
 
 
@@ -409,13 +432,12 @@ def _link(table: pa.Table, bucket: int, buckets: int, length: int) -> pa.Table:
     # what a block linked by itself passes through, so that blocks are worked on once
     parts = zip(*[table.column(c).to_pylist() for c in ("kind", "bucket", "block", "n", "data")], strict=True)
     rows: list[tuple] = [r for r in parts if r[0] == EDGE]
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sets = Sets()
     key, doc, _ = _read(table, SAME, "<u8", "<i8")
     if len(key):
         order = np.lexsort((doc, key))
         run = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
-        a.append(doc[order])
-        b.append(doc[_first_of_runs(order, run)])
+        sets.join(doc[order], doc[_first_of_runs(order, run)])
     name, doc, context = _windows(table)
     if len(name):
         whole = name.copy()
@@ -425,18 +447,18 @@ def _link(table: pa.Table, bucket: int, buckets: int, length: int) -> pa.Table:
         order = np.lexsort((doc, whole))
         run = np.cumsum(np.r_[False, whole[order][1:] != whole[order][:-1]])
         rep = _first_of_runs(order, run)
-        a.append(doc[order])
-        b.append(doc[rep])
+        sets.join(doc[order], doc[rep])
         kept = np.unique(rep)
         order = kept[np.lexsort((doc[kept], name[kept]))]
         cut = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
-        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
-            if j - i > 1:
-                at = order[i:j]
-                x, y = _search(context[at], length)
-                a.append(doc[at[x]] if x else doc[:0])
-                b.append(doc[at[y]] if y else doc[:0])
-    return _parts(rows + _edges(buckets, -1, a, b))
+        size = np.diff(np.r_[cut, len(order)])
+        for i, n in sorted(zip(cut.tolist(), size.tolist(), strict=True), key=lambda x: x[1]):
+            at = order[i : i + n]
+            of = [sets.top(x) for x in doc[at].tolist()]
+            if len(set(of)) > 1:  # else what a search could find is connected already
+                x, y = _search(context[at], length, of)
+                sets.join(doc[at[x]] if x else doc[:0], doc[at[y]] if y else doc[:0])
+    return _parts(rows + _edges(buckets, -1, *sets.star()))
 
 
 def links(docs: DataFrame, length: int = LENGTH) -> DataFrame:
