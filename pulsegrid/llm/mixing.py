@@ -15,7 +15,7 @@ Blocks have ``block`` words, fewer in a source of under ``LEAST_BLOCKS`` such bl
 meet their targets too.
 
 Defined results: null texts have size 0; a null source is a source of its own, last in order;
-repeated rows are rows of their own; sources without words have target 0; an empty table gives an
+repeated rows are rows of their own; rows without doc_id come first, in buckets by their size; sources without words have target 0; an empty table gives an
 empty result. Products in permutations are taken in 128 bits from 2**31 blocks on.
 """
 
@@ -29,7 +29,7 @@ from pulsegrid.llm.common import WORD, bucket_of, cut_points, small, stored
 
 # Primes above 2**31; the multiplier of a permutation is one of them modulo n.
 PRIMES = (2147483659, 2147483693, 2147483713, 2147483743)
-BLOCK, LEAST_BLOCKS, SHARD_SLOTS = 64, 256, 16384
+BLOCK, LEAST_BLOCKS, SHARD_SLOTS, NULLS = 64, 256, 16384, 1024
 _WIDE = DecimalType(19, 0)
 _KEY = "coalesce(concat('a', source), 'b')"
 
@@ -119,7 +119,8 @@ def draw(per_source: DataFrame, seed: int = 1, shard_slots: int = SHARD_SLOTS) -
 def _placed(docs: DataFrame, per: DataFrame, *carry: str) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, size and ``carry``) with their source's row and the place of their first word among its words."""
     cuts = cut_points(docs, "doc_id", 512)
-    bucketed = docs.withColumns({"skey": F.expr(_KEY), "bucket": bucket_of(F.col("doc_id"), cuts)})
+    bucket = F.when(F.col("doc_id").isNull(), (-1 - F.col("size") % NULLS).cast("int")).otherwise(bucket_of(F.col("doc_id"), cuts))
+    bucketed = docs.withColumns({"skey": F.expr(_KEY), "bucket": bucket})
     order = Window.partitionBy("src", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size")
     placed = bucketed.join(small(per, 10_000), "skey")
     placed = placed.withColumns({"row": F.row_number().over(order), "upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
@@ -220,7 +221,7 @@ d AS (
     + (src * 7919 + (slot // blocks) * 104729 + 15485863) % blocks) % blocks AS block FROM filled JOIN c USING (src)),
 placed AS (
   SELECT z.doc_id, z.size, q.source_size, q.target, q.src, q.words,
-    sum(z.size) OVER (PARTITION BY q.src ORDER BY z.doc_id NULLS FIRST, z.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(z.size) OVER (PARTITION BY q.src ORDER BY z.doc_id NULLS FIRST, CASE WHEN z.doc_id IS NULL THEN -(z.size % {NULLS}) END, z.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
     row_number() OVER (ORDER BY z.doc_id) AS rid
   FROM sized z JOIN q ON z.source IS NOT DISTINCT FROM q.source),
 pieces AS (

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import bucket_of, cut_points, fresh, let
 
-K, BUCKETS, LENGTH = 2, 64, 2
+K, BUCKETS, LENGTH, NULLS = 2, 64, 2, 1024
 #: Bits of a packed long that hold a position: an array of a row has under 2 GB, so fewer than 2**28 longs.
 POS = 28
 _MASK = (1 << POS) - 1
@@ -102,13 +102,14 @@ def with_next(docs: DataFrame, make, cols: list[str], rows_per_bucket: int = 102
     """``make(docs)`` and next_<col>: the row that follows in (doc_id, text) order, nulls first; after the last row the first.
 
     Rows are dealt into order-preserving buckets, each sorted on its own (the only shuffle of texts); a bucket's last
-    row takes the first row of the next bucket that has any. Of those there is one per bucket, so at most 8193.
+    row takes the first row of the next bucket that has any. Of those there is one per bucket, so at most 9217.
     """
     key, more = fresh(docs, "bucket"), fresh(docs, "more")
     ahead, ours = {c: fresh(docs, f"ahead_{c}") for c in cols}, [c for c in docs.columns if c not in {f"next_{x}" for x in cols}]
     docs = docs.select(*[f"`{c}`" for c in ours])
     cuts = cut_points(docs, "doc_id", rows_per_bucket)
-    bucket = bucket_of(F.col("doc_id"), cuts)
+    # rows without doc_id come first, by a hash of their texts
+    bucket = F.when(F.col("doc_id").isNull(), (-1 - F.pmod(F.xxhash64("text"), F.lit(NULLS))).cast("int")).otherwise(bucket_of(F.col("doc_id"), cuts))
     order = Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     made = make(docs)
     rows = made.withColumn(key, bucket)
@@ -117,7 +118,9 @@ def with_next(docs: DataFrame, make, cols: list[str], rows_per_bucket: int = 102
     among = Window.orderBy("b")
     before = F.coalesce(F.lag("b").over(among), F.max("b").over(Window.partitionBy(F.lit(0))))
     ids = F.broadcast(ids.select("first_id", F.col("b").alias(key), before.alias("before")))
-    firsts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]))
+    own = fresh(docs, "own")
+    firsts = docs.withColumn(own, bucket)
+    firsts = firsts.join(ids, firsts["doc_id"].eqNullSafe(ids["first_id"]) & (firsts[own] == ids[key]))
     firsts = firsts.select("doc_id", "text", key, "before", F.row_number().over(order).alias("place")).filter("place = 1")
     heads = make(firsts).select(F.col("before").alias("before"), *[F.col(c).alias(f"head_{c}") for c in cols])
     out = rows.join(heads, rows[key] == heads["before"], "left")

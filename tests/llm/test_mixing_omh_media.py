@@ -154,6 +154,25 @@ def test_order_minhash_sees_order_and_edits(spark):
     assert spark.createDataFrame([(sig[0],)], "a array<int>").select(order_minhash.written(F.col("a")).alias("s")).head().s.__len__() == 8 * order_minhash.BUCKETS
 
 
+def test_rows_without_doc_id_have_an_order(spark, tmp_path):
+    rows = [(None, "w " * (i % 7 + 1030 * (i % 2)), "en", f"s{i % 2}", 1) for i in range(60)] + [(i, "v " * 9, "en", "s0", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    key = lambda r: (r[0] is None, r[0] or 0, *map(float, r[1:]))
+    got = mixing.mix(df).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    assert sorted(map(key, map(tuple, got.collect()))) == sorted(map(key, con.execute(mixing.SQL).fetchall()))
+    texts = spark.createDataFrame([(None, f"t{i}") for i in range(40)] + [(1, "one"), (2, "two")], "doc_id long, text string")
+    out = order_minhash.with_next(texts, lambda d: d, ["text"]).collect()
+    after = {r.text: r.next_text for r in out}
+    seen, at = [], "one"
+    for _ in out:
+        seen.append(at)
+        at = after[at]
+    assert at == "one" and sorted(seen) == sorted(after) and seen[:2] == ["one", "two"]
+
+
 def test_next_document_wraps(spark):
     rows = [(i * 3, f"t{i}") for i in range(50)] + [(None, "first"), (6, "same id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
