@@ -133,13 +133,13 @@ def merge_pairs(slots: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarra
     """
     keys, ranks, made = slots
     none, mask = np.iinfo(np.int32).max, len(keys) - 1
-    piece, ids = np.repeat(np.arange(len(size), dtype=np.int32), size), ids.astype(np.int64)
+    piece, ids = np.repeat(np.arange(len(size), dtype=np.int32), size), ids.astype(np.int32)
     if not len(ids):
-        return ids, np.zeros(len(size), np.int64)
+        return ids.astype(np.int64), np.zeros(len(size), np.int64)
 
     def look(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and place in the table of the pairs that begin at ``p``."""
-        key = ids[p] << 17 | ids[p + 1]
+        key = ids[p].astype(np.int64) << 17 | ids[p + 1]
         at = (key * 0x9E3779B1 >> 13) & mask
         found = keys[at]
         miss = np.flatnonzero((found != key) & (found >= 0))
@@ -180,7 +180,7 @@ def merge_pairs(slots: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarra
         p = np.flatnonzero(new[: len(ids) - 1])
         rank[p], slot[p] = look(p)
     piece = np.concatenate(pieces)
-    return np.concatenate(found_ids)[np.argsort(piece, kind="stable")], np.bincount(piece, minlength=len(size))
+    return np.concatenate(found_ids)[np.argsort(piece, kind="stable")].astype(np.int64), np.bincount(piece, minlength=len(size))
 
 
 def table_of(ranks: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

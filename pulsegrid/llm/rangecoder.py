@@ -39,12 +39,13 @@ from tokenizers import Tokenizer
 from pulsegrid.llm.bpe import MARKED, byte_letters, laid, merge_pairs, table_of
 from pulsegrid.llm.common import runs, small, split_words, stored, text_bytes
 
-MAGIC, VERSION, IDS, FILE_BYTES = b"PGTK", 2, 2048, 12_000_000
+MAGIC, VERSION, IDS, FILE_BYTES = b"PGTK", 2, 2048, 20_000_000
+KNOWN = 1_000_000  # pieces of some 20 bytes each, with their ids
 SLOTS1, SLOTS2, NONE = 1024, 2048, 65535  # entries of the context tables of a block; ids are below NONE
 MIX, ZERO, RATE = 12, 16, 5  # bits of the weights and of order 0's distribution; how slowly weights are learned
 _U = np.uint64
 #: what an entry keeps above its id: how often the expectation held, after (times, held again?), at most three
-_NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int64)
+_NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int32)
 #: weights of 4096 at the start of a block; an empty entry has none
 START2, START1, _HELD = (0, 1100, 2200, 3000), (0, 600, 1200, 1800), 4064
 
@@ -62,9 +63,9 @@ class _Zero:
         if n:
             f[0] += (1 << ZERO) - int(f.sum())
         self.none = n
-        self.f = np.r_[f, 0].astype(np.int64)
-        self.c = np.cumsum(self.f) - self.f
-        self.find = np.repeat(np.arange(n), f)
+        f = np.r_[f, 0]
+        self.f, self.c = f.astype(np.int32), (np.cumsum(f) - f).astype(np.int32)
+        self.find = np.repeat(np.arange(n, dtype=np.int32), f[:-1])
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -73,7 +74,7 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """The state of all blocks of a file, a stretch of each array per block."""
+    """The state of all blocks of a file, a stretch of each array per block. Weights and intervals fit 32 bits."""
 
     def __init__(self, n: int, zero: _Zero):
         self.zero, row = zero, np.arange(n, dtype=np.int64)
@@ -83,7 +84,7 @@ class _Model:
         self.low, self.next = (1 << self.bits) - 1, _NEXT << self.bits
         self.t1 = np.full(n * SLOTS1, zero.none, kind)
         self.t2 = np.full(n * SLOTS2, zero.none, kind)
-        self.a1, self.a2 = np.tile(np.array(START1, np.int64), n), np.tile(np.array(START2, np.int64), n)
+        self.a1, self.a2 = np.tile(np.array(START1, np.int32), n), np.tile(np.array(START2, np.int32), n)
         self.p1 = self.p2 = np.zeros(n, np.int64)
 
     def shrink(self, n: int) -> None:
@@ -93,7 +94,7 @@ class _Model:
         p1 = self.p1
         self.i1 = self.row1 + (p1 & (SLOTS1 - 1))
         self.i2 = self.row2 + ((p1 * 40503 + self.p2 * 10368889 >> 7) & (SLOTS2 - 1))
-        e1, e2 = self.t1.take(self.i1).astype(np.int64), self.t2.take(self.i2).astype(np.int64)
+        e1, e2 = self.t1.take(self.i1).astype(np.int32), self.t2.take(self.i2).astype(np.int32)
         self.g1, self.g2, self.k1, self.k2 = e1 & self.low, e2 & self.low, e1 >> self.bits, e2 >> self.bits
         self.j1, self.j2 = self.row4 + self.k1, self.row4 + self.k2
         self.x2, self.own1 = self.a2.take(self.j2), self.a1.take(self.j1)
@@ -104,8 +105,9 @@ class _Model:
     def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids' intervals out of 2**28."""
         x0, x1, x2, g1, g2 = self.x0, self.x1, self.x2, self.g1, self.g2
-        self.hit1, self.hit2 = g1 == s, g2 == s
-        start = x0 * self.zero.c.take(s) + (x2 * (g2 < s) + x1 * (g1 < s) << ZERO)
+        t = s.astype(np.int32)
+        self.hit1, self.hit2 = g1 == t, g2 == t
+        start = x0 * self.zero.c.take(s) + (x2 * (g2 < t) + x1 * (g1 < t) << ZERO)
         return start.astype(_U), (x0 * self.zero.f.take(s) + (x2 * self.hit2 + x1 * self.hit1 << ZERO)).astype(_U)
 
     def at(self, v: np.ndarray) -> np.ndarray:
@@ -129,7 +131,7 @@ class _Model:
         is_hi = past & (v >= a) & ~past2
         v = v - w2 * past2
         q = np.minimum((v / x0).astype(np.int64), (1 << ZERO) - 1)  # exact: both are below 2**28
-        return np.where(is_lo, lo, np.where(is_hi, hi, zero.find.take(q)))
+        return np.where(is_lo, lo, np.where(is_hi, hi, zero.find.take(q))).astype(np.int64)
 
     def learn(self, s: np.ndarray) -> None:
         self.a2[self.j2] = self.x2 + (self.hit2 * _HELD - self.x2 >> RATE)
@@ -203,7 +205,7 @@ def decode_blocks(lengths: np.ndarray, words: list[np.ndarray], levels: np.ndarr
     k = np.arange(blocks) * width
     code = src[k].astype(_U) << _U(32) | src[k + 1]
     k += 2
-    span, one, bits, most = np.full(blocks, 2**64 - 1, _U), _U(1 << 32), _U(MIX + ZERO), (1 << MIX + ZERO) - 1
+    span, one, bits, most = np.full(blocks, 2**64 - 1, _U), _U(1 << 32), _U(MIX + ZERO), _U((1 << MIX + ZERO) - 1)
     out = np.zeros((size, blocks), np.uint16)
     n, last = blocks, int(lengths[-1])
     for t in range(size):
@@ -215,7 +217,7 @@ def decode_blocks(lengths: np.ndarray, words: list[np.ndarray], levels: np.ndarr
             m.shrink(n)
         m.guess()
         r = span >> bits
-        s = m.at(np.minimum((code // r).astype(np.int64), most))
+        s = m.at(np.minimum(code // r, most).astype(np.int32))
         start, wide = m.interval(s)
         code, span = code - r * start, r * wide
         emit = span < one
@@ -325,11 +327,13 @@ def split_pieces(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """The library's ids word by word: this vocabulary's rules never look across ASCII white space.
 
-    Pieces of plain words are merged together in arrays; other words, and those that might hold a special token, go to the library.
+    Pieces of plain words are merged together in arrays, and kept, ``KNOWN`` of them or little more, for the next call; other words, and
+    those that might hold a special token, go to the library.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.known, self.flat, self.size = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         if model.get("end_of_word_suffix") != WORD_END:
@@ -340,6 +344,22 @@ class WordEncoder:
         self.inner = np.array([ids[letter[b]] for b in range(256)], np.int64)
         self.last = np.array([ids[letter[b] + WORD_END] for b in range(256)], np.int64)
 
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces among those met so far; new ones are merged."""
+        if len(self.known) > KNOWN:
+            self.known, self.flat, self.size = pieces[:0], self.flat[:0], self.size[:0]
+        place = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = place < 0
+        fresh = pieces.filter(pa.array(new))
+        size = pc.binary_length(fresh).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = np.frombuffer(fresh.buffers()[2] or b"", np.uint8)[: int(size.sum())]
+        ids, last = self.inner[raw], np.cumsum(size) - 1
+        ids[last] = self.last[raw[last]]
+        ids, size = merge_pairs(self.slots, ids, size)
+        place[new] = len(self.known) + np.arange(len(fresh))
+        self.known, self.flat, self.size = pa.concat_arrays([self.known, fresh]), np.r_[self.flat, ids], np.r_[self.size, size]
+        return place
+
     def __call__(self, texts: pa.Array | pa.ChunkedArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each with ``end`` after it, and how many each text has."""
         codes, sizes, words = split_words(texts, lower=False)
@@ -351,15 +371,14 @@ class WordEncoder:
         offsets = np.r_[starts, len(text)].astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))).dictionary_encode()
         pieces, distinct = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces.dictionary
-        size = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-        raw = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[: int(size.sum())]
-        ids, last = self.inner[raw], np.cumsum(size) - 1
-        ids[last] = self.last[raw[last]]
-        merged, size = merge_pairs(self.slots, ids, size)
+        place = self._places(distinct)
         found = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
         # entries: the distinct pieces, the library's words, the end; a word is a run of entries
-        flat = np.concatenate([merged, *found, [end]])
-        size = np.r_[size, np.array([len(x) for x in found], np.int64), 1]
+        flat = np.concatenate([self.flat, *found, [end]])
+        size = np.r_[self.size, np.array([len(x) for x in found], np.int64), 1]
+        start = np.cumsum(size) - size
+        place = np.r_[place, np.arange(len(self.size), len(size))]
+        start, size = start[place], size[place]
         entries = np.r_[pieces, np.arange(len(distinct), len(size))]
         first, count = np.zeros(len(words) + 1, np.int64), np.ones(len(words) + 1, np.int64)
         plain = np.r_[plain.to_numpy(zero_copy_only=False), False]
@@ -367,9 +386,12 @@ class WordEncoder:
         first[plain], count[plain] = upto[:-1], np.diff(upto)
         first[~plain] = len(pieces) + np.arange(len(other) + 1)
         sequence = np.insert(codes, np.cumsum(sizes), len(words))
-        ids = flat[laid(np.cumsum(size) - size, size, entries[laid(first, count, sequence)])]
+        # the ids of each distinct word, then of all words
         upto = np.r_[0, np.cumsum(size[entries])]
-        upto = np.r_[0, np.cumsum((upto[first + count] - upto[first])[sequence])]
+        flat = flat[laid(start, size, entries[laid(first, count, np.arange(len(first)))])].astype(np.uint16)
+        size = upto[first + count] - upto[first]
+        ids = flat[laid(np.cumsum(size) - size, size, sequence)]
+        upto = np.r_[0, np.cumsum(size[sequence])]
         return ids, np.diff(np.r_[0, upto[np.cumsum(sizes + 1)]])
 
 
