@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.ranks import once, ranked
+from pulsegrid.operators.ranks import CUTS, once, ranked
 from pulsegrid.schema import MAX_DURATION_MS, need
 
 
@@ -79,10 +79,12 @@ def power_users(interactions: DataFrame, metadata: DataFrame | None = None, perc
         raise ValueError("percentile must be within 0 and 1")
     need(interactions, "user_id", "timestamp", "duration_ms")
     totals = once(user_totals(interactions, max_duration_ms))
-    cut = totals.agg(F.count(F.lit(1)).alias("_all"), F.percentile_approx("total_duration_ms", max(0.0, percentile - 0.001), 10_000).alias("_cut"))  # one row
-    near = totals.crossJoin(F.broadcast(cut)).filter(F.col("total_duration_ms") >= F.col("_cut")).drop("_cut")
+    low = max(0.0, percentile - 0.001)
+    at = F.percentile_approx("total_duration_ms", [low + (1 - low) * i / CUTS for i in range(CUTS)], 10_000)
+    cut = totals.agg(F.count(F.lit(1)).alias("_all"), at.alias("_points"))  # one row
+    near = totals.crossJoin(F.broadcast(cut)).filter(F.col("total_duration_ms") >= F.col("_points")[0])
     k = F.when(F.col("_all") <= 1, F.col("_all")).otherwise(F.greatest(F.lit(1), F.col("_all") - F.ceil(F.lit(percentile) * (F.col("_all") - 1))))
-    top = ranked(near, "total_duration_ms", "user_id").withColumn("_k", k).filter("_rank <= _k")
+    top = ranked(near, "total_duration_ms", "user_id", points="_points").withColumn("_k", k).filter("_rank <= _k")
     place = F.lit(100.0 * percentile) + (F.col("_k") - F.col("_rank")) / (F.col("_k") - 1) * F.lit((1 - percentile) * 100)
     if most_ranked is not None:
         place = F.when(F.col("_k") <= most_ranked, place)
