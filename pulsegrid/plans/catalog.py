@@ -12,6 +12,7 @@ from pulsegrid import monitoring, schema
 from pulsegrid.operators import checks, engagement, joins, performance, retention, sessions
 from pulsegrid.plans import jobs, ml, serving
 from pulsegrid.sources import adapters, files, generator, jdbc
+from pulsegrid.streaming import metrics
 
 AS_OF, RUN_DATE, SIX_HOURS = "2024-01-30", "2024-01-31", 21_600
 
@@ -312,6 +313,18 @@ def _clusters(t: Tables) -> DataFrame:
     return t.perf.crossJoin(F.broadcast(mean)).select("app_version", "metric_date", F.abs(F.col("p95_duration_ms") - F.col("m")).alias("centroid_distance")).filter("centroid_distance > 5000")
 
 
+def _streamed(t: Tables) -> DataFrame:
+    """Sessions of the events as a stream, closed by the watermark, through a file sink."""
+    at = adapters.scratch(t.spark, "stream")
+    source = f"{t.sf_dir}/events.parquet"
+    # as a pattern, since a stream's source must otherwise be a folder
+    rows = t.spark.readStream.schema(t.spark.read.parquet(source).schema).parquet(f"{t.sf_dir}/event[s].parquet")
+    stream = adapters.as_interactions(rows).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    out = metrics.sessions(stream, 1800).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state")
+    out.trigger(availableNow=True).start(f"{at}/sessions").awaitTermination()
+    return t.spark.read.parquet(f"{at}/sessions")
+
+
 _CONSENSUS = """report2 AS (SELECT app_version, metric_date, CASE WHEN abs(z) >= 4 THEN 'critical' WHEN abs(z) >= 3.5 THEN 'high' WHEN abs(z) >= 3 THEN 'medium' ELSE 'low' END AS signal FROM report)
 SELECT app_version, metric_date, 'z_score' AS method, signal FROM report2 UNION ALL
 SELECT app_version, metric_date, 'kmeans', CAST(round(abs(p95_duration_ms - m), 2) AS VARCHAR) FROM perf, (SELECT avg(p95_duration_ms) AS m FROM perf) WHERE abs(p95_duration_ms - m) > 5000"""
@@ -368,6 +381,7 @@ QUERIES |= {
     "summary_countries": (lambda t: jobs.distribution(t.freq, "country", 5), sql("SELECT country, count(*) AS n FROM freq GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", "freq")),
     "summary_return": (lambda t: jobs.return_rate(t.freq), sql("SELECT count(*) FILTER (total_sessions > 1) AS return_users, round(count(*) FILTER (total_sessions > 1) * 100.0 / count(*), 2) AS return_rate FROM freq", "freq")),
     "summary_actions": (lambda t: jobs.distribution(t.i, "action_type"), sql("SELECT action_type, count(*) AS n FROM i GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "i")),
+    "stream_sessions": (_streamed, sql("SELECT user_id, session_start_time, session_end_time, action_count, total_action_duration_ms, is_bounce FROM s WHERE session_end_time <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR", "s", gap=1800)),
     "percentile_anomalies": (lambda t: ml.percentile_anomalies(t.perf, "app_version", AS_OF, "1"), None),
     "segment_profiles": (lambda t: ml.segment_tables(ml.segments(ml.segment_features(t.freq, t.power, t.u)), t.s, AS_OF, "1")[1], None),
     "user_churn_scores": (lambda t: ml.churn_table(ml.churn(ml.churn_features(t.s, t.u)).scores, AS_OF, "1"), None),

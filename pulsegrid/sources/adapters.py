@@ -27,8 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_interactions(table(spark, sf_dir, "events"))
+
+
+def as_interactions(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("user_id"),
         F.col("ts").alias("timestamp"),
         F.col("event_type").alias("action_type"),
