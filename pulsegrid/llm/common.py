@@ -161,7 +161,10 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def dealt(n: int) -> Column:
-    """A block number below ``n`` by a row's place in its input, so that repeated rows spread out too."""
+    """A block number below ``n`` by a row's place in its input, so that repeated rows spread out too.
+
+    The input is a table, or a plan without shuffles, so that a task that runs again meets its rows in the same places.
+    """
     return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
 
 
