@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,27 @@ def percentile_name(p: float) -> str:
     return "p" + text.replace(".", "_")
 
 
+def exact_percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...]) -> DataFrame:
+    """Keys and an array ``_p``: for each of ``at`` the least value that this share of the group's values does not exceed. Null values do not count; a group of nulls has no row.
+
+    Equal values are counted before they are put in order, so a group's task sorts its distinct values only.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    upto = F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumns({"_upto": upto, "_of": F.sum("_n").over(group)})
+    # decimal, as 0.95 n in binary can pass the whole number that it is
+    found = [F.min(F.when(F.col("_upto") >= F.ceil(F.col("_of") * F.lit(Decimal(str(float(p))))), F.col("_v"))) for p in at]
+    return placed.groupBy(*by).agg(F.array(*found).alias("_p"))
+
+
+def with_percentiles(grouped: DataFrame, df: DataFrame, value: str, by: list[str], at: tuple[float, ...]) -> DataFrame:
+    """``grouped``, which has a row for each group of ``df`` by ``by``, with the groups' ``_p``. Null keys are groups too."""
+    found = exact_percentiles(df, value, by, at).withColumnsRenamed({k: f"_{k}" for k in by})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.lit(True))
+    return grouped.join(found, same, "left").drop(*[f"_{k}" for k in by])
+
+
 def percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000, **more: Column) -> DataFrame:
     """Keys, count (rows, nulls included), mean, sample deviation, percentiles and ``more`` aggregates, from one aggregation."""
     need(df, value, *by)
@@ -46,10 +70,10 @@ def device_correlation(interactions: DataFrame, metadata: DataFrame | None = Non
             raise ValueError("device_type is neither in the interactions nor are there metadata")
         interactions = interactions.join(metadata.select("user_id", "device_type"), "user_id", "left")
     per = interactions.groupBy("device_type").agg(
-        F.avg("duration_ms").alias("avg_duration_ms"), F.percentile_approx("duration_ms", 0.95, 10_000).alias("p95_duration_ms"),
-        F.count(F.lit(1)).alias("total_interactions"), F.count_distinct("user_id").alias("unique_users"),
+        F.avg("duration_ms").alias("avg_duration_ms"), F.count(F.lit(1)).alias("total_interactions"), F.count_distinct("user_id").alias("unique_users"),
         F.count("duration_ms").alias("_n"), F.var_samp("duration_ms").alias("_v"),
     )
+    per = with_percentiles(per, interactions, "duration_ms", ["device_type"], (0.95,)).withColumn("p95_duration_ms", F.col("_p")[0])
     every = Window.partitionBy(F.lit(0))
     per = per.withColumn("_mean", F.try_divide(F.sum(F.col("_n") * F.col("avg_duration_ms")).over(every), F.sum("_n").over(every)))
     per = per.withColumns(

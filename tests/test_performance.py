@@ -12,6 +12,13 @@ def test_percentiles_within_one_percent(spark):
     assert r["count"] == 10_000 and abs(r.p50 - 5000) <= 50 and abs(r.p95 - 9500) <= 95 and abs(r.p99 - 9900) <= 99
 
 
+def test_correlation_p95_is_exact(spark):
+    n = 300_000
+    v = ((F.col("id") * 7919) % n + 1).cast("int").alias("duration_ms")  # 7919 is prime to n
+    rows = spark.range(n, numPartitions=7).select(F.lit("g").alias("device_type"), v, F.lit("u").alias("user_id"))
+    assert performance.device_correlation(rows).head().p95_duration_ms == 285_000
+
+
 def test_percentile_names_do_not_collide(spark):
     df = spark.createDataFrame([("g", 1)], "g string, v int")
     assert performance.percentiles(df, "v", ["g"], (0.29, 0.57, 0.99, 0.999)).columns[-4:] == ["p29", "p57", "p99", "p99_9"]
