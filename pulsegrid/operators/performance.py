@@ -38,13 +38,13 @@ def with_percentiles(grouped: DataFrame, df: DataFrame, value: str, by: list[str
     return grouped.join(found, same, "left").drop(*[f"_{k}" for k in by])
 
 
-def percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000, **more: Column) -> DataFrame:
-    """Keys, count (rows, nulls included), mean, sample deviation, percentiles and ``more`` aggregates, from one aggregation."""
+def percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99), **more: Column) -> DataFrame:
+    """Keys, count (rows, nulls included), mean, sample deviation, exact percentiles and ``more`` aggregates."""
     need(df, value, *by)
     if any(not 0 <= p <= 1 for p in at):
         raise ValueError("percentiles must be within 0 and 1")
-    found = F.percentile_approx(value, list(at), accuracy)
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias(f"avg_{value}"), F.stddev_samp(value).alias(f"stddev_{value}"), found.alias("_p"), *[c.alias(n) for n, c in more.items()])
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias(f"avg_{value}"), F.stddev_samp(value).alias(f"stddev_{value}"), *[c.alias(n) for n, c in more.items()])
+    out = with_percentiles(out, df, value, by, at)
     return out.select(*by, "count", f"avg_{value}", f"stddev_{value}", *[F.col("_p")[i].alias(percentile_name(p)) for i, p in enumerate(at)], *more)
 
 
@@ -54,7 +54,7 @@ def named_percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float,
 
 
 def device_performance(df: DataFrame) -> DataFrame:
-    """Percentiles by device and day with the number of users, from one aggregation."""
+    """Percentiles by device and day with the number of users."""
     day = F.to_date("timestamp").alias("metric_date")
     rows = df.select("device_type", day, "duration_ms", "user_id")
     return named_percentiles(rows, "duration_ms", ["device_type", "metric_date"], user_count=F.count_distinct("user_id"))

@@ -19,6 +19,22 @@ def test_correlation_p95_is_exact(spark):
     assert performance.device_correlation(rows).head().p95_duration_ms == 285_000
 
 
+def test_percentiles_are_exact(spark):
+    n = 300_000
+    df = spark.range(n, numPartitions=7).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % n + 1).cast("int").alias("v"))  # 7919 is prime to n
+    r = performance.percentiles(df, "v", ["g"], (0.5, 0.95, 0.99, 0.999)).head()
+    assert r[4:] == (150_000, 285_000, 297_000, 299_700)
+    rows = df.select(F.col("g").alias("device_type"), F.col("v").alias("duration_ms"), F.lit("u").alias("user_id"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"))
+    assert performance.device_performance(rows).head().p95_duration_ms == 285_000
+
+
+def test_percentiles_of_nulls(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (None, None), ("a", None), ("b", 5)], "g string, v int")
+    got = {r.g: (r["count"], r.p0, r.p50, r.p100) for r in performance.percentiles(df, "v", ["g"], (0.0, 0.5, 1.0)).collect()}
+    assert got == {None: (3, 1, 1, 2), "a": (1, None, None, None), "b": (1, 5, 5, 5)}
+    assert performance.percentiles(df, "v", [], (0.5,)).collect()[0].p50 == 2
+
+
 def test_percentile_names_do_not_collide(spark):
     df = spark.createDataFrame([("g", 1)], "g string, v int")
     assert performance.percentiles(df, "v", ["g"], (0.29, 0.57, 0.99, 0.999)).columns[-4:] == ["p29", "p57", "p99", "p99_9"]
