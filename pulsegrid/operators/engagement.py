@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,12 +83,15 @@ def power_users(interactions: DataFrame, metadata: DataFrame | None = None, perc
     totals = once(user_totals(interactions, max_duration_ms))
     low = max(0.0, percentile - 0.001)
     at = F.percentile_approx("total_duration_ms", [low + (1 - low) * i / CUTS for i in range(CUTS)], 10_000)
-    cut = totals.agg(F.count(F.lit(1)).alias("_all"), at.alias("_points"))  # one row
-    near = totals.crossJoin(F.broadcast(cut)).filter(F.col("total_duration_ms") >= F.col("_points")[0])
-    k = F.when(F.col("_all") <= 1, F.col("_all")).otherwise(F.greatest(F.lit(1), F.col("_all") - F.ceil(F.lit(percentile) * (F.col("_all") - 1))))
-    top = ranked(near, "total_duration_ms", "user_id", points="_points").withColumn("_k", k).filter("_rank <= _k")
-    place = F.lit(100.0 * percentile) + (F.col("_k") - F.col("_rank")) / (F.col("_k") - 1) * F.lit((1 - percentile) * 100)
-    if most_ranked is not None:
-        place = F.when(F.col("_k") <= most_ranked, place)
-    out = top.withColumn("percentile_rank", F.when(F.col("_k") <= 1, F.lit(100.0)).otherwise(place)).drop("_all", "_n", "_rank", "_k")
+    n, points = totals.agg(F.count(F.lit(1)), at).head()  # in the driver, as another evaluation may give other points
+    near = totals.filter(F.col("total_duration_ms") >= points[0]) if points else totals
+    k = n if n <= 1 else max(1, n - math.ceil(percentile * (n - 1)))
+    top = ranked(near, "total_duration_ms", "user_id", points=points or []).filter(F.col("_rank") <= k)
+    if k <= 1:
+        place = F.lit(100.0)
+    elif most_ranked is not None and k > most_ranked:
+        place = F.lit(None).cast("double")
+    else:
+        place = F.lit(100.0 * percentile) + (F.lit(k) - F.col("_rank")) / F.lit(k - 1) * F.lit((1 - percentile) * 100)
+    out = top.withColumn("percentile_rank", place).drop("_n", "_rank")
     return out if metadata is None else out.join(metadata, "user_id", "left")

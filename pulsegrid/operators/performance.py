@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +32,8 @@ def exact_percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float,
 
 def with_percentiles(grouped: DataFrame, df: DataFrame, value: str, by: list[str], at: tuple[float, ...]) -> DataFrame:
     """``grouped``, which has a row for each group of ``df`` by ``by``, with the groups' ``_p``. Null keys are groups too."""
-    found = exact_percentiles(df, value, by, at).withColumnsRenamed({k: f"_{k}" for k in by})
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.lit(True))
-    return grouped.join(found, same, "left").drop(*[f"_{k}" for k in by])
+    both = grouped.unionByName(exact_percentiles(df, value, by, at), allowMissingColumns=True)  # at most two rows a group
+    return both.groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in [*grouped.columns, "_p"] if c not in by])
 
 
 def percentiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99), **more: Column) -> DataFrame:

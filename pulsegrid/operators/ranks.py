@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 CUTS = 64
 
@@ -13,17 +14,19 @@ def once(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
-def ranked(df: DataFrame, value: str, tie: str, cuts: int = CUTS, points: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, value: str, tie: str, cuts: int = CUTS, points: list | None = None) -> DataFrame:
     """Adds ``_rank`` (1 for the largest value, ties by ``tie``) and ``_n`` (rows).
 
     Approximate quantiles deal rows into ranges; the exact rank is the number of rows in the ranges above plus the place within the
-    range, so that only a range is sorted in one task. Null values come last. ``points``: a column with quantiles that are known already.
+    range, so that only a range is sorted in one task. Null values come last. ``points``: quantiles that are known already.
+
+    The quantiles are taken in the driver: another evaluation may give others, and the ranges of rows and of sizes must be the same.
     """
     if points is None:
-        found = df.agg(F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 10_000).alias("_points"))  # one row
-        df, points = df.crossJoin(F.broadcast(found)), "_points"
-    above = F.when(F.col(value).isNull(), F.size(points) + 1).otherwise(F.size(F.filter(points, lambda p: p > F.col(value))))
-    rows = df.withColumn("_range", above).drop(points)
+        points = df.agg(F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 10_000)).head()[0] or []
+    known = F.array(*map(F.lit, points)).cast(ArrayType(df.schema[value].dataType))
+    above = F.when(F.col(value).isNull(), len(points) + 1).otherwise(F.size(F.filter(known, lambda p: p > F.col(value))))
+    rows = df.withColumn("_range", above)
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # a row for each range
     among = Window.partitionBy(F.lit(0)).orderBy("_range")
     before = F.coalesce(F.sum("_size").over(among.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -101,3 +102,16 @@ def test_retention_by_segment(spark):
     u = u.withColumns({"subscription_type": F.lit("free"), "device_type": F.when(F.col("user_id") < "u5", "x").otherwise("y"), "country": F.lit(None).cast("string")})
     out = retention.cohort_retention_by_segment(i, u, periods=1).collect()
     assert {(r.segment_type, r.segment_value): r.cohort_size for r in out} == {("subscription_type", "free"): 100, ("device_type", "x"): 45, ("device_type", "y"): 55, ("country", None): 100}
+
+
+def test_power_users_when_approximate_quantiles_differ_between_evaluations(spark, monkeypatch):
+    real = F.percentile_approx
+
+    @F.udf("array<bigint>")
+    def lowered(points):
+        return [p - random.randint(0, 3000) for p in points]
+
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: lowered.asNondeterministic()(real(*a)))
+    rows = [(f"u{i:04d}", T0, i * 1000, "p") for i in range(400)]
+    out = engagement.power_users(events(spark, rows), None, 0.5).collect()
+    assert {r.user_id: round(r.percentile_rank, 6) for r in out} == {f"u{400 - r:04d}": round(50 + (200 - r) / 199 * 50, 6) for r in range(1, 201)}
