@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,12 +269,22 @@ def _by_date(t: Tables) -> DataFrame:
 
 
 def _database(t: Tables) -> jdbc.Place:
-    """A database inside the driver's process, for sessions on one machine; a server takes its place elsewhere."""
-    at = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    """A database inside the driver's process; executors elsewhere read a copy in the shared folder, since only one process can have the database open."""
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     keys = t.table("customer").select(F.col("c_custkey").alias("ID"), F.col("c_acctbal").cast("double").alias("BALANCE"), F.col("c_nationkey").cast("int").alias("NATION"))
-    jdbc.write_table(keys, "accounts", "overwrite", at=at)
-    jdbc.write_table(keys.filter("NATION = 3"), "accounts", "append", at=at)
-    return at
+    if adapters.one_machine(t.spark):
+        at = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", driver
+        jdbc.write_table(keys, "accounts", "overwrite", at=at)
+        jdbc.write_table(keys.filter("NATION = 3"), "accounts", "append", at=at)
+        return at
+    shared = urlparse(adapters.scratch(t.spark, "jdbc"))
+    if shared.scheme not in ("", "file"):
+        raise ValueError("spark.checkpoint.dir must be a path on every machine for the database to be read there")
+    with tempfile.TemporaryDirectory(prefix="pulsegrid-") as own:
+        at = f"jdbc:derby:{own}/bank;create=true", driver
+        jdbc.write_here(keys, "accounts", "overwrite", at=at)
+        jdbc.write_here(keys.filter("NATION = 3"), "accounts", "append", at=at)
+        return jdbc.archived(t.spark, f"{own}/bank", f"{shared.path}/bank.jar"), driver
 
 
 def _named(df: DataFrame) -> DataFrame:

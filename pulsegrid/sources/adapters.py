@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 DEVICES = ("iPhone", "iPad", "Android Phone", "Android Tablet")
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether tasks run in the driver's process."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the checkpoint folder; on one machine without one, a temporary folder."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not one_machine(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="pulsegrid-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
